@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def slices(batches, size_of: str, max_bytes: int):
         if batch.num_rows == 0:
             continue
         column = batch.column(batch.schema.get_field_index(size_of))
-        lengths = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(lengths.tolist()):
             if i > start and total + n > max_bytes:

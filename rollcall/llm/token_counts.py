@@ -20,6 +20,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,9 +134,9 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
         for part in slices(batches, "__text", SLICE_BYTES):
             texts = part.column(part.num_columns - 1)
             n = pa.array(own.count(texts.to_pylist()), pa.int64())
-            size = pa.compute.binary_length(texts).cast(pa.int64())
+            size = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], size, n, pa.compute.greater(n, over)],
+                [*part.columns[:-1], size, n, pc.greater(n, over)],
                 names=[*part.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
             )
 
