@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.bpe_codec import encode_decode
 from rollcall.llm.common import table
+from rollcall.llm.quality import quality_scores
 from rollcall.llm.token_counts import token_counts
+from rollcall.llm.toxicity import toxicity_scores
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,8 +29,16 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op3_bpe_codec)
+    found = (op1_token_counts, op3_bpe_codec, op5_quality, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
