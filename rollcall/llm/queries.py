@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.llm.bpe_codec import encode_decode
 from rollcall.llm.common import table
+from rollcall.llm.mixing import mix_shares
 from rollcall.llm.quality import quality_scores
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.toxicity import toxicity_scores
@@ -25,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_shares(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -38,7 +43,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op3_bpe_codec, op5_quality, op9_toxicity)
+    found = (op1_token_counts, op2_mixing, op3_bpe_codec, op5_quality, op9_toxicity)
     return {f.__name__: f for f in found}
 
 

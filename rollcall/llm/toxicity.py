@@ -123,24 +123,25 @@ def choose_features(sample: DataFrame, ones: int, zeros: int, n: int) -> list[st
     return sorted({*chosen, *("=" + t for t in SWAP)})
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, moved: np.ndarray, ridge: float = 1e-3, fairness: float = 4.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, moved: np.ndarray, ridge: float = 1e-4, fairness: float = 4.0, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on logistic loss + ``ridge`` |w|^2 + ``fairness`` mean (score change)^2.
 
     ``swapped`` holds, for the rows listed in ``moved``, the features after the swap.
     """
     n, width = x.shape
-    w, bias = np.zeros(width), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    x, y, swapped = x.astype(np.float32), y.astype(np.float32), swapped.astype(np.float32)
+    w, bias = np.zeros(width, np.float32), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     delta = x[moved] - swapped
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    m, v = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -40, 40)))
         grad = x.T @ (p - y) / n + 2 * ridge * w
         if len(delta):
             grad += 2 * fairness * (delta.T @ (delta @ w)) / len(delta)
-        g = np.append(grad, (p - y).mean())
+        g = np.append(grad, (p - y).mean()).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
+        w, bias = w - step[:-1], bias - float(step[-1])
     return w, float(bias)
 
 
