@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.bpe_codec import encode_decode
 from rollcall.llm.common import table
 from rollcall.llm.mixing import mix_shares
+from rollcall.llm.ngram_join import class_rows
 from rollcall.llm.quality import quality_scores
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.toxicity import toxicity_scores
@@ -38,12 +39,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_mixing, op3_bpe_codec, op5_quality, op9_toxicity)
+    found = (op1_token_counts, op2_mixing, op3_bpe_codec, op5_quality, op7_ngram_join, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
