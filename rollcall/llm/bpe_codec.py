@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import with_results
+
 SLICE_BYTES = 1 << 23
 #: Pieces, words and pairs of tokens that a worker remembers; then it starts afresh.
 MEMO_PIECES = 150_000
@@ -284,8 +286,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     plain = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__text")
-    more = ", ids array<int>, decoded string" if full else ""
+    more = {"ids": "array<int>", "decoded": "string"} if full else {}
 
     def run(batches):
         from rollcall.llm.bpe_codec import SLICE_BYTES, codec
@@ -302,4 +303,4 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *names])
 
-    return plain.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return plain.mapInArrow(run, with_results(plain, n_tokens="long", ids_sha256="string", decoded_sha256="string", **more))

@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +58,12 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def with_results(rows: DataFrame, **results: str) -> T.StructType:
+    """The schema of ``rows`` without ``__text``, and results (name = type) after it."""
+    kept = [f for f in rows.schema if f.name != "__text"]
+    return T.StructType([*kept, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in results.items())])
+
+
 def slices(batches, size_of: str, max_bytes: int):
     """Cut Arrow batches into slices of about ``max_bytes`` of column ``size_of`` each.
 

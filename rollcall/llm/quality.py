@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.boosted_trees import FlatTrees, fit_trees
-from rollcall.llm.common import held_out
+from rollcall.llm.common import held_out, with_results
 from rollcall.llm.sampling import labelled_sample
 
 SLICE_BYTES = 1 << 22
@@ -105,7 +105,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     model = fit_quality(docs, labels, modulus=modulus, remainder=remainder, train_rows=train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c) for c in keep], held_out("doc_id", modulus, remainder).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
 
     def run(batches):
         from rollcall.llm.common import slices
@@ -118,4 +117,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
                 names=[*part.schema.names[:-1], "score", "predicted"],
             )
 
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))

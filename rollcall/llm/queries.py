@@ -7,8 +7,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.llm.ann import nearest
 from rollcall.llm.bpe_codec import encode_decode
+from rollcall.llm.chat import RENDERED_SQL, rendered
 from rollcall.llm.common import table
+from rollcall.llm.inner_products import top_products
+from rollcall.llm.licenses import licence_matches, matches_sql
 from rollcall.llm.mixing import mix_shares
 from rollcall.llm.ngram_join import class_rows
 from rollcall.llm.quality import quality_scores
@@ -35,22 +39,41 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_matches(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_mixing, op3_bpe_codec, op5_quality, op7_ngram_join, op9_toxicity)
+    found = (
+        op1_token_counts, op2_mixing, op3_bpe_codec, op4_ann, op5_quality, op6_chat, op7_ngram_join,
+        op8_inner_products, op9_toxicity, op10_licenses,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": RENDERED_SQL, "op10_licenses": matches_sql()}

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import with_results
+
 #: Bytes of text taken from an Arrow batch at a time.
 SLICE_BYTES = 1 << 22
 #: Bytes of new pieces put together into one encoded string, and strings per call.
@@ -124,7 +126,6 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
     plain = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__text")
 
     def run(batches):
         from rollcall.llm.common import slices
@@ -140,4 +141,4 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
                 names=[*part.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return plain.mapInArrow(run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return plain.mapInArrow(run, with_results(plain, n_bytes="long", n_tokens="long", over_limit="boolean"))

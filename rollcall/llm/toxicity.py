@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import held_out
+from rollcall.llm.common import held_out, with_results
 from rollcall.llm.sampling import labelled_sample
 
 SLICE_BYTES = 1 << 22
@@ -88,7 +88,7 @@ class LinearModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.array([self.bias + self.weights[self.found(words_of(t))].sum() for t in texts])
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -198,7 +198,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     model = fit_toxicity(docs, labels, modulus=modulus, remainder=remainder, train_rows=train_rows, fairness=fairness)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(c) for c in keep], held_out("doc_id", modulus, remainder).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
 
     def run(batches):
         from rollcall.llm.common import slices
@@ -211,4 +210,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
                 names=[*part.schema.names[:-1], "score", "predicted"],
             )
 
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))
