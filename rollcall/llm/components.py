@@ -12,8 +12,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: of every node that has an edge, the least node of its component.
 
     Each round takes the least label of a node's neighbours and then the label of
-    that label, so long chains shorten by doubling.  Joins and minima only: no
-    group of neighbours is ever gathered.  Rounds end when no label changes.
+    that label, so long chains shorten by doubling; stars around their least node
+    take one round.  Joins and minima only: no group of neighbours is ever
+    gathered.  Rounds end when no label changes.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x != y").distinct())

@@ -130,11 +130,10 @@ def plausible(a: np.ndarray, b: np.ndarray, signatures: np.ndarray, needed: tupl
 
 
 class Forest:
-    """Union of sets, with the edges that united them."""
+    """Union of sets; each is named by its least member."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -147,9 +146,14 @@ class Forest:
         if x == y:
             return False
         self.up[max(x, y)] = min(x, y)
-        self.edges.append((a, b))
         return True
 
+    def edges(self) -> tuple[list[int], list[int]]:
+        """Each set as a star: its least member, and each of the others."""
+        roots = [self.root(i) for i in range(len(self.up))]
+        others = [i for i, r in enumerate(roots) if r != i]
+        return [roots[i] for i in others], others
+
 
 def groups_of(batches, key_columns: int):
     """Arrow tables made of whole groups: rows with equal leading columns, which come together."""
@@ -203,7 +207,7 @@ def candidate_edges(batches, needed: tuple[int, ...]):
                 parts[group[a]] -= forest.unite(a, a + d)
             alive = alive[parts[group[alive]] > 1]
         keys = table.column("key")
-        a, b = (pa.array([e[k] for e in forest.edges], pa.int64()) for k in (0, 1))
+        a, b = (pa.array(x, pa.int64()) for x in forest.edges())
         yield pa.RecordBatch.from_arrays([keys.take(a).combine_chunks().cast(pa.binary()), keys.take(b).combine_chunks().cast(pa.binary())], names=["a", "b"])
 
 
@@ -281,9 +285,10 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
         forest.unite(x, y)
     have = np.flatnonzero(counts)
     keys = table.column("key")
-    first = pa.array([*have.tolist(), *(x for x, _ in forest.edges)], pa.int64())
-    other = pa.array([None] * len(have) + [y for _, y in forest.edges], pa.int64())
-    links = pa.array([*counts[have].tolist(), *[0] * len(forest.edges)], pa.int64())
+    roots, others = forest.edges()
+    first = pa.array([*have.tolist(), *roots], pa.int64())
+    other = pa.array([None] * len(have) + others, pa.int64())
+    links = pa.array([*counts[have].tolist(), *[0] * len(roots)], pa.int64())
     take = lambda at: keys.take(at).combine_chunks().cast(pa.binary())
     return pa.RecordBatch.from_arrays([take(first), take(other), links], names=["a", "b", "links"])
 
@@ -339,7 +344,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     members = banded.join(shared, "bucket").join(sketches.select("key", "signature"), "key")
     in_buckets = in_chunks(members, "bucket", F.ceil(F.col("m") / CHUNK_ROWS)).select("bucket", "lo", "hi", "side", "key", "signature")
     near = dealt(in_buckets, "bucket", "lo", "hi").mapInArrow(lambda batches: candidate_edges(batches, needed), "a binary, b binary")
-    groups = components(near.distinct()).withColumnRenamed("label", "group")
+    groups = components(near).withColumnRenamed("label", "group")
 
     sized = groups.join(sketches.select(F.col("key").alias("node"), "n", "signature"), "node")
     totals = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("chunks"))
