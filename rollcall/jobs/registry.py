@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollcall.jobs import catalog, oracles
+from rollcall.jobs import catalog, catalog_more, oracles  # noqa: F401
 
 
 def queries() -> dict[str, catalog.Query]:

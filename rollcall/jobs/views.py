@@ -61,7 +61,7 @@ VIEWS = {
     "contacts": f"""
         SELECT k + 2 AS line_no,
           CASE WHEN k % 43 = 2 THEN '' WHEN k % 41 = 3 THEN '  ' ELSE 'Lookalike ' || {_text("k % 50")} END AS full_name,
-          CASE WHEN k % 59 = 3 THEN 'none' ELSE {_pick("k", "", "91", "+91-")} || {_text("9000000000 + k")} END AS phone,
+          CASE WHEN k % 59 = 3 THEN 'none' WHEN k % 13 = 9 THEN {_text("9000000000 + k - 1")} ELSE {_pick("k", "", "91", "+91-")} || {_text("9000000000 + k")} END AS phone,
           {_CITY("k + 1")} AS city,
           {_pick("z", "Y", "yes", "No", "N", " Yes", "maybe", "")} AS verified,
           CASE WHEN k % 11 = 4 THEN 'n/a' ELSE {_text("z")} END AS projects
@@ -80,7 +80,7 @@ VIEWS = {
     "submissions": f"""
         SELECT k AS submission_id,
           CASE WHEN k % 31 = 5 THEN '  ' WHEN k % 37 = 6 THEN repeat('x', 201) ELSE ' Speaker ' || {_text("u")} || ' ' END AS name,
-          CASE WHEN k % 29 = 4 THEN '' WHEN k % 23 = 3 THEN '123' ELSE {_pick("k", "0", "+91-", "")} || {_text("9000000000 + u * 11")} END AS phone,
+          CASE WHEN k % 29 = 4 THEN '' WHEN k % 23 = 3 THEN '123' ELSE {_pick("k", "0", "+91-", "")} || {_text("9000000000 + (u * 11 + k * 7) % 2600")} END AS phone,
           {_pick("k", "record", "upload", "fax")} AS capture_mode,
           CASE e WHEN 'click' THEN 'audio/webm;codecs=opus' WHEN 'view' THEN 'Audio/MPEG ' WHEN 'signup' THEN 'audio/x-wav' WHEN 'purchase' THEN 'audio/mp4' ELSE 'text/plain' END AS content_type,
           CASE WHEN k % 17 = 0 THEN 0 WHEN k % 19 = 0 THEN 26214401 ELSE 1000 + k * 13 END AS byte_size,
