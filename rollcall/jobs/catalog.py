@@ -32,42 +32,38 @@ def merged(spark: SparkSession, sf_dir: str) -> Resolved:
     return resolve(*(view(spark, sf_dir, name) for name in ("bridge", "gigs", "contacts")))
 
 
-def text(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
-
-
 # ---- normalisers -------------------------------------------------------------------
 
 
-def _over(name: str, source: str, **columns: Column) -> Query:
+def _over(name: str, source: str, **columns: Callable[[], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return view(spark, sf_dir, source).select("line_no", *[c.alias(k) for k, c in columns.items()])
+        return view(spark, sf_dir, source).select("line_no", *[make().alias(k) for k, make in columns.items()])
 
     run.__name__ = name
     return run
 
 
 c = F.col
-query(f"SELECT line_no, {O.phone('phone')} AS phone_key FROM bridge")(_over("n01_phone_key", "bridge", phone_key=N.phone_key(c("phone"))))
-query(f"SELECT line_no, {O.email('email')} AS email_key FROM gigs")(_over("n02_email_key", "gigs", email_key=N.email_key(c("email"))))
-query(f"SELECT line_no, {O.city('city')} AS city_norm FROM bridge")(_over("n03_city", "bridge", city_norm=N.city(c("city"))))
-query(f"SELECT line_no, {O.title('full_name')} AS titled FROM contacts")(_over("n04_title_case", "contacts", titled=N.title_case(c("full_name"))))
-query(f"SELECT line_no, {O.skill('skills')} AS skill FROM gigs")(_over("n05_skill", "gigs", skill=N.skill(c("skills"))))
+query(f"SELECT line_no, {O.phone('phone')} AS phone_key FROM bridge")(_over("n01_phone_key", "bridge", phone_key=lambda: N.phone_key(c("phone"))))
+query(f"SELECT line_no, {O.email('email')} AS email_key FROM gigs")(_over("n02_email_key", "gigs", email_key=lambda: N.email_key(c("email"))))
+query(f"SELECT line_no, {O.city('city')} AS city_norm FROM bridge")(_over("n03_city", "bridge", city_norm=lambda: N.city(c("city"))))
+query(f"SELECT line_no, {O.title('full_name')} AS titled FROM contacts")(_over("n04_title_case", "contacts", titled=lambda: N.title_case(c("full_name"))))
+query(f"SELECT line_no, {O.skill('skills')} AS skill FROM gigs")(_over("n05_skill", "gigs", skill=lambda: N.skill(c("skills"))))
 query(
     f"""SELECT line_no, coalesce(string_agg(s, '|' ORDER BY pos), '') AS skill_list, count(s) AS skills FROM (
         SELECT line_no, s, min(i) AS pos FROM (SELECT line_no, i, {O.skill("raw")} AS s FROM (SELECT line_no, unnest(string_split(skills, ',')) AS raw, generate_subscripts(string_split(skills, ','), 1) AS i FROM bridge)) GROUP BY line_no, s)
         GROUP BY line_no"""
-)(_over("n06_split_skills", "bridge", skill_list=F.array_join(N.skills(c("skills")), "|"), skills=F.size(N.skills(c("skills"))).cast("long")))
-query(f"SELECT line_no, {O.status('status')} AS status_norm FROM gigs")(_over("n07_status", "gigs", status_norm=N.status(c("status"))))
-query(f"SELECT line_no, {O.verified('verified')} AS verified_norm FROM contacts")(_over("n08_verified", "contacts", verified_norm=N.verified(c("verified"))))
-query(f"SELECT line_no, {O.ctc_amount('ctc')} AS amount_inr, {O.ctc_unit('ctc')} AS unit FROM bridge")(_over("n09_ctc", "bridge", amount_inr=N.ctc(c("ctc"))["amount_inr"], unit=N.ctc(c("ctc"))["unit"]))
-query(f"SELECT line_no, {O.rate_amount('rate')} AS amount, {O.rate_period('rate')} AS period FROM gigs")(_over("n10_rate", "gigs", amount=N.rate(c("rate"))["amount"], period=N.rate(c("rate"))["period"]))
-query(f"SELECT line_no, {O.date_value('applied_date')} AS value, {O.date_layout('applied_date')} AS layout FROM bridge")(_over("n11_date", "bridge", value=N.applied_date(c("applied_date"))["value"], layout=N.applied_date(c("applied_date"))["layout"]))
+)(_over("n06_split_skills", "bridge", skill_list=lambda: F.array_join(N.skills(c("skills")), "|"), skills=lambda: F.size(N.skills(c("skills"))).cast("long")))
+query(f"SELECT line_no, {O.status('status')} AS status_norm FROM gigs")(_over("n07_status", "gigs", status_norm=lambda: N.status(c("status"))))
+query(f"SELECT line_no, {O.verified('verified')} AS verified_norm FROM contacts")(_over("n08_verified", "contacts", verified_norm=lambda: N.verified(c("verified"))))
+query(f"SELECT line_no, {O.ctc_amount('ctc')} AS amount_inr, {O.ctc_unit('ctc')} AS unit FROM bridge")(_over("n09_ctc", "bridge", amount_inr=lambda: N.ctc(c("ctc"))["amount_inr"], unit=lambda: N.ctc(c("ctc"))["unit"]))
+query(f"SELECT line_no, {O.rate_amount('rate')} AS amount, {O.rate_period('rate')} AS period FROM gigs")(_over("n10_rate", "gigs", amount=lambda: N.rate(c("rate"))["amount"], period=lambda: N.rate(c("rate"))["period"]))
+query(f"SELECT line_no, {O.date_value('applied_date')} AS value, {O.date_layout('applied_date')} AS layout FROM bridge")(_over("n11_date", "bridge", value=lambda: N.applied_date(c("applied_date"))["value"], layout=lambda: N.applied_date(c("applied_date"))["layout"]))
 query(f"SELECT line_no, ({O.date_other('applied_date')}) IS NOT NULL AS ambiguous, {O.date_other('applied_date')} AS alternative FROM bridge")(
-    _over("n12_ambiguous_date", "bridge", ambiguous=N.applied_date(c("applied_date"))["ambiguous"], alternative=N.applied_date(c("applied_date"))["alternative"])
+    _over("n12_ambiguous_date", "bridge", ambiguous=lambda: N.applied_date(c("applied_date"))["ambiguous"], alternative=lambda: N.applied_date(c("applied_date"))["alternative"])
 )
-query(f"SELECT b.line_no, {O.decimal('experience')} AS experience_years, {O.whole('ctc')} AS whole_ctc FROM bridge b")(_over("n13_plain_numbers", "bridge", experience_years=N.plain_number(c("experience")), whole_ctc=N.plain_whole(c("ctc"))))
-query(f"SELECT line_no, {O.name_key('full_name')} AS name_key FROM gigs")(_over("n14_name_key", "gigs", name_key=N.name_key(c("full_name"))))
+query(f"SELECT b.line_no, {O.decimal('experience')} AS experience_years, {O.whole('ctc')} AS whole_ctc FROM bridge b")(_over("n13_plain_numbers", "bridge", experience_years=lambda: N.plain_number(c("experience")), whole_ctc=lambda: N.plain_whole(c("ctc"))))
+query(f"SELECT line_no, {O.name_key('full_name')} AS name_key FROM gigs")(_over("n14_name_key", "gigs", name_key=lambda: N.name_key(c("full_name"))))
 
 
 # ---- resolution ----------------------------------------------------------------------
