@@ -10,6 +10,8 @@ unit to be grouped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,7 @@ def word_bigrams(text: str) -> list[str]:
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """Sizes of a set with which the Dice coefficient with one of size n can reach the threshold."""
-    low = -(-threshold * n // (2 - threshold))
-    return int(low), int((2 - threshold) * n / threshold + 1e-9)
+    return math.ceil(threshold * n / (2 - threshold) - 1e-9), math.floor((2 - threshold) * n / threshold + 1e-9)
 
 
 def template_array(templates, threshold: float) -> Column:

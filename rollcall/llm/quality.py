@@ -90,7 +90,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
     """Trees from at most ``train_rows`` labelled rows that aren't held out."""
     sample = labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), train_rows, seed)
     rows = with_statistics(sample, "__id long, __label double").orderBy("__id", "__label", "__x").toArrow()
-    x = np.array(rows.column("__x").to_pylist(), float).reshape(rows.num_rows, -1)
+    x = np.array(rows.column("__x").to_pylist(), float).reshape(rows.num_rows, len(STATISTICS))
     return fit_trees(x, (rows.column("__label").to_numpy() > 0.5).astype(float))
 
 
