@@ -113,7 +113,7 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
     rotation = np.linalg.svd(sample, full_matrices=True)[2].T if len(sample) <= 4 * sample.shape[1] else np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
     rotation = np.ascontiguousarray(rotation)
 
-    # One length for each block: rows / BLOCK_ROWS numbers.
+    # One length for each block: 8 bytes for every BLOCK_ROWS rows, held by the driver and broadcast.
     longest = {r.block: r.norm for r in sorted_.groupBy("block").agg(F.max("norm").alias("norm")).collect()}
     first = min(longest)
     sets = max(1, -(-(n // max(every, 1) + 1) // QUERY_ROWS))
@@ -131,11 +131,19 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
     start = search(asked.withColumn("block", F.lit(first)).withColumn("threshold", F.lit(float("-inf"))), sorted_.where(F.col("block") == first).withColumn("set", everywhere))
     start = cut(best(start, k, ascending=False))
     reached = start.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("reached"))
-    lengths = F.array(*[F.struct(F.lit(int(b)).alias("block"), F.lit(float(x)).alias("longest")) for b, x in sorted(longest.items()) if b != first]) if len(longest) > 1 else None
-    if lengths is None:
+    if len(longest) == 1:
         return start
-    ready = asked.join(reached, asked.id == reached.query_id, "left").withColumn("threshold", F.coalesce("reached", F.lit(float("-inf"))))
-    reaches = F.filter(lengths, lambda b: F.col("norm") * b["longest"] * (1 + 1e-9) >= F.col("threshold"))
-    ready = ready.withColumn("block", F.explode(F.transform(reaches, lambda b: b["block"])))
+    order = sorted(b for b in longest if b != first)
+    shared = spark.sparkContext.broadcast((np.array(order, np.int32), np.array([longest[b] for b in order])))
+
+    def reaches(batches):
+        for batch in batches:
+            numbers, lengths = shared.value
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            hits = [numbers[lengths * (n * (1 + 1e-9)) >= t] for n, t in zip(column("norm"), column("threshold"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h.tolist() for h in hits], pa.list_(pa.int32()))], names=[*batch.schema.names, "blocks"])
+
+    ready = asked.join(reached, asked.id == reached.query_id, "left").select("id", "v", "norm", "set", F.coalesce("reached", F.lit(float("-inf"))).alias("threshold"))
+    ready = ready.mapInArrow(reaches, "id long, v array<double>, norm double, set int, threshold double, blocks array<int>").withColumn("block", F.explode("blocks"))
     more = search(ready, sorted_.where(F.col("block") != first).withColumn("set", everywhere))
     return best(start.select("query_id", "vec_id", "score").unionByName(more), k, ascending=False)
