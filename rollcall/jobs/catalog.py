@@ -174,4 +174,4 @@ def m19_person_ids(spark, sf_dir):
     UNION ALL SELECT 'skills', count(*) FROM skill_rows UNION ALL SELECT 'issue:' || issue_type, count(*) FROM merge_issues GROUP BY 1"""
 )
 def m20_merge_summary(spark, sf_dir):
-    return merged(spark, sf_dir).summary()
+    return merged(spark, sf_dir).kept().summary()

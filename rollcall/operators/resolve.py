@@ -88,11 +88,18 @@ class Resolved:
         head = lambda phone, email: ["person_id", "full_name", phone.alias("primary_phone"), email.alias("primary_email"), F.col("city_norm").alias("city"), F.col("city").alias("city_raw")]
         return self.gigs.where("orphan").select(*head(none("string"), F.col("email_key"))).unionByName(self.contacts.where("orphan").select(*head(F.col("phone_key"), none("string"))))
 
+    def kept(self) -> "Resolved":
+        """The same with its tables persisted (spilling to disk), for several results from one merge."""
+        return Resolved(*(df.persist() for df in (self.bridge, self.groups, self.index, self.gigs, self.contacts)))
+
+    def everyone(self) -> DataFrame:
+        """Bridge people and orphans, before anything is folded in."""
+        seeded = self.groups.select("person_id", "full_name", F.col("phone_key").alias("primary_phone"), "primary_email", F.col("city_norm").alias("city"), F.col("city").alias("city_raw"), "experience_years", F.col("ctc_parsed.amount_inr").alias("ctc_annual_inr"), F.col("ctc").alias("ctc_raw"), F.col("ctc_parsed.unit").alias("ctc_source_unit"), F.col("date_parsed.value").alias("applied_date"), F.col("applied_date").alias("applied_date_raw"))
+        return seeded.unionByName(self.orphans(), allowMissingColumns=True)
+
     def people(self) -> DataFrame:
         """Canonical people: bridge fields, folded fields, orphans."""
-        seeded = self.groups.select("person_id", "full_name", F.col("phone_key").alias("primary_phone"), "primary_email", F.col("city_norm").alias("city"), F.col("city").alias("city_raw"), "experience_years", F.col("ctc_parsed.amount_inr").alias("ctc_annual_inr"), F.col("ctc").alias("ctc_raw"), F.col("ctc_parsed.unit").alias("ctc_source_unit"), F.col("date_parsed.value").alias("applied_date"), F.col("applied_date").alias("applied_date_raw"))
-        everyone = seeded.unionByName(self.orphans(), allowMissingColumns=True)
-        return everyone.join(self.fold_gigs(), "person_id", "left").join(self.fold_contacts(), "person_id", "left").withColumn("source_origin", F.lit("csv_merge"))
+        return self.everyone().join(self.fold_gigs(), "person_id", "left").join(self.fold_contacts(), "person_id", "left").withColumn("source_origin", F.lit("csv_merge"))
 
     def links(self) -> DataFrame:
         """Every staged row's person and how it was matched."""
@@ -156,7 +163,7 @@ class Resolved:
         """How many people, links, review candidates, skill rows, and issues of each type."""
         count = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
         by_type = self.issues().groupBy(F.concat(F.lit("issue:"), "issue_type").alias("what")).agg(F.count("*").alias("n"))
-        return count(self.people(), "people").unionByName(count(self.links(), "links")).unionByName(count(self.lookalikes(), "review_candidates")).unionByName(count(self.skills(), "skills")).unionByName(by_type)
+        return count(self.everyone(), "people").unionByName(count(self.links(), "links")).unionByName(count(self.lookalikes(), "review_candidates")).unionByName(count(self.skills(), "skills")).unionByName(by_type)
 
 
 def resolve(bridge: DataFrame, gigs: DataFrame, contacts: DataFrame) -> Resolved:
