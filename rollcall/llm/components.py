@@ -21,10 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("label")))
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
-        jump = step.select(F.col("node").alias("via"), F.col("new").alias("beyond"))
-        after = cut(step.join(jump, F.col("new") == F.col("via")).select("node", "old", F.least("new", "beyond").alias("label")))
-        moved = after.where("old != label").limit(1).count()
-        labels = after.select("node", "label")
-        if not moved:
-            return labels
+        step = cut(labels.join(near, F.col("node") == F.col("x")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        if not step.where("old != label").limit(1).count():
+            return step.select("node", "label")
+        # Both sides are read from the checkpoint, so that Spark can split a label that many nodes have.
+        beyond = step.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
+        labels = cut(step.join(beyond, F.col("label") == F.col("via")).select("node", F.least("label", "beyond").alias("label")))
