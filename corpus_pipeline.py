@@ -23,21 +23,22 @@ from rollcall.llm.queries import tokenizer_file
 from rollcall.llm.toxicity import toxicity_scores
 
 
-def _as_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the whole row as ``__row``, whatever its other columns are called."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+def _kept(docs: DataFrame, operator: Callable[..., DataFrame], labels: DataFrame, verdict: int) -> DataFrame:
+    """The rows of ``docs`` that ``operator`` predicts as ``verdict``; its columns may have any names."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], "doc_id")
+    scored = operator(rows, labels, keep=tuple(names), text=names[docs.columns.index("text")])
+    return scored.where(F.col("predicted") == verdict).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
-    scored = quality_scores(_as_rows(docs), table(spark, sf_dir, "labels"), keep=("__row",))
-    return scored.where("predicted = 1").select("__row.*")
+    return _kept(docs, quality_scores, table(spark, sf_dir, "labels"), 1)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't predict as toxic."""
-    scored = toxicity_scores(_as_rows(docs), table(spark, sf_dir, "labels"), keep=("__row",))
-    return scored.where("predicted = 0").select("__row.*")
+    return _kept(docs, toxicity_scores, table(spark, sf_dir, "labels"), 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ prefixes are computed once.
 
 The vocabularies meant here mark word ends (``end_of_word_suffix``), fold case
 and drop white space, so a text is the sequence of its pieces between spaces.
-Pieces' results are remembered by each worker up to a bound; nothing is
+Pieces' results are remembered by each task up to a bound; nothing is
 shuffled, and a text is never held to a prefix of it.
 """
 
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import with_results
+from rollcall.llm.common import modest_batches, with_results
 
 SLICE_BYTES = 1 << 23
-#: Pieces, words and pairs of tokens that a worker remembers; then it starts afresh.
+#: Pieces, words and pairs of tokens that a task remembers; then it starts afresh.
 MEMO_PIECES = 150_000
 MEMO_WORDS = 250_000
 MEMO_PAIRS = 300_000
@@ -89,6 +89,11 @@ class Codec:
         self.pieces: dict[str, tuple[str, str]] = {}
         self.joined: dict[str, tuple[str, str]] = {t: (str(i), t) for t, i in special.items()}
 
+    def forget(self) -> None:
+        """Drop what was remembered, so that an idle worker is small."""
+        self.pieces, self.pairs = {}, {}
+        self.joined = {t: (str(i), t) for t, i in self.special.items()}
+
     # ---- words -------------------------------------------------------------
 
     def words(self, segment: str) -> list[str]:
@@ -284,6 +289,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep
     Repeated rows are encoded each; an empty table gives no rows; other columns,
     whatever their names, are not read.
     """
+    modest_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     plain = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
     more = {"ids": "array<int>", "decoded": "string"} if full else {}
@@ -302,5 +308,6 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep
                 columns += [pa.array([[int(i) for i in a.split()] for a, _ in done], pa.list_(pa.int32())), pa.array([b for _, b in done])]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *names])
+        own.forget()
 
     return plain.mapInArrow(run, with_results(plain, n_tokens="long", ids_sha256="string", decoded_sha256="string", **more))

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def ship(spark: SparkSession) -> None:
     context._rollcall_shipped = True
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, as texts are long; a setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, read by Spark alone."""
     ship(spark)
@@ -81,3 +89,4 @@ def slices(batches, size_of: str, max_bytes: int):
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()

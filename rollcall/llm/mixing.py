@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.llm.common import modest_batches
+
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 4096
 #: Rows of a source that are put in order together, about.
@@ -270,6 +272,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     the stretches taken, in order, with a line break between them; ``n_chars``,
     if there, follows the text.  Documents that no pass takes are not returned.
     """
+    modest_batches(docs.sparkSession)
     plan, dealt = planned(docs, **options)
     laid = laid_out(dealt)
     narrow = laid_out(dealt.select("doc_id", *[c for c in dealt.columns if c.startswith("__mix_")]))

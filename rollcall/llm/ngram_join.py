@@ -28,7 +28,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut
+from rollcall.llm.common import cut, modest_batches
 from rollcall.llm.components import components
 
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -318,7 +318,7 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", id_column: str = "doc_id") -> NgramLinks:
     """Classes of equal texts, their links to other texts, and the components these make."""
-    spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     needed = least_matches(threshold, tolerance)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("__key", F.unhex(F.md5(body)))

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.boosted_trees import FlatTrees, fit_trees
-from rollcall.llm.common import held_out, with_results
-from rollcall.llm.sampling import labelled_sample
+from rollcall.llm.common import held_out, modest_batches
+from rollcall.llm.sampling import labelled_sample, scored_rows, with_scores
 
 SLICE_BYTES = 1 << 22
 #: Labelled rows learnt from, at most.
@@ -94,7 +94,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
     return fit_trees(x, (rows.column("__label").to_numpy() > 0.5).astype(float))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, modulus: int = 5, remainder: int = 0, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, modulus: int = 5, remainder: int = 0, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``keep``, held_out, score and predicted (1 if score >= ``threshold``) of every row.
 
     A null text scores as an empty one, which scores as what it is: a document
@@ -102,19 +102,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     label alone) every row has the same score, the smoothed share of label 1.
     Repeated rows score alike; an empty table gives no rows.
     """
-    model = fit_quality(docs, labels, modulus=modulus, remainder=remainder, train_rows=train_rows)
+    modest_batches(docs.sparkSession)
+    model = fit_quality(docs.select("doc_id", F.col(text).alias("text")), labels, modulus=modulus, remainder=remainder, train_rows=train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], held_out("doc_id", modulus, remainder).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-
-    def run(batches):
-        from rollcall.llm.common import slices
-        from rollcall.llm.quality import SLICE_BYTES, statistics
-
-        for part in slices(batches, "__text", SLICE_BYTES):
-            score = shared.value.probability(statistics(part.column(part.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=[*part.schema.names[:-1], "score", "predicted"],
-            )
-
-    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))
+    rows, body = scored_rows(docs, keep, text, held_out("doc_id", modulus, remainder))
+    return with_scores(rows, body, lambda texts: shared.value.probability(statistics(texts)), threshold, SLICE_BYTES)

@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import with_results
+
+
+def scored_rows(docs: DataFrame, keep: tuple[str, ...], text: str, held: Column) -> tuple[DataFrame, str]:
+    """The kept columns and held_out, and where the text is: among them or, if it isn't kept, in ``__text``.
+
+    So a text goes to the workers once.
+    """
+    rows = [*[F.col(c) for c in keep], held.alias("held_out")]
+    if text in keep:
+        return docs.select(*rows), text
+    return docs.select(*rows, F.col(text).alias("__text")), "__text"
+
+
+def with_scores(rows: DataFrame, body: str, scores, threshold: float, slice_bytes: int) -> DataFrame:
+    """``rows`` with score and predicted; ``scores`` turns texts (null ones as empty) into an array of scores."""
+
+    def run(batches):
+        from rollcall.llm.common import slices
+
+        for part in slices(batches, body, slice_bytes):
+            at = part.schema.get_field_index(body)
+            score = np.asarray(scores([t or "" for t in part.column(at).to_pylist()]), float)
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*(n for n, _ in kept), "score", "predicted"])
+
+    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, bound: int, seed: int) -> DataFrame:
     """``__text`` and ``__label`` of at most ``bound`` labelled documents that may be learnt from.

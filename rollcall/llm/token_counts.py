@@ -2,7 +2,7 @@
 
 Texts arrive in Arrow batches, are cut into slices of about equal bytes and
 broken at *safe boundaries*: places where a byte-level pre-tokenizer breaks the
-text whatever stands around.  A piece that was met before in the same worker has
+text whatever stands around.  A piece that was met before in the same task has
 its length from a bounded memo; the pieces that were not are encoded in batches
 of about equal bytes.  There is no shuffle.
 
@@ -24,13 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import with_results
+from rollcall.llm.common import modest_batches, with_results
 
 #: Bytes of text taken from an Arrow batch at a time.
 SLICE_BYTES = 1 << 22
 #: Bytes of new pieces put together into one encoded string, and strings per call.
 CHUNK_BYTES = 1 << 14
-#: Pieces that a worker remembers; then it starts afresh.
+#: Pieces that a task remembers; then it starts afresh.
 MEMO_PIECES = 400_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 64
@@ -124,6 +124,7 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
     columns of the table, whatever their names, are not read.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
     plain = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
@@ -140,5 +141,6 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
                 [*part.columns[:-1], size, n, pc.greater(n, over)],
                 names=[*part.schema.names[:-1], "n_bytes", "n_tokens", "over_limit"],
             )
+        own.memo = {}  # an idle worker is to be small
 
     return plain.mapInArrow(run, with_results(plain, n_bytes="long", n_tokens="long", over_limit="boolean"))

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import held_out, with_results
-from rollcall.llm.sampling import labelled_sample
+from rollcall.llm.common import held_out, modest_batches
+from rollcall.llm.sampling import labelled_sample, scored_rows, with_scores
 
 SLICE_BYTES = 1 << 22
 #: Labelled rows learnt from, features chosen by their counts: at most.
@@ -188,26 +188,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
     return LinearModel(index, *fit_linear(x, y, swapped, moved, fairness=fairness))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, modulus: int = 4, remainder: int = 2, train_rows: int = TRAIN_ROWS, fairness: float = 4.0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3, modulus: int = 4, remainder: int = 2, train_rows: int = TRAIN_ROWS, fairness: float = 4.0) -> DataFrame:
     """``keep``, held_out, score and predicted (1 if score >= ``threshold``) of every row's whole text.
 
     A null text scores as an empty one: the model's bias.  Rows with a null id
     aren't held out.  Without labels of both kinds every row has the same score.
     Repeated rows score alike; an empty table gives no rows.
     """
-    model = fit_toxicity(docs, labels, modulus=modulus, remainder=remainder, train_rows=train_rows, fairness=fairness)
+    modest_batches(docs.sparkSession)
+    model = fit_toxicity(docs.select("doc_id", F.col(text).alias("text")), labels, modulus=modulus, remainder=remainder, train_rows=train_rows, fairness=fairness)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], held_out("doc_id", modulus, remainder).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-
-    def run(batches):
-        from rollcall.llm.common import slices
-        from rollcall.llm.toxicity import SLICE_BYTES
-
-        for part in slices(batches, "__text", SLICE_BYTES):
-            score = shared.value.scores(part.column(part.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))],
-                names=[*part.schema.names[:-1], "score", "predicted"],
-            )
-
-    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))
+    rows, body = scored_rows(docs, keep, text, held_out("doc_id", modulus, remainder))
+    return with_scores(rows, body, lambda texts: shared.value.scores(texts), threshold, SLICE_BYTES)
