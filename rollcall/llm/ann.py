@@ -11,11 +11,17 @@ Vectors that occur often count once, with their smallest ids.  Buckets are dealt
 into cells by hash, large cells into chunks; queries go to the cells that
 they visit.  A task measures exact distances of the visited rows and returns
 each query's nearest ones; these are merged over tables and cells.
+
+The number of visits is bounded, so what they gave is checked: a query with fewer
+finds than there are to find, or whose visits are likely to miss a row at the
+distance of its last find, is compared with every row in a second pass.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +33,13 @@ from rollcall.llm.common import cut
 from rollcall.llm.ngram_join import groups_of, numbered
 from rollcall.llm.vectors import best, lists, packed, usable
 
+LOG = logging.getLogger(__name__)
 TABLES, PROJECTIONS, WIDTH = 8, 10, 2.5
 #: Rows of the sample that the index is fitted on, and queries of it that recall is measured with.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 64
 SAMPLE_RECALL, MOST_PROBES = 0.96, 512
+#: Queries whose visits find a row as far as their k-th find with less than this chance are compared with every row.
+LEAST_CHANCE = 0.9
 #: Rows of the index in one cell or chunk, about.
 CELL_ROWS = 8192
 
@@ -58,10 +67,9 @@ class Hashes:
                 out ^= out >> np.uint64(31)
         return out.view(np.int64)
 
-    def visited(self, position: np.ndarray) -> np.ndarray:
-        """Codes of the buckets that a query at ``position`` in one table visits, likeliest first."""
-        cell = np.floor(position)
-        inside = position - cell
+    def steps(self, position: np.ndarray) -> np.ndarray:
+        """Steps (-1, 0, 1) from the own bucket to each that a query at ``position`` in one table visits, likeliest first."""
+        inside = position - np.floor(position)
         moves = sorted([(f * f, j, -1) for j, f in enumerate(inside)] + [((1 - f) ** 2, j, 1) for j, f in enumerate(inside)])
         chosen: list[tuple[int, ...]] = [()]
         heap = [(moves[0][0], (0,))]
@@ -73,11 +81,28 @@ class Hashes:
             if last + 1 < len(moves):
                 heapq.heappush(heap, (cost - moves[last][0] + moves[last + 1][0], (*some[:-1], last + 1)))
                 heapq.heappush(heap, (cost + moves[last + 1][0], (*some, last + 1)))
-        cells = np.repeat(cell[None], len(chosen), axis=0)
+        steps = np.zeros((len(chosen), len(position)))
         for k, some in enumerate(chosen):
             for i in some:
-                cells[k, moves[i][1]] += moves[i][2]
-        return self.code(cells)
+                steps[k, moves[i][1]] += moves[i][2]
+        return steps
+
+    def visited(self, position: np.ndarray) -> np.ndarray:
+        """Codes of the buckets that a query at ``position`` in one table visits, likeliest first."""
+        return self.code(np.floor(position) + self.steps(position))
+
+    def chance(self, positions: np.ndarray, distance: float) -> float:
+        """How likely the visits in all tables find a row at ``distance`` of a query at ``positions`` (tables x projections)."""
+        if distance <= 0:
+            return 1.0
+        missed = 1.0
+        for position in positions:
+            inside = position - np.floor(position)
+            edges = (np.arange(-1, 3)[None] - inside[:, None]) * (self.width / distance / math.sqrt(2))
+            below = np.array([[math.erf(e) / 2 for e in row] for row in edges.tolist()])
+            steps = self.steps(position).astype(int)
+            missed *= 1 - np.diff(below)[np.arange(len(position))[None], steps + 1].prod(axis=1).sum()
+        return 1 - missed
 
 
 def fit_hashes(sample: np.ndarray, k: int, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, recall: float = SAMPLE_RECALL, seed: int = 4) -> Hashes:
@@ -112,7 +137,7 @@ def classes_of(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def nearest_in(batches, k: int):
-    """Each query's k nearest among the visited rows, in each group of a table, cell and chunk."""
+    """Each query's k nearest among the visited rows (all, if visits are null), in each group of a table, cell and chunk."""
     for whole in groups_of(batches, 3):
         group = numbered(whole, 3)
         bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() + [len(group)]
@@ -130,10 +155,11 @@ def nearest_in(batches, k: int):
             for at in range(0, len(q), 256):
                 rough = square - 2 * q[at : at + 256] @ x.T  # squared distances less the query's own square
                 for i, row in enumerate(rough, at):
-                    open_ = np.zeros(len(buckets) + 1, bool)
-                    place = np.searchsorted(buckets, visits[i])
-                    place[place == len(buckets)] = 0
-                    open_[place[buckets[place] == visits[i]]] = True
+                    open_ = np.full(len(buckets), visits[i] is None)
+                    if visits[i] is not None:
+                        place = np.searchsorted(buckets, visits[i])
+                        place[place == len(buckets)] = 0
+                        open_[place[buckets[place] == visits[i]]] = True
                     seen = np.flatnonzero(open_[of])
                     if not len(seen):
                         continue
@@ -154,7 +180,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
     See :func:`rollcall.llm.vectors.usable` for the rows that take part (zero
     vectors don't).  Score is the Euclidean distance in double precision; ties go
     to the smaller id; a query is no neighbour of itself, but equal vectors of other
-    ids are.  With fewer than k found, all of them; an empty table gives no rows.
+    ids are.  With fewer than k other rows, all of them; an empty table gives no rows.
+    How many queries were compared with every row is logged.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors, id_column, vector, nonzero=True))
@@ -197,8 +224,35 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
     asked = asked.withColumn("cell", F.explode(F.array_distinct(F.transform("visits", lambda b: F.pmod(F.xxhash64(b), F.lit(cells)).cast("int")))))
     asked = asked.join(chunks, ["table", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    both = indexed.select("table", "cell", "chunk", F.lit(False).alias("query"), none("long").alias("id"), "bucket", "v", "ids", none("array<long>").alias("visits")).unionByName(
-        asked.select("table", "cell", "chunk", F.lit(True).alias("query"), "id", F.lit(0).cast("long").alias("bucket"), "v", none("array<long>").alias("ids"), "visits")
-    )
-    dealt = both.repartition("table", "cell", "chunk").sortWithinPartitions("table", "cell", "chunk")
-    return best(dealt.mapInArrow(lambda b: nearest_in(b, k), "query_id long, vec_id long, score double"), k, ascending=True)
+
+    def search(index_rows: DataFrame, queries: DataFrame) -> DataFrame:
+        both = index_rows.select("table", "cell", "chunk", F.lit(False).alias("query"), none("long").alias("id"), "bucket", "v", "ids", none("array<long>").alias("visits")).unionByName(
+            queries.select("table", "cell", "chunk", F.lit(True).alias("query"), "id", F.lit(0).cast("long").alias("bucket"), "v", none("array<long>").alias("ids"), "visits")
+        )
+        dealt = both.repartition("table", "cell", "chunk").sortWithinPartitions("table", "cell", "chunk")
+        return best(dealt.mapInArrow(lambda b: nearest_in(b, k), "query_id long, vec_id long, score double"), k, ascending=True)
+
+    found = cut(search(indexed, asked))
+    least = min(k, rows.count() - 1)
+
+    def lacking(batches):
+        """id, v of the queries whose visits fell short: too few finds, or too small a chance at the last one's distance."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            finds, last = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            position = shared.value.positions(packed(batch.column(1)))
+            short = [n < least or (n > 0 and shared.value.chance(position[i], far) < LEAST_CHANCE) for i, (n, far) in enumerate(zip(finds, last))]
+            yield batch.select([0, 1]).filter(pa.array(short))
+
+    finds = found.groupBy("query_id").agg(F.count("*").alias("finds"), F.max("score").alias("last"))
+    queries = rows.where(F.col("id") % every == 0).join(finds, F.col("id") == F.col("query_id"), "left")
+    short = cut(queries.select("id", "v", F.coalesce("finds", F.lit(0)).alias("finds"), F.coalesce("last", F.lit(0.0)).alias("last")).mapInArrow(lacking, "id long, v array<double>"))
+    n_short = short.count()
+    LOG.info("%d queries are compared with every row", n_short)
+    if not n_short:
+        return found
+    place = [F.lit(0).alias("table"), F.lit(0).alias("chunk")]
+    blocks = classes.select(*place, F.pmod("class", F.lit(cells)).cast("int").alias("cell"), F.lit(0).cast("long").alias("bucket"), "v", "ids")
+    everywhere = short.select(*place, F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), "id", "v", none("array<long>").alias("visits"))
+    return best(found.select("query_id", "vec_id", "score").unionByName(search(blocks, everywhere).select("query_id", "vec_id", "score")), k, ascending=True)

@@ -77,3 +77,26 @@ def test_visits_are_in_order_of_cost():
     codes = h.visited(np.array([0.1, 0.6]))
     cells = [(0, 0), (-1, 0), (0, 1), (-1, 1), (0, -1), (-1, -1), (1, 0), (1, 1), (1, -1)]
     assert codes.tolist() == h.code(np.array(cells, float)).tolist()
+
+
+def test_outlying_queries_find_as_many_as_there_are(spark):
+    """Unit vectors, and queries of 2, 3, 5 and 50 times the length, whose own buckets and neighbours are empty."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    for at, times in ((100, 2), (200, 3), (300, 5), (400, 50)):
+        x[at] *= times
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 3000, 100)) and all(len(f) == 10 for f in got.values())
+    for at in (100, 200, 300, 400):
+        far = ((x - x[at]) ** 2).sum(axis=1)
+        far[at] = np.inf
+        assert [v for _, v in sorted(got[at])] == np.argsort(far)[:10].tolist()
+
+
+def test_tables_of_few_rows_give_all_others(spark):
+    rows = [(i, [float(1000 * i), float(-i), 1.0], 0) for i in range(8)]
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, V)).collect()]
+    assert sorted(got) == [(i, i) for i in range(1, 8)]
