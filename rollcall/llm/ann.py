@@ -9,8 +9,9 @@ recall on the sample reaches a target.
 
 Vectors that occur often count once, with their smallest ids.  Buckets are dealt
 into cells by hash, large cells into chunks; queries go to the cells that
-they visit.  A task measures exact distances of the visited rows and returns
-each query's nearest ones; these are merged over tables and cells.
+they visit.  A task holds one block of rows and lets its queries pass by: it measures
+exact distances of the visited rows and returns each query's nearest ones; these
+are merged over tables and cells.
 
 The number of visits is bounded, so what they gave is checked: a query with fewer
 finds than there are to find, or whose visits are likely to miss a row at the
@@ -30,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.common import cut
-from rollcall.llm.ngram_join import groups_of, numbered
 from rollcall.llm.vectors import best, lists, packed, usable
 
 LOG = logging.getLogger(__name__)
@@ -42,6 +42,8 @@ SAMPLE_RECALL, MOST_PROBES = 0.96, 512
 LEAST_CHANCE = 0.9
 #: Rows of the index in one cell or chunk, about.
 CELL_ROWS = 8192
+#: Queries that a task compares with a block of rows at once; the others of the group come after them.
+QUERY_ROWS = 1024
 
 
 @dataclass
@@ -136,42 +138,63 @@ def classes_of(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("class", key)
 
 
+def blocks_and_queries(batches, most: int):
+    """(rows, queries) of each group of a table, cell and chunk: its index rows whole, its queries ``most`` at a time.
+
+    Rows of a group come together, those of the index first.  Queries pass by, so no
+    more than one block of rows and one set of queries is held.
+    """
+    key, held, rows = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]  # the fourth: whether it is a query
+        change = np.flatnonzero(np.any([i[1:] != i[:-1] for i in ids], axis=0)) + 1
+        bounds = [0, *change.tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:]):
+            *group, is_query = (i[lo].item() for i in ids)
+            if group != key:
+                key, held, rows = group, [], None
+            if not is_query:
+                held.append(batch.slice(lo, hi - lo))
+            elif held:
+                rows = rows or pa.Table.from_batches(held)
+                for at in range(lo, hi, most):
+                    yield rows, batch.slice(at, min(most, hi - at))
+
+
 def nearest_in(batches, k: int):
     """Each query's k nearest among the visited rows (all, if visits are null), in each group of a table, cell and chunk."""
-    for whole in groups_of(batches, 3):
-        group = numbered(whole, 3)
-        bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() + [len(group)]
-        for lo, hi in zip(bounds, bounds[1:]):
-            part = whole.slice(lo, hi - lo)
-            is_query = part.column("query").to_numpy(zero_copy_only=False)
-            rows, queries = part.filter(pa.array(~is_query)), part.filter(pa.array(is_query))
-            if not rows.num_rows or not queries.num_rows:
-                continue
-            x, q = packed(rows.column("v")), packed(queries.column("v"))
+    block = None
+    for rows, queries in blocks_and_queries(batches, QUERY_ROWS):
+        if rows is not block:
+            block, x = rows, packed(rows.column("v"))
             buckets, of = np.unique(rows.column("bucket").to_numpy(), return_inverse=True)
-            ids, visits, own = rows.column("ids").to_pylist(), queries.column("visits").to_pylist(), queries.column("id").to_pylist()
-            square = (x * x).sum(axis=1)
-            out: list[tuple[int, int, float]] = []
-            for at in range(0, len(q), 256):
-                rough = square - 2 * q[at : at + 256] @ x.T  # squared distances less the query's own square
-                for i, row in enumerate(rough, at):
-                    open_ = np.full(len(buckets), visits[i] is None)
-                    if visits[i] is not None:
-                        place = np.searchsorted(buckets, visits[i])
-                        place[place == len(buckets)] = 0
-                        open_[place[buckets[place] == visits[i]]] = True
-                    seen = np.flatnonzero(open_[of])
-                    if not len(seen):
-                        continue
-                    d = row[seen]
-                    if len(seen) > k + 1:  # the query's own class may be among them
-                        limit = np.partition(d, k)[k]
-                        seen = seen[d <= limit + 1e-9 * (1 + abs(limit) + square.max())]
-                    exact = np.sqrt(((x[seen] - q[i]) ** 2).sum(axis=1))
-                    near = sorted((s, v) for s, c in zip(exact.tolist(), seen.tolist()) for v in ids[c] if v != own[i])[:k]
-                    out += [(own[i], v, s) for s, v in near]
-            columns = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            ids, square = rows.column("ids").to_pylist(), (x * x).sum(axis=1)
+        q, visits, own = packed(queries.column("v")), queries.column("visits"), queries.column("id").to_pylist()
+        out: list[tuple[int, int, float]] = []
+        for at in range(0, len(q), 256):
+            rough = square - 2 * q[at : at + 256] @ x.T  # squared distances less the query's own square
+            for i, row in enumerate(rough, at):
+                visit = visits[i].values
+                open_ = np.full(len(buckets), visit is None)
+                if visit is not None:
+                    visit = visit.to_numpy()
+                    place = np.searchsorted(buckets, visit)
+                    place[place == len(buckets)] = 0
+                    open_[place[buckets[place] == visit]] = True
+                seen = np.flatnonzero(open_[of])
+                if not len(seen):
+                    continue
+                d = row[seen]
+                if len(seen) > k + 1:  # the query's own class may be among them
+                    limit = np.partition(d, k)[k]
+                    seen = seen[d <= limit + 1e-9 * (1 + abs(limit) + square.max())]
+                exact = np.sqrt(((x[seen] - q[i]) ** 2).sum(axis=1))
+                near = sorted((s, v) for s, c in zip(exact.tolist(), seen.tolist()) for v in ids[c] if v != own[i])[:k]
+                out += [(own[i], v, s) for s, v in near]
+        columns = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
@@ -229,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str =
         both = index_rows.select("table", "cell", "chunk", F.lit(False).alias("query"), none("long").alias("id"), "bucket", "v", "ids", none("array<long>").alias("visits")).unionByName(
             queries.select("table", "cell", "chunk", F.lit(True).alias("query"), "id", F.lit(0).cast("long").alias("bucket"), "v", none("array<long>").alias("ids"), "visits")
         )
-        dealt = both.repartition("table", "cell", "chunk").sortWithinPartitions("table", "cell", "chunk")
+        dealt = both.repartition("table", "cell", "chunk").sortWithinPartitions("table", "cell", "chunk", "query")
         return best(dealt.mapInArrow(lambda b: nearest_in(b, k), "query_id long, vec_id long, score double"), k, ascending=True)
 
     found = cut(search(indexed, asked))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from rollcall.llm import ann, inner_products
 from rollcall.llm.common import table
 
@@ -100,3 +101,23 @@ def test_tables_of_few_rows_give_all_others(spark):
     rows = [(i, [float(1000 * i), float(-i), 1.0], 0) for i in range(8)]
     got = [(r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, V)).collect()]
     assert sorted(got) == [(i, i) for i in range(1, 8)]
+
+
+def test_queries_of_a_group_pass_by(monkeypatch):
+    """A group's first queries are answered before its last ones are read, from the whole block of rows."""
+    schema = pa.schema([("table", pa.int32()), ("cell", pa.int32()), ("chunk", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("bucket", pa.int64()), ("v", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("visits", pa.list_(pa.int64()))])
+    read = []
+
+    def batches():
+        for at in range(2):
+            yield pa.RecordBatch.from_pylist([{"table": 0, "cell": 0, "chunk": 0, "query": False, "bucket": i % 2, "v": [float(i)], "ids": [i]} for i in range(20 * at, 20 * at + 20)], schema)
+        for at in range(50):
+            read.append(at)
+            yield pa.RecordBatch.from_pylist([{"table": 0, "cell": 0, "chunk": 0, "query": True, "id": 1000 + at, "bucket": 0, "v": [float(at % 40)], "visits": [0, 7] if at % 2 else None}], schema)
+        yield pa.RecordBatch.from_pylist([{"table": 0, "cell": 1, "chunk": 0, "query": True, "id": 1000, "bucket": 0, "v": [0.0]}], schema)  # a cell without rows
+
+    got = ann.nearest_in(batches(), 3)
+    first = next(got)
+    assert len(read) < 3 and first.column(1).to_pylist() == [0, 1, 2]
+    rest = list(got)
+    assert len(rest) == 49 and rest[0].column(1).to_pylist() == [0, 2, 4] and rest[-1].column(1).to_pylist() == [8, 10, 6]
