@@ -76,11 +76,11 @@ VIEWS = {
         SELECT k AS row_no, 'Incoming ' || {_text("k % 100")} AS name,
           CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'bad' WHEN k % 3 = 0 THEN 'USER' || {_text("s * 3")} || '@mail.example.org' ELSE 'gig' || {_text("s * 7 + 3")} || '@other.example' END AS email,
           CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '123' ELSE '+91 ' || {_text("9000000000 + q")} END AS phone
-        FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS q, l_suppkey AS s FROM {{lineitem}} WHERE l_orderkey % 10 = 0)""",
+        FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS q, l_suppkey AS s FROM {{lineitem}})""",
     "submissions": f"""
         SELECT k AS submission_id,
           CASE WHEN k % 31 = 5 THEN '  ' WHEN k % 37 = 6 THEN repeat('x', 201) ELSE ' Speaker ' || {_text("u")} || ' ' END AS name,
-          CASE WHEN k % 29 = 4 THEN '' WHEN k % 23 = 3 THEN '123' ELSE {_pick("k", "0", "+91-", "")} || {_text("9000000000 + (u * 11 + k * 7) % 2600")} END AS phone,
+          CASE WHEN k % 29 = 4 THEN '' WHEN k % 23 = 3 THEN '123' ELSE {_pick("k", "0", "+91-", "")} || {_text("9000000000 + u * 11 + k - k % 4")} END AS phone,
           {_pick("k", "record", "upload", "fax")} AS capture_mode,
           CASE e WHEN 'click' THEN 'audio/webm;codecs=opus' WHEN 'view' THEN 'Audio/MPEG ' WHEN 'signup' THEN 'audio/x-wav' WHEN 'purchase' THEN 'audio/mp4' ELSE 'text/plain' END AS content_type,
           CASE WHEN k % 17 = 0 THEN 0 WHEN k % 19 = 0 THEN 26214401 ELSE 1000 + k * 13 END AS byte_size,
