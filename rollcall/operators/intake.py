@@ -73,9 +73,9 @@ def attach(submissions: DataFrame, people: DataFrame, order: str = "created_seq"
     return Intake(whole.withColumn("person_id", F.coalesce("known", "new")).drop("known", "new"), made, phones)
 
 
-def listing(attached: DataFrame, people: DataFrame, measured: DataFrame, newest: int = 200) -> DataFrame:
-    """The newest submissions with their people; the page is cut before anything is joined."""
-    page = attached.orderBy(F.desc("created_seq"), F.desc("submission_id")).limit(newest)
+def listing(attached: DataFrame, people: DataFrame, measured: DataFrame, newest: int | None = None) -> DataFrame:
+    """Every accepted submission with its person (its place is in ``created_seq``); with ``newest`` only so many, cut before anything is joined."""
+    page = attached if newest is None else attached.orderBy(F.desc("created_seq"), F.desc("submission_id")).limit(newest)
     who = people.select("person_id", "full_name", "source_origin")
     out = page.join(who, "person_id").join(measured.select("submission_id", "sample_rate_hz", "bitrate_bps"), "submission_id", "left")
     return out.select(
