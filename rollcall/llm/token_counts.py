@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import modest_batches, with_results
+from rollcall.llm.common import modest_batches, tidy, with_results
 
 #: Bytes of text taken from an Arrow batch at a time.
 SLICE_BYTES = 1 << 22
@@ -143,4 +143,4 @@ def token_counts(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
             )
         own.memo = {}  # an idle worker is to be small
 
-    return plain.mapInArrow(run, with_results(plain, n_bytes="long", n_tokens="long", over_limit="boolean"))
+    return plain.mapInArrow(tidy(run), with_results(plain, n_bytes="long", n_tokens="long", over_limit="boolean"))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -35,11 +36,58 @@ def test_codec_equals_the_library():
         assert decoded == lib.decode(want, skip_special_tokens=False) == own.decode(want)
 
 
+def merged(own, word):
+    """Byte-pair merging of one word, step by step."""
+    symbols = [*word[:-1], word[-1] + own.end]
+    while len(symbols) > 1 and (after := own.merged_once(symbols)):
+        symbols = after
+    return symbols
+
+
 def test_trie_equals_plain_merging():
     own = bpe_codec.Codec(tokenizer_file("word_bpe_49k.json"))
     rng = random.Random(1)
     words = {"".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 15))) for _ in range(3000)}
-    assert own.encode_words(words) == {w: own.merged([*w[:-1], w[-1] + own.end]) for w in words}
+    assert own.encode_words(words) == {w: merged(own, w) for w in words}
+
+
+def test_long_words_equal_the_library():
+    spec, rng = tokenizer_file("word_bpe_49k.json"), random.Random(2)
+    own, lib = bpe_codec.Codec(spec), tokenizers.Tokenizer.from_str(spec)
+    letters, ideographs = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x4E00, 0x9F00)]
+    for text in ("".join(rng.choices(letters, k=200_000)), "".join(rng.choices(ideographs, k=50_000)), "".join(rng.choices("ACGT", k=200_000)), "=+/" * 30_000):
+        ((ids, decoded),) = own.encode([text])
+        want = lib.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)) and decoded == lib.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "decoder", "end", "letters", "model", "special"])
+def test_other_files_equal_the_library(change):
+    spec = json.loads(tokenizer_file("word_bpe_49k.json"))
+    if change == "normalizer":
+        spec["normalizer"] = None
+    elif change == "pre_tokenizer":
+        spec["pre_tokenizer"] = {"type": "WhitespaceSplit"}
+    elif change == "decoder":
+        spec["decoder"] = {"type": "BPEDecoder", "suffix": "</w>"}
+    elif change == "end":
+        spec = json.loads(tokenizer_file("byte_bpe_50k.json"))
+    elif change == "letters":  # a vocabulary without some letter, and no special strings
+        spec["added_tokens"] = []
+        for token in [t for t in spec["model"]["vocab"] if "q" in t]:
+            del spec["model"]["vocab"][token]
+        spec["model"]["merges"] = [m for m in spec["model"]["merges"] if "q" not in "".join(m)]
+    elif change == "model":
+        spec["model"]["unk_token"] = "the</w>"
+    else:
+        spec["added_tokens"][1]["rstrip"] = True
+    spec = json.dumps(spec)
+    own, lib = bpe_codec.Codec(spec), tokenizers.Tokenizer.from_str(spec)
+    lib.no_truncation()
+    for t, (ids, decoded) in zip(texts := ODD[:-1] + random_texts(100) + ["quite a queue, ABC"], own.encode(texts)):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)), t
+        assert decoded == lib.decode(want, skip_special_tokens=False), t
 
 
 def test_memo_bounds_do_not_change_results(monkeypatch):
@@ -47,7 +95,7 @@ def test_memo_bounds_do_not_change_results(monkeypatch):
     counts, codes = token_counts.PieceCounter(tokenizer_file("byte_bpe_50k.json")), bpe_codec.Codec(tokenizer_file("word_bpe_49k.json"))
     want = counts.count(texts), codes.encode(texts)
     monkeypatch.setattr(token_counts, "MEMO_PIECES", 5)
-    for name in ("MEMO_PIECES", "MEMO_WORDS", "MEMO_PAIRS"):
+    for name in ("MEMO_BYTES", "MEMO_STATES", "MEMO_CHARS"):
         monkeypatch.setattr(bpe_codec, name, 5)
     counts, codes = token_counts.PieceCounter(tokenizer_file("byte_bpe_50k.json")), bpe_codec.Codec(tokenizer_file("word_bpe_49k.json"))
     for part in (texts, texts[::-1]):
