@@ -44,11 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where there is none."""
+    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own serves only where driver and executors are one process.
+
+    Elsewhere executors wouldn't see a machine-local folder: without the setting that is an error.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not jsc.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -58,6 +63,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ..., and the new name of each (of equal names the first).
+
+    Operators that add columns of their own work on these names, so that no name of
+    a table, whatever it holds, clashes with theirs; ``toDF(*docs.columns)`` gives the old names back.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), {c: n for c, n in reversed(list(zip(docs.columns, names)))}
+
+
 def bucket_of(column: Column | str, n: Column | int) -> Column:
     """A bucket in ``[0, n)`` from a hash of ``column``."""
     column = F.col(column) if isinstance(column, str) else column

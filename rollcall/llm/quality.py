@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.boosted_trees import FlatTrees, fit_trees
-from rollcall.llm.common import held_out, modest_batches
+from rollcall.llm.common import held_out, modest_batches, tidy
 from rollcall.llm.sampling import labelled_sample, scored_rows, with_scores
 
 SLICE_BYTES = 1 << 22
@@ -83,11 +83,11 @@ def with_statistics(rows: DataFrame, kept: str) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(c for _, c in others), flat], names=[*(n for n, _ in others), "__x"])
 
-    return rows.mapInArrow(run, f"{kept}, __x array<double>")
+    return rows.mapInArrow(tidy(run), f"{kept}, __x array<double>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, train_rows: int = TRAIN_ROWS, seed: int = 5) -> FlatTrees:
-    """Trees from at most ``train_rows`` labelled rows that aren't held out."""
+    """Trees from at most ``train_rows`` labelled rows that aren't held out, one an id; their statistics alone reach the driver."""
     sample = labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), train_rows, seed)
     rows = with_statistics(sample, "__id long, __label double").orderBy("__id", "__label", "__x").toArrow()
     x = np.array(rows.column("__x").to_pylist(), float).reshape(rows.num_rows, len(STATISTICS))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import with_results
+from rollcall.llm.common import cut, tidy, with_results
 
 
 def scored_rows(docs: DataFrame, keep: tuple[str, ...], text: str, held: Column) -> tuple[DataFrame, str]:
@@ -33,16 +33,18 @@ def with_scores(rows: DataFrame, body: str, scores, threshold: float, slice_byte
             kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*(n for n, _ in kept), "score", "predicted"])
 
-    return rows.mapInArrow(run, with_results(rows, score="double", predicted="int"))
+    return rows.mapInArrow(tidy(run), with_results(rows, score="double", predicted="int"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, bound: int, seed: int) -> DataFrame:
-    """``__text`` and ``__label`` of at most ``bound`` labelled documents that may be learnt from.
+    """``__id``, ``__text`` and ``__label`` of at most ``bound`` labelled documents that may be learnt from, one row an id.
 
     The ids are those with the smallest hashes, so the sample doesn't depend on
     order or partitions.  Labels that are null, or of null ids, are left out; an
-    id labelled more than once has the larger label.  The ids (16 bytes each,
-    ``bound`` at most) are broadcast to the scan of the documents.
+    id labelled more than once has the larger label; of documents that repeat an
+    id the text with the least digest counts, once.  The ids (16 bytes each,
+    ``bound`` at most) are broadcast to the scan of the documents.  The sample is
+    written once, so that several uses read the documents once.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("__label"))
@@ -56,4 +58,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
         .limit(bound)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    return rows.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label")
+    sampled = rows.join(F.broadcast(chosen), "__id")
+    one = sampled.groupBy("__id").agg(F.min_by("__text", F.md5("__text")).alias("__text"), F.first("__label").alias("__label"))
+    return cut(one.select("__id", "__text", "__label"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import held_out, modest_batches
+from rollcall.llm.common import held_out, modest_batches, tidy
 from rollcall.llm.sampling import labelled_sample, scored_rows, with_scores
 
 SLICE_BYTES = 1 << 22
@@ -105,7 +105,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
             names = list(by[0].keys() | by[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][f] for f in names], pa.int64()), pa.array([by[0][f] for f in names], pa.int64())], names=["feature", "ones", "zeros"])
 
-    counted = sample.mapInArrow(run, "feature string, ones long, zeros long")
+    counted = sample.mapInArrow(tidy(run), "feature string, ones long, zeros long")
     return counted.groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
@@ -175,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
             other = [blank.found(swap_terms(w)) if not SWAP.keys().isdisjoint(w) else None for w in words]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(have, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["__id", "__label", "have", "other"])
 
-    rows = sample.mapInArrow(run, "__id long, __label double, have array<int>, other array<int>").orderBy("__id", "__label", "have").toArrow()
+    rows = sample.mapInArrow(tidy(run), "__id long, __label double, have array<int>, other array<int>").orderBy("__id", "__label", "have").toArrow()
     x = np.zeros((rows.num_rows, len(index)), np.float32)
     for i, have in enumerate(rows.column("have").to_pylist()):
         x[i, have] = 1
