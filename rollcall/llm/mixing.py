@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import modest_batches
+from rollcall.llm.common import cut, modest_batches, plain_names, tidy
 
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 4096
@@ -34,6 +34,9 @@ SHARD_SLOTS = 4096
 BUCKET_ROWS = 4096
 #: Sources up to which the per-source table (under 200 bytes a row) is broadcast; beyond, it is shuffled.
 BROADCAST_SOURCES = 100_000
+#: Copies of one row that one task turns into rows.
+COPIES = 1 << 16
+SLICE_BYTES = 1 << 22
 WEIGHTS = (5, 2, 1)
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -176,7 +179,7 @@ def slots(spark, plan: Plan) -> DataFrame:
                 some = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["shard", "source", "count"])
 
-    counts = spark.range(plan.shards).mapInArrow(drawn, "shard long, source int, count long")
+    counts = spark.range(plan.shards).mapInArrow(tidy(drawn), "shard long, source int, count long")
     had = np.zeros(len(plan.names), np.int64)
     for r in counts.groupBy("source").agg(F.sum("count").alias("n")).collect():  # one row a source
         had[r.source] = r.n
@@ -203,49 +206,66 @@ def slots(spark, plan: Plan) -> DataFrame:
                     words[last & (plan.length(s, block) > plan.last_cut[s])] = plan.last_cut[s]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), shard)), pa.array(np.full(len(own), s, np.int32)), pa.array(turn.astype(np.int32)), pa.array(block), pa.array(words)], names=["shard", "source", "turn", "block", "words"])
 
-    return counts.withColumn("start", F.coalesce(running, F.lit(0)).cast("long")).mapInArrow(dealt, fields)
+    return counts.withColumn("start", F.coalesce(running, F.lit(0)).cast("long")).mapInArrow(tidy(dealt), fields)
 
 
 # ---- documents -----------------------------------------------------------------------
 
+#: What tells rows of documents apart here; rows that are equal in all of it are copies, and numbered.
+ROW = ["doc_id", "source", "digest"]
+KEY = [*ROW, "copy"]
 
-def planned(docs: DataFrame, **options) -> tuple[Plan, DataFrame]:
-    """The plan, and docs with ``__mix_*`` columns: source number, bucket, row, size, start among its source's words."""
+
+def digest_of(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def planned(docs: DataFrame, **options) -> tuple[Plan, DataFrame, int]:
+    """The plan; a narrow row for each row of ``docs`` (doc_id, source, text); the most copies that a row has.
+
+    The narrow table has KEY, size, number (the source's), source_size, target and
+    bucket.  It is written once: the texts are read, and their words counted, once.
+    """
     spark = docs.sparkSession
-    sized = docs.withColumn("__mix_size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    per_source = sized.groupBy("source").agg(F.sum("__mix_size").alias("size"), F.count("*").alias("n")).collect()  # one row a source
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = cut(docs.select("doc_id", "source", digest_of("text").alias("digest"), size.alias("size")).groupBy(*ROW, "size").agg(F.count("*").alias("copies")))
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("n"), F.max("copies").alias("most")).collect()  # one row a source
     plan = make_plan([r.source for r in per_source], [r["size"] for r in per_source], [r["n"] for r in per_source], **options)
     rows = [(name, i, int(plan.buckets[i]), int(plan.size[i]), float(plan.target[i])) for i, name in enumerate(plan.names)]
-    sources = spark.createDataFrame(rows, "__mix_name string, __mix_source int, __mix_buckets int, __mix_source_size long, __mix_target double")
+    sources = spark.createDataFrame(rows, "name string, number int, buckets int, source_size long, target double")
     if len(rows) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    dealt = sized.join(sources, F.col("source").eqNullSafe(F.col("__mix_name"))).withColumn("__mix_digest", digest)
-    dealt = dealt.withColumn("__mix_bucket", F.pmod(F.xxhash64("doc_id", "__mix_digest", F.lit(plan.seed)), F.col("__mix_buckets")).cast("int"))
-    return plan, dealt
+    most = max((r.most for r in per_source), default=1)
+    if most > COPIES:  # many copies are dealt out before they become rows
+        sized = sized.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int")))).repartition("doc_id", "run")
+    else:
+        sized = sized.withColumn("run", F.lit(0))
+    first = F.col("run").cast("long") * COPIES
+    each = sized.withColumn("copy", F.explode(F.sequence(first, F.least("copies", first + COPIES) - 1)))
+    dealt = each.join(sources, F.col("source").eqNullSafe(F.col("name")))
+    bucket = F.pmod(F.xxhash64("doc_id", "digest", "copy", F.lit(plan.seed)), F.col("buckets")).cast("int")
+    return plan, dealt.select(*KEY, "size", "number", "source_size", "target", bucket.alias("bucket")), most
 
 
 def laid_out(dealt: DataFrame) -> DataFrame:
-    """``dealt`` with each row's number in its bucket and its first word's place in its source."""
-    sums = dealt.groupBy("__mix_source", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_sum"))
-    before = F.sum("__mix_sum").over(Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("__mix_source", "__mix_bucket", F.coalesce(before, F.lit(0)).alias("__mix_before"))
-    own = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("doc_id", "__mix_size", "__mix_digest")
-    placed = dealt.withColumn("__mix_row", F.row_number().over(own)).withColumn("__mix_in", F.coalesce(F.sum("__mix_size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.join(sums, ["__mix_source", "__mix_bucket"]).withColumn("__mix_start", F.col("__mix_before") + F.col("__mix_in"))
-
-
-KEY = ["__mix_source", "__mix_bucket", "__mix_row"]
+    """``dealt`` with the place of each row's first word among its source's words."""
+    sums = dealt.groupBy("number", "bucket").agg(F.sum("size").alias("all"))
+    before = F.sum("all").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("number", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
+    own = Window.partitionBy("number", "bucket").orderBy("doc_id", "size", "digest", "copy")
+    placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # The sums grow with the documents: they are shuffled, like the rows (which are in place already).
+    return placed.join(sums.hint("merge"), ["number", "bucket"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "bucket")
 
 
 def spans(laid: DataFrame, block_words: int) -> DataFrame:
     """One row for each block that a document reaches into: its words' places ``lo`` to ``hi`` in the block."""
-    end = F.col("__mix_start") + F.col("__mix_size")
+    end = F.col("start") + F.col("size")
     whole = lambda c: F.floor(c / F.lit(block_words)).cast("long")
-    numbers = F.when(F.col("__mix_size") > 0, F.sequence(whole(F.col("__mix_start")), whole(end - 1)))
-    out = laid.withColumn("__mix_end", end).select("*", F.explode_outer(numbers).alias("block"))
+    numbers = F.when(F.col("size") > 0, F.sequence(whole(F.col("start")), whole(end - 1)))
     base = F.col("block") * block_words
-    return out.withColumn("lo", F.greatest(F.col("__mix_start") - base, F.lit(0))).withColumn("hi", F.least(F.col("__mix_end") - base, F.lit(block_words)))
+    out = laid.withColumn("block", F.explode_outer(numbers))
+    return out.withColumn("lo", F.greatest(F.col("start") - base, F.lit(0))).withColumn("hi", F.least(end - base, F.lit(block_words)))
 
 
 def mix_shares(docs: DataFrame, **options) -> DataFrame:
@@ -253,16 +273,45 @@ def mix_shares(docs: DataFrame, **options) -> DataFrame:
 
     A null text, like an empty one, has size 0 and is never taken; null is a
     source like others and comes last.  Rows that repeat count each.  Reruns
-    agree, whatever the partitions.  An empty table gives no rows.
+    agree, whatever the partitions.  An empty table gives no rows.  Other columns,
+    whatever their names, are not read.
     """
-    plan, dealt = planned(docs.select("doc_id", "source", "text"), **options)
-    laid = laid_out(dealt.drop("text", "source"))
-    taken = slots(docs.sparkSession, plan).groupBy(F.col("source").alias("__mix_source"), "block").agg(F.count_if(F.col("words") < 0).alias("times"), F.max(F.when(F.col("words") >= 0, F.col("words"))).alias("front"))
+    plan, dealt, _ = planned(docs.select("doc_id", "source", "text"), **options)
+    taken = slots(docs.sparkSession, plan).groupBy(F.col("source").alias("number"), "block").agg(F.count_if(F.col("words") < 0).alias("times"), F.max(F.when(F.col("words") >= 0, F.col("words"))).alias("front"))
     in_front = F.when(F.col("front") > F.col("lo"), F.least("hi", F.col("front").cast("long")) - F.col("lo")).otherwise(0)
     got = F.coalesce(F.col("times") * (F.col("hi") - F.col("lo")), F.lit(0)) + in_front
-    joined = spans(laid, plan.block_words).join(taken, ["__mix_source", "block"], "left")
-    summed = joined.groupBy(*KEY, "doc_id", "__mix_size", "__mix_source_size", "__mix_target").agg(F.sum(got).cast("long").alias("taken"))
-    return summed.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), "taken")
+    joined = spans(laid_out(dealt), plan.block_words).join(taken.hint("merge"), ["number", "block"], "left")
+    summed = joined.groupBy(*KEY, "size", "source_size", "target").agg(F.sum(got).cast("long").alias("taken"))
+    return summed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def pieces_taken(plan: Plan, dealt: DataFrame) -> DataFrame:
+    """KEY, size and pieces (pass, first word, end) of every row that the mix takes words of."""
+    chosen = slots(dealt.sparkSession, plan).select(F.col("source").alias("number"), "block", "turn", "words")
+    hi = F.when(F.col("words") >= 0, F.least("hi", F.col("words").cast("long"))).otherwise(F.col("hi"))
+    base = F.col("block") * plan.block_words - F.col("start")
+    return (
+        spans(laid_out(dealt), plan.block_words)
+        .join(chosen.hint("merge"), ["number", "block"])
+        .where(hi > F.col("lo"))
+        .select(*KEY, "size", F.struct("turn", (base + F.col("lo")).alias("a"), (base + hi).alias("b")).alias("piece"))
+        .groupBy(*KEY, "size")
+        .agg(F.sort_array(F.collect_list("piece")).alias("pieces"))  # two for each block of the document, at most
+    )
+
+
+def taken_text(text: str, size: int, pieces: list[dict]) -> str:
+    """The whole text if the pieces hold all of its words, else the stretches taken, in order, line by line."""
+    joined: list[list[int]] = []
+    for p in pieces:
+        if joined and joined[-1][1] == p["a"]:
+            joined[-1][1] = p["b"]
+        else:
+            joined.append([p["a"], p["b"]])
+    if joined == [[0, size]]:
+        return text
+    places = [m.span() for m in WORD_RE.finditer(text)]
+    return "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in joined)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -271,51 +320,36 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     A row's text is the whole text where the pass takes all of its words, else
     the stretches taken, in order, with a line break between them; ``n_chars``,
     if there, follows the text.  Documents that no pass takes are not returned.
+    Nulls, copies and other columns are treated as by :func:`mix_shares`; columns may have any names.
     """
     modest_batches(docs.sparkSession)
-    plan, dealt = planned(docs, **options)
-    laid = laid_out(dealt)
-    narrow = laid_out(dealt.select("doc_id", *[c for c in dealt.columns if c.startswith("__mix_")]))
-    chosen = slots(docs.sparkSession, plan).select(F.col("source").alias("__mix_source"), "block", "turn", "words")
-    hi = F.when(F.col("words") >= 0, F.least("hi", F.col("words").cast("long"))).otherwise(F.col("hi"))
-    base = F.col("block") * plan.block_words - F.col("__mix_start")
-    pieces = (
-        spans(narrow, plan.block_words)
-        .join(chosen, ["__mix_source", "block"])
-        .where(hi > F.col("lo"))
-        .select(*KEY, F.struct("turn", (base + F.col("lo")).alias("a"), (base + hi).alias("b")).alias("piece"))
-        .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_list("piece")).alias("__mix_pieces"))  # two for each block of the document, at most
-    )
-    rows = laid.join(pieces, KEY).select(*docs.columns, "__mix_size", "__mix_pieces")
-    columns = list(docs.columns)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
-
-    def cut(text: str, size: int, pieces: list[dict]) -> str:
-        joined: list[list[int]] = []
-        for p in pieces:
-            if joined and joined[-1][1] == p["a"]:
-                joined[-1][1] = p["b"]
-            else:
-                joined.append([p["a"], p["b"]])
-        if joined == [[0, size]]:
-            return text
-        places = [m.span() for m in WORD_RE.finditer(text)]
-        return "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in joined)
+    plain, name = plain_names(docs)
+    plan, dealt, most = planned(plain.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["source"]).alias("source"), F.col(name["text"]).alias("text")), **options)
+    pieces = pieces_taken(plan, dealt).select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(KEY)], "size", "pieces")
+    rows = plain.withColumn("digest", digest_of(name["text"]))
+    same = F.col(name["doc_id"]).eqNullSafe(F.col("k0")) & F.col(name["source"]).eqNullSafe(F.col("k1")) & (F.col("digest") == F.col("k2"))
+    if most > 1:  # copies are told apart by number, in the order of their other columns
+        others = [F.col(f.name) for f in plain.schema if "map<" not in f.dataType.simpleString()]
+        order = Window.partitionBy(name["doc_id"], name["source"], "digest").orderBy(F.xxhash64(*others))
+        rows = rows.withColumn("number", F.row_number().over(order) - 1)
+        same = same & (F.col("number") == F.col("k3"))
+    columns, text, chars = list(plain.columns), name["text"], name.get("n_chars")
 
     def run(batches):
-        for batch in batches:
+        from rollcall.llm.common import slices
+
+        for batch in slices(batches, text, SLICE_BYTES):
             names = batch.schema.names
             at, texts = [], []
-            for i, (text, size, pieces) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in ("text", "__mix_size", "__mix_pieces")))):
+            for i, (body, size, pieces) in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in (text, "size", "pieces")))):
                 for turn in sorted({p["turn"] for p in pieces}):
                     at.append(i)
-                    texts.append(cut(text, size, [p for p in pieces if p["turn"] == turn]))
-            for k in range(0, len(at), 512):
-                some, kept = pa.array(texts[k : k + 512], pa.string()), batch.select(columns).take(pa.array(at[k : k + 512], pa.int64()))
-                new = {"text": some}
-                if "n_chars" in columns:
-                    new["n_chars"] = pa.array([len(t) for t in texts[k : k + 512]]).cast(kept.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays([new.get(c, kept.column(j)) for j, c in enumerate(columns)], names=columns)
-
-    return rows.mapInArrow(run, schema)
+                    texts.append(taken_text(body, size, [p for p in pieces if p["turn"] == turn]))
+            kept = batch.select(columns).take(pa.array(at, pa.int64()))
+            new = {text: pa.array(texts, pa.string())}
+            if chars is not None:
+                new[chars] = pa.array([len(t) for t in texts]).cast(kept.schema.field(chars).type)
+            yield pa.RecordBatch.from_arrays([new.get(c, kept.column(j)) for j, c in enumerate(columns)], names=columns)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema])
+    return rows.join(pieces.hint("merge"), same).select(*columns, "size", "pieces").mapInArrow(tidy(run), schema).toDF(*docs.columns)

@@ -70,3 +70,40 @@ def test_odd_tables(spark):
     mixed = M.mix_documents(docs).collect()
     assert sum(len(words(r.text)) for r in mixed) == sum(r.taken for r in got)
     assert M.mix_shares(no_docs(spark)).count() == 0 and M.mix_documents(no_docs(spark)).count() == 0
+
+
+def brute_taken(spark, docs, plan):
+    """Words taken of every row, slot by slot: the rows laid out one after the other, in the order of the buckets."""
+    _, dealt, _ = M.planned(docs.select("doc_id", "source", "text"), block_words=plan.block_words, shard_slots=plan.shard_slots)
+    rows = sorted((r.number, r.bucket, r.doc_id is not None, r.doc_id or 0, r["size"], bytes(r.digest), r.copy) for r in dealt.collect())
+    owner = {}
+    for row in rows:
+        owner.setdefault(row[0], []).extend([row] * row[4])
+    taken = Counter({row: 0 for row in rows})
+    for slot in M.slots(spark, plan).collect():
+        words_of_block = owner[slot.source][slot.block * plan.block_words : (slot.block + 1) * plan.block_words]
+        taken.update(words_of_block if slot.words < 0 else words_of_block[: slot.words])
+    return sorted((row[3] if row[2] else -1, row[4], n) for row, n in taken.items())
+
+
+def test_taken_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    for docs in (table(spark, DIR, "documents"), odd_docs(spark)):
+        plan, _, _ = M.planned(docs.select("doc_id", "source", "text"), block_words=64, shard_slots=100)
+        got = M.mix_shares(docs, block_words=64, shard_slots=100).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r["size"], r.taken) for r in got) == brute_taken(spark, docs, plan)
+
+
+def test_many_copies_of_a_row_are_rows_each(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES", 3)
+    docs = spark.createDataFrame([(1, "one two three", "en", "a", 13, 0.0, i) for i in range(10)] + [(2, "four", "en", "b", 4, 0.0, 0)], no_docs(spark).schema)
+    got = M.mix_shares(docs, block_words=4).collect()
+    assert sorted(r.doc_id for r in got) == [1] * 10 + [2] and all(r.taken <= 2 * r["size"] for r in got)
+    mixed = M.mix_documents(docs, block_words=4).collect()
+    assert sum(len(words(r.text)) for r in mixed) == sum(r.taken for r in got) and len({r.label for r in mixed}) > 1
+
+
+def test_names_of_columns_do_not_matter(spark):
+    docs = odd_docs(spark).selectExpr("*", "1 AS `__mix_size`", "2 AS `a.b`", "3 AS size", "4 AS c0", "5 AS digest")
+    mixed = M.mix_documents(docs)
+    assert mixed.columns == docs.columns and {tuple(r)[-5:] for r in mixed.collect()} == {(1, 2, 3, 4, 5)}
