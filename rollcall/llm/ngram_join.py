@@ -8,13 +8,17 @@
    compared a few at a time, and a pair goes as soon as the posterior
    probability that its similarity reaches the threshold is below ``tolerance``.
    What is left joins classes into candidate groups, by spanning edges only.
-4. Each class's n-grams go once to its group, where all pairs are pruned the same way
+4. Each class's n-grams go to its group, where pairs are pruned the same way
    and the rest are verified exactly on the n-gram sets.
 
-Buckets and groups of any size are dealt out in chunks, and pairs of chunks;
-pairs exist only inside a task, as numpy arrays.  Tasks return counts of links by
-class and edges of a spanning forest, so no result grows with the square of a
-group.
+Where spanning edges are enough (step 3, and step 4 for :func:`keep_one`) a large
+bucket or group is dealt out in chunks, each with the same few *pivots*.  Members that
+chunks and pivots join into the largest set are done with; only the others
+meet the members of other chunks in a second pass.  A bucket of near copies
+so costs what its members cost, and no link is lost.  Counts of links
+(:func:`class_rows`) need all pairs of a group: its chunks meet in pairs of chunks.
+Pairs exist only inside a task, as numpy arrays; tasks return counts by class
+and edges of a spanning forest, so no result grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import cut, modest_batches
+from rollcall.llm.common import cut, modest_batches, plain_names, tidy
 from rollcall.llm.components import components
 
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,7 +41,9 @@ BANDS, BAND_ROWS = 30, 5
 HASHES = BANDS * BAND_ROWS
 #: Rounds of comparison: so many values in all after each.
 ROUNDS = (15, 30, 60, HASHES)
-#: Members of a bucket or group that one chunk holds, about, and bytes of n-grams.
+#: Members of a bucket in one chunk, about, and in one of the second pass; pivots of a large bucket or group, at most.
+BUCKET_ROWS, WIDE_ROWS, PIVOTS = 512, 4096, 8
+#: Members of a group that one chunk holds, about, and bytes of n-grams.
 CHUNK_ROWS, CHUNK_BYTES = 768, 6 << 20
 #: Rows of the group table (under 64 bytes each) up to which it is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
@@ -186,12 +192,16 @@ def matrix(column: pa.ChunkedArray, width: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
-def candidate_edges(batches, needed: tuple[int, ...]):
-    """Spanning edges of the pairs that stay plausible, in each bucket (or pair of its chunks)."""
+def spanning_edges(batches, needed: tuple[int, ...], threshold: float | None = None):
+    """Spanning edges of the pairs that stay plausible (and reach ``threshold``, if given, on their n-grams), in each group.
+
+    Groups have equal unit, lo and hi.  A side of -1: all pairs count; else those of different sides.
+    """
     for table in groups_of(batches, 3):
-        group = numbered(table, 3)
-        side, crossed = table.column("side").to_numpy(), table.column("lo").to_numpy() != table.column("hi").to_numpy()
+        group, side = numbered(table, 3), table.column("side").to_numpy()
         signatures = matrix(table.column("signature"), HASHES, np.uint8)
+        size = table.column("n").to_numpy() if threshold else None
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()] if threshold else None
         forest = Forest(len(table))
         parts = np.bincount(group)  # sets left in each group
         alive = np.arange(len(table))  # rows of groups that aren't one set yet
@@ -201,16 +211,25 @@ def candidate_edges(batches, needed: tuple[int, ...]):
             if not len(i):
                 break
             alive = i
-            i = i[~crossed[i] | (side[i] != side[i + d])]
+            i = i[(side[i] < 0) | (side[i] != side[i + d])]
+            if threshold:
+                i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
             for k in plausible(i, i + d, signatures, needed):
                 a = int(i[k])
-                parts[group[a]] -= forest.unite(a, a + d)
+                if forest.root(a) != forest.root(a + d) and (not threshold or linked(sets, size, np.array([a]), np.array([a + d]), threshold)[0]):
+                    parts[group[a]] -= forest.unite(a, a + d)
             alive = alive[parts[group[alive]] > 1]
         keys = table.column("key")
         a, b = (pa.array(x, pa.int64()) for x in forest.edges())
         yield pa.RecordBatch.from_arrays([keys.take(a).combine_chunks().cast(pa.binary()), keys.take(b).combine_chunks().cast(pa.binary())], names=["a", "b"])
 
 
+def linked(sets: list[np.ndarray], size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, together: bool = False) -> np.ndarray:
+    """Which pairs of sets reach the threshold, exactly: both / (|x| + |y| - both), in integers of a thousandth."""
+    both = (common_grams_together if together and len(a) else common_grams)(sets, a, b)
+    return both * 1000 >= round(threshold * 1000) * (size[a] + size[b] - both)
+
+
 def common_grams(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs of sets."""
     out = np.zeros(len(a), np.int64)
@@ -259,7 +278,7 @@ def verified(batches, needed: tuple[int, ...], threshold: float):
 
 def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.RecordBatch:
     group = numbered(table, 3)
-    side, crossed = table.column("side").to_numpy(), table.column("lo").to_numpy() != table.column("hi").to_numpy()
+    side = table.column("side").to_numpy()
     signatures = matrix(table.column("signature"), HASHES, np.uint8)
     size = table.column("n").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
@@ -270,15 +289,13 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
         i = i[group[i] == group[i + d]]
         if not len(i):
             break
-        i = i[~crossed[i] | (side[i] != side[i + d])]
+        i = i[(side[i] < 0) | (side[i] != side[i + d])]
         i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
         i = i[plausible(i, i + d, signatures, needed)]
         found.append((i, i + d))
     a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    both = (common_grams_together if together and len(a) else common_grams)(sets, a, b)
-    # both / (|x| + |y| - both) >= threshold, in integers of a thousandth
-    linked = both * 1000 >= round(threshold * 1000) * (size[a] + size[b] - both)
-    a, b = a[linked], b[linked]
+    reached = linked(sets, size, a, b, threshold, together)
+    a, b = a[reached], b[reached]
     counts = np.bincount(np.concatenate([a, b]), minlength=len(sets))
     forest = Forest(len(sets))
     for x, y in zip(a.tolist(), b.tolist()):
@@ -296,33 +313,91 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
 # ---- the join ----------------------------------------------------------------------------
 
 
+def in_chunks(members: DataFrame, unit: str, chunks) -> DataFrame:
+    """``members`` with lo, hi and side: each goes to all pairs of chunks that hold its own."""
+    own = F.pmod(F.xxhash64("key", F.lit(77)), chunks).cast("int")
+    out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
+    out = out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return out.withColumn("side", F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("own"))).drop("own", "other")
+
+
+def dealt(df: DataFrame, unit: str) -> DataFrame:
+    """Rows of a group (equal unit, lo and hi) together, in one partition and next to each other, the columns of the group first."""
+    keys = [unit, "lo", "hi"]
+    return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, "key")
+
+
+def spanning(members: DataFrame, unit: str, edges) -> DataFrame:
+    """a, b: edges that join what any pairs inside the units join.
+
+    ``members`` has unit, key, ``chunks`` and ``wide`` (how many chunks the unit has, in the
+    first and second pass) and what ``edges`` (a function of Arrow batches) compares.
+    """
+    payload = [c for c in members.columns if c not in (unit, "chunks", "wide")]
+    compare = lambda df: cut(dealt(df, unit).mapInArrow(tidy(edges), "a binary, b binary"))
+    chunk = lambda chunks, seed: F.pmod(F.xxhash64("key", F.lit(seed)), chunks).cast("int")
+    members = cut(members)
+    own = chunk(F.col("chunks"), 77)
+    first = members.select(unit, own.alias("lo"), own.alias("hi"), F.lit(-1).alias("side"), *payload)
+    large = members.where("chunks > 1")
+    if not large.limit(1).count():
+        return compare(first)
+    pivots = large.groupBy(unit, "chunks", F.pmod(F.xxhash64("key", F.lit(78)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(*payload)).alias("p"))
+    pivots = pivots.withColumn("lo", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))))
+    found = compare(first.unionByName(pivots.select(unit, "lo", F.col("lo").alias("hi"), F.lit(-1).alias("side"), "p.*")))
+
+    labels = components(found).withColumnRenamed("node", "key")
+    labelled = large.select(unit, "key", "wide").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    sizes = labelled.groupBy(unit, "wide", "label").agg(F.count("*").alias("n")).groupBy(unit, "wide").agg(F.sum("n").alias("m"), F.max(F.struct("n", "label")).alias("main"))
+    rest_chunks = F.ceil(F.col("wide") * (F.col("m") - F.col("main.n")) / F.col("m")).cast("int")
+    sizes = cut(sizes.where(F.col("m") > F.col("main.n")).select(unit, F.col("main.label").alias("main"), rest_chunks.alias("rest_chunks")))
+    if not sizes.limit(1).count():
+        return found
+    upto = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    some = large.join(sizes, unit)
+    rest = some.join(labelled.select(unit, "key", "label"), [unit, "key"]).where("label != main")
+    left = rest.withColumn("lo", chunk(F.col("rest_chunks"), 79)).withColumn("hi", upto(F.col("wide"))).withColumn("side", F.lit(0))
+    right = some.withColumn("hi", chunk(F.col("wide"), 77)).withColumn("lo", upto(F.col("rest_chunks"))).withColumn("side", F.lit(1))
+    both = [d.select(unit, "lo", "hi", "side", *payload) for d in (left, right)]
+    return found.unionByName(compare(both[0].unionByName(both[1])))
+
+
 @dataclass
-class NgramLinks:
-    """rows: docs with ``__key``; classes: key, first_id, copies, links, label (of the component)."""
+class Candidates:
+    """texts: key and __text of every row; groups: key, n, signature and group of the texts with a plausible partner."""
 
-    rows: DataFrame
-    classes: DataFrame
+    texts: DataFrame
+    groups: DataFrame
+    needed: tuple[int, ...]
+    n: int
+    threshold: float
 
+    def with_grams(self) -> DataFrame:
+        """The groups with each text's n-grams (sorted 64-bit hashes)."""
+        n = self.n
 
-def in_chunks(members: DataFrame, group: str, chunks) -> DataFrame:
-    """``members`` with lo, hi and side: each goes to all pairs of chunks that hold its own."""
-    own = F.pmod(F.xxhash64("key", F.lit(77)), chunks).cast("int")
-    out = members.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-    return out.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other")
+        def sets(batches):
+            from rollcall.llm.common import slices
+            from rollcall.llm.ngram_join import SLICE_BYTES, grams
+
+            for part in slices(batches, "__text", SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "grams"])
+
+        wanted = F.broadcast(self.groups.select("key")) if self.groups.count() <= BROADCAST_ROWS else self.groups.select("key")
+        texts = self.texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(tidy(sets), "key binary, grams binary")
+        totals = self.groups.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).cast("int").alias("chunks"))
+        return self.groups.join(totals, "group").join(texts, "key").select("group", "chunks", "key", "n", "signature", "grams")
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of equal keys together, in one partition and next to each other."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, "key")
+def key_of(text: str):
+    """The digest that stands for a text; a null one counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", id_column: str = "doc_id") -> NgramLinks:
-    """Classes of equal texts, their links to other texts, and the components these make."""
-    modest_batches(docs.sparkSession)
+def candidates(texts: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> Candidates:
+    """Groups of texts that plausible pairs join; ``texts``: key and __text."""
+    modest_batches(texts.sparkSession)
     needed = least_matches(threshold, tolerance)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("__key", F.unhex(F.md5(body)))
-    bare = docs.select(F.unhex(F.md5(body)).alias("key"), body.alias("__text"))
 
     def sketch(batches):
         from rollcall.llm.common import slices
@@ -338,34 +413,13 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
                 names=["key", "n", "signature", "bands"],
             )
 
-    sketches = cut(bare.mapInArrow(sketch, "key binary, n long, signature binary, bands array<long>").dropDuplicates(["key"]))
+    sketches = cut(texts.mapInArrow(tidy(sketch), "key binary, n long, signature binary, bands array<long>").dropDuplicates(["key"]))
     banded = sketches.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    members = banded.join(shared, "bucket").join(sketches.select("key", "signature"), "key")
-    in_buckets = in_chunks(members, "bucket", F.ceil(F.col("m") / CHUNK_ROWS)).select("bucket", "lo", "hi", "side", "key", "signature")
-    near = dealt(in_buckets, "bucket", "lo", "hi").mapInArrow(lambda batches: candidate_edges(batches, needed), "a binary, b binary")
-    groups = components(near).withColumnRenamed("label", "group")
-
-    sized = groups.join(sketches.select(F.col("key").alias("node"), "n", "signature"), "node")
-    totals = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") * 8 / CHUNK_BYTES)).alias("chunks"))
-    sized = cut(sized.join(totals, "group").withColumnRenamed("node", "key"))
-    wanted = F.broadcast(sized.select("key")) if sized.count() <= BROADCAST_ROWS else sized.select("key")
-
-    def sets(batches):
-        from rollcall.llm.common import slices
-        from rollcall.llm.ngram_join import SLICE_BYTES, grams
-
-        for part in slices(batches, "__text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams(t, n).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "grams"])
-
-    texts = bare.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key binary, grams binary")
-    in_groups = in_chunks(sized.join(texts, "key"), "group", F.col("chunks")).select("group", "lo", "hi", "side", "key", "n", "signature", "grams")
-    found = cut(dealt(in_groups, "group", "lo", "hi").mapInArrow(lambda batches: verified(batches, needed, threshold), "a binary, b binary, links long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
-    classes = rows.groupBy(F.col("__key").alias("key")).agg(F.min(id_column).alias("first_id"), F.count("*").alias("copies"))
-    classes = classes.join(links, "key", "left").join(labels, "key", "left")
-    return NgramLinks(rows, classes.select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "key").alias("label")))
+    sized = lambda rows: F.ceil(F.col("m") / rows).cast("int")
+    members = banded.join(shared, "bucket").join(sketches.select("key", "signature"), "key").select("bucket", sized(BUCKET_ROWS).alias("chunks"), sized(WIDE_ROWS).alias("wide"), "key", "signature")
+    groups = components(spanning(members, "bucket", lambda batches: spanning_edges(batches, needed))).select(F.col("node").alias("key"), F.col("label").alias("group"))
+    return Candidates(texts, cut(groups.join(sketches.select("key", "n", "signature"), "key")), needed, n, threshold)
 
 
 def class_rows(docs: DataFrame, **options) -> DataFrame:
@@ -379,17 +433,39 @@ def class_rows(docs: DataFrame, **options) -> DataFrame:
     gram; a text without words (or null) is like no other text, but equal to its
     copies.  A null id counts in no minimum.  An empty table gives no rows.
     """
-    found = ngram_links(docs.select("doc_id", "text"), **options)
-    least = found.classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = found.classes.join(least, "label").select(F.col("key").alias("__key"), "class_id", (F.col("copies") - 1).alias("n_copies"), F.col("links").alias("n_links"))
-    return found.rows.select("doc_id", "__key").join(classes, "__key").select("doc_id", "class_id", "n_copies", "n_links")
+    rows = docs.select("doc_id", key_of("text").alias("key"))
+    near = candidates(docs.select(key_of("text").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("__text")), **options)
+    needed, threshold = near.needed, near.threshold
+    in_groups = in_chunks(near.with_grams(), "group", F.col("chunks")).drop("chunks")
+    found = cut(dealt(in_groups, "group").mapInArrow(tidy(lambda batches: verified(batches, needed, threshold)), "a binary, b binary, links long"))
+    links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = classes.join(links, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
+    classes = classes.join(least, "label").select("key", "class_id", (F.col("copies") - 1).alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return rows.join(classes, "key").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least doc_id (a null one only if there is no other)."""
-    found = ngram_links(docs, **options)
-    # Of a class, its least id; of a component, the class with the least id. Rows that repeat an id and text collapse to one.
-    best = found.classes.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("best"))
-    chosen = best.select(F.col("best.key").alias("__key"), F.col("best.first_id").alias("__first"))
-    kept = found.rows.join(chosen, "__key").where(F.col("doc_id").eqNullSafe(F.col("__first")))
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    """``docs`` with one row of each class: the one with the least doc_id (a null one only if there is no other).
+
+    Classes are those of :func:`class_rows`; columns may have any names.  Rows
+    that repeat both id and text are kept once.  Links are verified until they join a
+    group, not counted; texts are shuffled once, to the ids that stay.
+    """
+    plain, name = plain_names(docs)
+    doc_id, text = name["doc_id"], name["text"]
+    near = candidates(plain.select(key_of(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("__text")), **options)
+    needed, threshold = near.needed, near.threshold
+    members = near.with_grams().withColumn("wide", F.col("chunks"))
+    found = spanning(members, "group", lambda batches: spanning_edges(batches, needed, threshold))
+    labels = components(found).withColumnRenamed("node", "key")
+    each = plain.select(F.col(doc_id).alias("id"), key_of(text).alias("key")).groupBy("key", "id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key", "rows")).alias("first")
+    best = each.groupBy("key").agg(first).join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("first"))
+    chosen = cut(best.select(F.col("first.key").alias("__key"), F.col("first.id").alias("__id"), F.col("first.rows").alias("__rows")))
+    kept = plain.withColumn("__own", key_of(text)).join(chosen.drop("__rows"), (F.col("__own") == F.col("__key")) & F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    if chosen.where("__rows > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__own"])
+    return kept.select(*plain.columns).toDF(*docs.columns)

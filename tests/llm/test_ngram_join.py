@@ -66,10 +66,45 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, None, 3, 5, 6, 7, 8, 9], key=str)  # 3 and 4 are both empty
 
 
+def kept_by(rows):
+    """The ids that keep_one must keep, given that every row has an id."""
+    return sorted({c for _, c, _, _ in rows})
+
+
 def test_large_groups_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(J, "CHUNK_ROWS", 20)
-    got = check(family(spark, 90))
+    for name, rows in (("CHUNK_ROWS", 20), ("BUCKET_ROWS", 16), ("WIDE_ROWS", 24), ("PIVOTS", 2)):
+        monkeypatch.setattr(J, name, rows)
+    docs = family(spark, 90)
+    got = check(docs)
     assert {c for _, c, _, _ in got} == {0} and min(n for *_, n in got) > 30
+    assert [r.doc_id for r in J.keep_one(docs).collect()] == [0]
+
+
+def test_a_large_bucket_of_several_groups(spark, monkeypatch):
+    """One shared passage puts texts into the same buckets; they make chains and groups of their own."""
+    for name, rows in (("CHUNK_ROWS", 6), ("BUCKET_ROWS", 5), ("WIDE_ROWS", 8), ("PIVOTS", 1)):
+        monkeypatch.setattr(J, name, rows)
+    common = [f"shared{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        own = [f"g{i % 7}x{k}" for k in range(24)]
+        own[(i // 7) % 24] = f"odd{i}"
+        rows.append((i, " ".join(common + own), "en", "s", 1, 0.0, 0))
+    docs = spark.createDataFrame(rows, no_docs(spark).schema)
+    got = check(docs)
+    assert len({c for _, c, _, _ in got}) == 7
+    assert sorted(r.doc_id for r in J.keep_one(docs).collect()) == kept_by(got)
+
+
+def test_keep_one_keeps_the_least_of_each_class(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    assert sorted(r.doc_id for r in J.keep_one(docs).collect()) == kept_by(check(docs))
+
+
+def test_names_of_columns_do_not_matter(spark):
+    docs = odd_docs(spark).selectExpr("*", "1 AS `__key`", "2 AS `a.b`", "3 AS key", "4 AS c0", "5 AS `__first`")
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns and {tuple(r)[-5:] for r in kept.collect()} == {(1, 2, 3, 4, 5)}
 
 
 def test_pruning_keeps_what_reaches_the_threshold():
