@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.bpe_codec import encode_decode
-from rollcall.llm.common import cut, table
+from rollcall.llm.common import cut, plain_names, table
 from rollcall.llm.mixing import mix_documents
 from rollcall.llm.ngram_join import keep_one
 from rollcall.llm.quality import quality_scores
@@ -25,10 +25,9 @@ from rollcall.llm.toxicity import toxicity_scores
 
 def _kept(docs: DataFrame, operator: Callable[..., DataFrame], labels: DataFrame, verdict: int) -> DataFrame:
     """The rows of ``docs`` that ``operator`` predicts as ``verdict``; its columns may have any names."""
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], "doc_id")
-    scored = operator(rows, labels, keep=tuple(names), text=names[docs.columns.index("text")])
-    return scored.where(F.col("predicted") == verdict).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    rows, name = plain_names(docs)
+    scored = operator(rows.withColumn("doc_id", F.col(name["doc_id"])), labels, keep=tuple(rows.columns), text=name["text"])
+    return scored.where(F.col("predicted") == verdict).select(*rows.columns).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
