@@ -16,13 +16,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
+def query(sql: str | None, instead: list[tuple[str, str]] | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with the SQL of its result."""
 
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            O.state(f.__name__, sql)
+            O.state(f.__name__, sql, instead)
         return f
 
     return register
@@ -97,6 +97,11 @@ def m05_merged_duplicates(spark, sf_dir):
     return merged(spark, sf_dir).merged_duplicates()
 
 
+@query("SELECT first_line, line_no, full_name, email_key FROM dupe_lines")
+def m21_merged_members(spark, sf_dir):
+    return merged(spark, sf_dir).merged_members()
+
+
 @query("SELECT email_key, person_id FROM mail_index")
 def m06_email_index(spark, sf_dir):
     return merged(spark, sf_dir).index
@@ -159,7 +164,7 @@ def m17_lookalike_issues(spark, sf_dir):
 
 @query("SELECT p.*, coalesce(l.n, 0) AS source_rows FROM people p LEFT JOIN (SELECT person_id, count(*) AS n FROM links GROUP BY 1) l USING (person_id)")
 def m18_people(spark, sf_dir):
-    m = merged(spark, sf_dir)
+    m = merged(spark, sf_dir).settled()
     rows = m.links().groupBy("person_id").agg(F.count("*").alias("n"))
     return m.people().join(rows, "person_id", "left").withColumn("source_rows", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
 
@@ -174,4 +179,4 @@ def m19_person_ids(spark, sf_dir):
     UNION ALL SELECT 'skills', count(*) FROM skill_rows UNION ALL SELECT 'issue:' || issue_type, count(*) FROM merge_issues GROUP BY 1"""
 )
 def m20_merge_summary(spark, sf_dir):
-    return merged(spark, sf_dir).kept().summary()
+    return merged(spark, sf_dir).settled().summary()

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rollcall.jobs import exports
 from rollcall.jobs import oracles as O
 from rollcall.jobs.catalog import merged, query
 from rollcall.jobs.views import view
 from rollcall.operators import intake, lineage, lookup, profile, readings, screen
 from rollcall.sources import lines as L
 from rollcall.sources import tables
-from rollcall.sources.specs import CONTACTS, MEDIA_EXTENSIONS
+from rollcall.sources.specs import BRIDGE, CONTACTS, GIGS, MEDIA_EXTENSIONS
 from rollcall.streaming import stream
 
 STEP = O.STEP
@@ -31,15 +32,15 @@ O.CTES += [
     ("phones", "SELECT primary_phone AS phone_key, person_id, full_name, source_origin, row_number() OVER (PARTITION BY primary_phone ORDER BY person_id) AS i FROM people WHERE primary_phone IS NOT NULL"),
     ("emails", "SELECT primary_email AS email_key, person_id, full_name, source_origin, row_number() OVER (PARTITION BY primary_email ORDER BY person_id) AS i FROM people WHERE primary_email IS NOT NULL"),
     ("checked", f"""SELECT n.*, CASE WHEN p.person_id IS NOT NULL THEN 'phone' WHEN e.person_id IS NOT NULL THEN 'email' END AS matched_on, coalesce(p.person_id, e.person_id) AS person_id,
-          CASE WHEN p.person_id IS NOT NULL THEN p.full_name ELSE e.full_name END AS full_name, CASE WHEN coalesce(p.person_id, e.person_id) IS NULL THEN 'new' ELSE 'duplicate' END AS status,
-          CASE WHEN n.phone_key IS NULL AND n.email_key IS NULL THEN 'no usable key' END AS note
+          CASE WHEN p.person_id IS NOT NULL THEN p.full_name ELSE e.full_name END AS full_name, CASE WHEN phone IS NULL AND email IS NULL THEN 'rejected' WHEN coalesce(p.person_id, e.person_id) IS NULL THEN 'new' ELSE 'duplicate' END AS status,
+          CASE WHEN phone IS NULL AND email IS NULL THEN 'neither phone nor email' WHEN n.phone_key IS NULL AND n.email_key IS NULL THEN 'no usable key' END AS note
         FROM (SELECT *, {O.phone("phone")} AS phone_key, {O.email("email")} AS email_key FROM incoming) n
         LEFT JOIN phones p ON p.phone_key = n.phone_key AND p.i = 1 LEFT JOIN emails e ON e.email_key = n.email_key AND e.i = 1"""),
     ("val", f"""SELECT *, CASE WHEN clean_name = '' THEN 'name_missing' WHEN length(clean_name) > 200 THEN 'name_too_long' WHEN typed_phone = '' THEN 'phone_missing' WHEN phone_key IS NULL THEN 'phone_too_short'
           WHEN original_filename = '' THEN 'file_missing' WHEN extension IS NULL THEN 'type_not_accepted' WHEN byte_size <= 0 THEN 'file_empty' WHEN byte_size > 26214400 THEN 'file_too_large' END AS reason
         FROM (SELECT *, {O.case_of(MEDIA_EXTENSIONS, 'media')} AS extension FROM (SELECT *, trim(name) AS clean_name, trim(phone) AS typed_phone, {O.phone("phone")} AS phone_key, lower(trim(split_part(content_type, ';', 1))) AS media, CASE WHEN capture_mode IN ('record', 'upload') THEN capture_mode ELSE 'upload' END AS mode FROM submissions))"""),
     ("acc", "SELECT v.*, p.person_id AS known FROM val v LEFT JOIN phones p ON p.phone_key = v.phone_key AND p.i = 1 WHERE v.reason IS NULL"),
-    ("made", f"SELECT {4 * STEP} + created_seq AS person_id, clean_name AS full_name, phone_key AS primary_phone, 'audio_app' AS source_origin, typed_phone AS raw_value FROM (SELECT *, row_number() OVER (PARTITION BY phone_key ORDER BY created_seq, submission_id) AS i FROM acc WHERE known IS NULL) WHERE i = 1"),
+    ("made", f"SELECT {4 * STEP} + submission_id AS person_id, clean_name AS full_name, phone_key AS primary_phone, 'audio_app' AS source_origin, typed_phone AS raw_value FROM (SELECT *, row_number() OVER (PARTITION BY phone_key ORDER BY created_seq, submission_id) AS i FROM acc WHERE known IS NULL) WHERE i = 1"),
     ("att", "SELECT a.*, coalesce(a.known, m.person_id) AS person_id FROM acc a LEFT JOIN made m ON m.primary_phone = a.phone_key AND a.known IS NULL"),
     ("rd0", r"""SELECT *, CASE WHEN json_valid(probe_json) THEN CAST(probe_json AS JSON) END AS j FROM readings"""),
     ("rd1", r"""SELECT submission_id, byte_size, file_exists, decode_log, loudness_log, levels_log, json_extract_string(j, '$.streams[0].sample_rate') AS rate, json_extract_string(j, '$.streams[0].bit_rate') AS sbit, json_extract_string(j, '$.format.bit_rate') AS cbit,
@@ -84,10 +85,13 @@ def i02_header(spark, sf_dir):
     return L.header_mismatches(L.numbered_lines(spark, written_lines(spark, sf_dir)), CONTACTS).select(part_of(F.col("file")).alias("part"), "header_ok")
 
 
-@query("SELECT line_no, f[1] AS full_name, f[2] AS phone, f[3] AS city, f[4] AS verified, f[5] AS projects FROM parsed WHERE found = 5")
+_FIELDS = ", ".join(f"coalesce(f[{i}], '') AS {name}" for i, name in enumerate(CONTACTS.columns, 1))
+
+
+@query(f"SELECT (line_no - 1) // {FILE_LINES} AS part, (line_no - 1) % {FILE_LINES} + 1 AS line_no, {_FIELDS} FROM parsed")
 def i03_fields(spark, sf_dir):
-    rows = view(spark, sf_dir, "raw_lines").where(L.width(F.col("line")) == 5).withColumn("f", L.fields(F.col("line"), 5))
-    return rows.select("line_no", *[F.col("f")[i].alias(name) for i, name in enumerate(CONTACTS.columns)])
+    rows = L.stitched(L.numbered_lines(spark, written_lines(spark, sf_dir))).withColumn("f", L.fields(F.col("line"), 5))
+    return rows.select(part_of(F.col("file")).alias("part"), "line_no", *[F.col("f")[i].alias(name) for i, name in enumerate(CONTACTS.columns)])
 
 
 def screened(spark, sf_dir):
@@ -121,7 +125,7 @@ def i08_repair_probe(spark, sf_dir):
 
 @query("SELECT line_no, recovered, earlier_line FROM shift_dupes WHERE earlier_line < line_no")
 def i09_recovered_key(spark, sf_dir):
-    return screen.shift_duplicates(screened(spark, sf_dir), CONTACTS)
+    return screen.shift_duplicates(screened(spark, sf_dir), CONTACTS).drop("file")
 
 
 @query("SELECT line_no, verdict FROM scr")
@@ -142,19 +146,41 @@ def i12_issue_counts(spark, sf_dir):
 @query("SELECT *, 'ingest' AS phase FROM line_issues UNION ALL SELECT *, 'merge' FROM merge_issues")
 def i13_idempotent_write(spark, sf_dir):
     path = f"{tables.shared_folder(spark)}/issues-{uuid.uuid4().hex}"
-    ingest, merge = screen.issues(screened(spark, sf_dir), CONTACTS), merged(spark, sf_dir).issues()
+    ingest, merge = screen.issues(screened(spark, sf_dir), CONTACTS).drop("file"), merged(spark, sf_dir).issues()
     tables.write_phase(ingest, path, "ingest")
     tables.write_phase(merge, path, "merge")
     tables.write_phase(ingest, path, "ingest")  # a rerun replaces its own rows only
     return spark.read.parquet(path).drop("action_taken")
 
 
+O.CTES += [
+    ("people_p", "SELECT * REPLACE (CASE WHEN person_id % 50 = 7 THEN 'gross' ELSE ctc_source_unit END AS ctc_source_unit, CASE WHEN person_id % 60 = 11 THEN 'daily' ELSE rate_period END AS rate_period, CASE WHEN person_id % 70 = 13 THEN NULL ELSE source_origin END AS source_origin) FROM people"),
+    ("people_v", "SELECT * FROM people_p UNION ALL SELECT * FROM people_p WHERE person_id % 80 = 17"),
+    ("links_p", "SELECT CASE WHEN source_row_number % 75 = 9 THEN -person_id ELSE person_id END AS person_id, source_file, source_row_number, CASE WHEN source_row_number % 40 = 3 THEN 'guess' WHEN source_row_number % 40 = 4 THEN NULL ELSE match_method END AS match_method FROM links"),
+    ("links_v", "SELECT * FROM links_p UNION ALL SELECT * FROM links_p WHERE source_row_number % 90 = 5"),
+    ("skills_v", "SELECT * FROM skill_rows UNION ALL SELECT * FROM skill_rows WHERE person_id % 33 = 1 UNION ALL SELECT -person_id, skill FROM skill_rows WHERE person_id % 44 = 3"),
+    ("issues_v", "SELECT CASE WHEN row_number % 25 = 4 THEN 'fatal' ELSE severity END AS severity FROM merge_issues"),
+]
+
+
 @query(
-    "SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('person.ctc_source_unit'), ('person.rate_period'), ('person.source_origin'), ('link.match_method'), ('link.row_unique'), ('link.person_exists'), ('skill.unique'), ('skill.person_exists'), ('issue.severity'), ('person.id_unique')) v(rule)"
+    """SELECT 'person.ctc_source_unit' AS rule, count(*) AS n FROM people_v WHERE ctc_source_unit NOT IN ('lpa', 'absolute') UNION ALL SELECT 'person.rate_period', count(*) FROM people_v WHERE rate_period NOT IN ('hourly', 'monthly')
+    UNION ALL SELECT 'person.source_origin', count(*) FROM people_v WHERE source_origin IS NULL OR source_origin NOT IN ('csv_merge', 'audio_app') UNION ALL SELECT 'link.match_method', count(*) FROM links_v WHERE match_method IS NULL OR match_method NOT IN ('seed', 'exact_phone', 'exact_email')
+    UNION ALL SELECT 'link.row_unique', count(*) FROM (SELECT 1 FROM links_v GROUP BY source_file, source_row_number HAVING count(*) > 1) UNION ALL SELECT 'link.person_exists', count(*) FROM links_v WHERE person_id NOT IN (SELECT person_id FROM people_v)
+    UNION ALL SELECT 'skill.unique', count(*) FROM (SELECT 1 FROM skills_v GROUP BY person_id, skill HAVING count(*) > 1) UNION ALL SELECT 'skill.person_exists', count(*) FROM skills_v WHERE person_id NOT IN (SELECT person_id FROM people_v)
+    UNION ALL SELECT 'issue.severity', count(*) FROM issues_v WHERE severity NOT IN ('skipped', 'flagged', 'repaired') UNION ALL SELECT 'person.id_unique', count(*) FROM (SELECT 1 FROM people_v GROUP BY person_id HAVING count(*) > 1)"""
 )
 def i14_integrity(spark, sf_dir):
-    m = merged(spark, sf_dir).kept()
-    return tables.violations(m.people(), m.skills(), m.links(), m.issues())
+    """Over tables in which some rows of each kind are spoilt."""
+    m, c = merged(spark, sf_dir).settled(), F.col
+    people, links, skills, issues = tables.durable(m.people()), m.links(), m.skills(), m.issues()
+    people = people.withColumns({"ctc_source_unit": F.when(c("person_id") % 50 == 7, "gross").otherwise(c("ctc_source_unit")), "rate_period": F.when(c("person_id") % 60 == 11, "daily").otherwise(c("rate_period")), "source_origin": F.when(c("person_id") % 70 != 13, c("source_origin"))})
+    people = people.unionByName(people.where("person_id % 80 = 17"))
+    row = c("source_row_number")
+    links = links.withColumns({"person_id": F.when(row % 75 == 9, -c("person_id")).otherwise(c("person_id")), "match_method": F.when(row % 40 == 3, "guess").when(row % 40 != 4, c("match_method"))})
+    links = links.unionByName(links.where("source_row_number % 90 = 5"))
+    skills = skills.unionByName(skills.where("person_id % 33 = 1")).unionByName(skills.where("person_id % 44 = 3").withColumn("person_id", -c("person_id")))
+    return tables.violations(people, skills, links, issues.withColumn("severity", F.when(c("row_number") % 25 == 4, "fatal").otherwise(c("severity"))))
 
 
 # ---- lineage ------------------------------------------------------------------------------
@@ -170,7 +196,7 @@ def r01_source_cells(spark, sf_dir):
     return lineage.source_cells(merged(spark, sf_dir).links(), {n: view(spark, sf_dir, n) for n in ("bridge", "gigs", "contacts")})
 
 
-@query("SELECT person_id, full_name, primary_phone, primary_email, city, city_raw, ctc_annual_inr, ctc_raw, rate_amount, rate_raw, (SELECT string_agg(skill, ' | ' ORDER BY skill) FROM skill_rows s WHERE s.person_id = p.person_id) AS skills FROM people p")
+@query("SELECT p.*, (SELECT string_agg(skill, ' | ' ORDER BY skill) FROM skill_rows s WHERE s.person_id = p.person_id) AS skills FROM people p")
 def r02_canonical_record(spark, sf_dir):
     m = merged(spark, sf_dir)
     return lineage.canonical(m.people(), m.skills())
@@ -181,6 +207,16 @@ def r03_shared_names(spark, sf_dir):
     return lineage.shared_names(merged(spark, sf_dir).people())
 
 
+@query("SELECT lower(s.full_name) AS name, s.person_id, n.people FROM seeded s JOIN (SELECT lower(full_name) AS name, count(*) AS people FROM seeded WHERE full_name IS NOT NULL GROUP BY 1 HAVING count(*) > 1) n ON n.name = lower(s.full_name)")
+def r08_namesakes(spark, sf_dir):
+    return lineage.namesakes(merged(spark, sf_dir).settled().everyone())
+
+
+@query("SELECT person_id, full_name FROM seeded WHERE lower(full_name) = 'lookalike 7'")
+def r09_find_person(spark, sf_dir):
+    return lineage.find_person(merged(spark, sf_dir).people(), name="  LOOKALIKE 7 ")
+
+
 @query("SELECT person_id, count(*) AS source_rows FROM links GROUP BY 1")
 def r04_source_rows(spark, sf_dir):
     return merged(spark, sf_dir).links().groupBy("person_id").agg(F.count("*").alias("source_rows"))
@@ -196,13 +232,27 @@ def r06_raw_beside_parsed(spark, sf_dir):
     return merged(spark, sf_dir).people().where("ctc_annual_inr is not null").orderBy("person_id").limit(20).select("person_id", "ctc_raw", "ctc_source_unit", "ctc_annual_inr")
 
 
-@query("SELECT 'rows_without_link' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'links_without_row', 0 UNION ALL SELECT 'rows_linked_twice', 0 UNION ALL SELECT 'links', count(*) FROM links")
+O.CTES += [
+    ("rows_s", " UNION ALL ".join(f"SELECT '{n}' AS source_file, line_no AS source_row_number FROM {n}" for n in ("bridge", "gigs", "contacts"))),
+    ("links_r", "SELECT source_file, source_row_number FROM links WHERE source_row_number % 30 <> 7 UNION ALL SELECT source_file, source_row_number + 1000000000000 FROM links WHERE source_row_number % 40 = 1 UNION ALL SELECT source_file, source_row_number FROM links WHERE source_row_number % 55 = 8"),
+]
+
+
+@query(
+    """SELECT 'rows_without_link' AS what, count(*) AS n FROM rows_s r WHERE NOT EXISTS (SELECT 1 FROM links_r l WHERE l.source_file = r.source_file AND l.source_row_number = r.source_row_number)
+    UNION ALL SELECT 'links_without_row', count(*) FROM links_r l WHERE NOT EXISTS (SELECT 1 FROM rows_s r WHERE l.source_file = r.source_file AND l.source_row_number = r.source_row_number)
+    UNION ALL SELECT 'rows_linked_twice', count(*) FROM (SELECT 1 FROM links_r GROUP BY source_file, source_row_number HAVING count(*) > 1) UNION ALL SELECT 'links', count(*) FROM links_r"""
+)
 def r07_link_completeness(spark, sf_dir):
+    """Over links of which some are lost, some lead nowhere and some are doubled."""
+    links = merged(spark, sf_dir).settled().links()
+    spoilt = links.where("source_row_number % 30 <> 7").unionByName(links.where("source_row_number % 40 = 1").withColumn("source_row_number", F.col("source_row_number") + 1_000_000_000_000))
+    spoilt = spoilt.unionByName(links.where("source_row_number % 55 = 8"))
     staged = None
     for n in ("bridge", "gigs", "contacts"):
         one = view(spark, sf_dir, n).select(F.lit(n).alias("source_file"), "line_no")
         staged = one if staged is None else staged.unionByName(one)
-    return lineage.completeness(merged(spark, sf_dir).links(), staged)
+    return lineage.completeness(spoilt, staged)
 
 
 # ---- profiles -------------------------------------------------------------------------------
@@ -289,12 +339,12 @@ def d02_no_usable_key(spark, sf_dir):
 @query("SELECT row_no, status, name, phone, email, matched_on FROM checked")
 def d03_branch(spark, sf_dir):
     rows = checked(spark, sf_dir).select("row_no", "status", "name", "phone", "email", "matched_on")
-    return rows.where("status = 'duplicate'").unionByName(rows.where("status = 'new'"))
+    return rows.where("status = 'duplicate'").unionByName(rows.where("status <> 'duplicate'"))
 
 
 @query(
-    """SELECT checked, duplicates, new, CASE WHEN duplicates > 0 THEN duplicates || ' of ' || checked || ' incoming rows already exist in the database.' ELSE 'No duplicates. All ' || checked || ' rows are new people.' END AS alert
-    FROM (SELECT count(*) AS checked, count(*) FILTER (WHERE status = 'duplicate') AS duplicates, count(*) FILTER (WHERE status = 'new') AS new FROM checked)"""
+    """SELECT checked, duplicates, new, rejected, CASE WHEN duplicates > 0 THEN duplicates || ' of ' || checked || ' incoming rows already exist in the database.' ELSE 'No duplicates. All ' || checked || ' rows are new people.' END AS alert
+    FROM (SELECT count(*) FILTER (WHERE status <> 'rejected') AS checked, count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE status = 'duplicate') AS duplicates, count(*) FILTER (WHERE status = 'new') AS new FROM checked)"""
 )
 def d04_batch_alert(spark, sf_dir):
     return lookup.alert(checked(spark, sf_dir))
@@ -337,11 +387,16 @@ def a04_attach(spark, sf_dir):
     return taken(spark, sf_dir).attached.select("submission_id", "phone_key", "person_id")
 
 
-@query("SELECT a.submission_id, a.phone_key, a.typed_phone AS raw_value, p.holders, p.ids FROM att a JOIN (SELECT phone_key, count(*) AS holders, string_agg(CAST(person_id AS VARCHAR), '|' ORDER BY person_id) AS ids FROM phones GROUP BY 1 HAVING count(*) > 1) p USING (phone_key)")
+@query("SELECT a.submission_id, a.phone_key, a.typed_phone AS raw_value, p.holders, p.ids FROM att a JOIN (SELECT phone_key, count(*) AS holders, string_agg(CAST(person_id AS VARCHAR), '|' ORDER BY person_id) FILTER (WHERE i <= 10) || CASE WHEN count(*) > 10 THEN '|and ' || (count(*) - 10) || ' more' ELSE '' END AS ids FROM phones GROUP BY 1 HAVING count(*) > 1) p USING (phone_key)")
 def a05_ambiguous_phone(spark, sf_dir):
     return taken(spark, sf_dir).ambiguous()
 
 
+@query("SELECT phone_key, person_id FROM phones WHERE phone_key IN (SELECT phone_key FROM acc) AND phone_key IN (SELECT phone_key FROM phones WHERE i = 2)")
+def a09_phone_holders(spark, sf_dir):
+    return taken(spark, sf_dir).holders
+
+
 @query("SELECT * FROM made")
 def a06_new_people(spark, sf_dir):
     return taken(spark, sf_dir).made
@@ -354,7 +409,7 @@ def a07_created_issues(spark, sf_dir):
 
 @query(
     """SELECT a.submission_id, a.created_seq, a.person_id, w.full_name, rd.sample_rate_hz / 1000 AS khz, CAST(floor(rd.bitrate_bps / 1000) AS BIGINT) AS kbps, CASE WHEN a.typed_phone <> a.phone_key THEN a.phone_key END AS matched_as, CASE WHEN w.source_origin = 'audio_app' THEN 'new' ELSE 'known' END AS origin
-    FROM (SELECT * FROM att ORDER BY created_seq DESC, submission_id DESC LIMIT 200) a JOIN (SELECT person_id, full_name, source_origin FROM people UNION ALL SELECT person_id, full_name, source_origin FROM made) w USING (person_id) LEFT JOIN rd USING (submission_id)"""
+    FROM att a JOIN (SELECT person_id, full_name, source_origin FROM people UNION ALL SELECT person_id, full_name, source_origin FROM made) w USING (person_id) LEFT JOIN rd USING (submission_id)"""
 )
 def a08_listing(spark, sf_dir):
     people = merged(spark, sf_dir).people()
@@ -391,10 +446,13 @@ for _name, _columns in {
 # ---- streams -------------------------------------------------------------------------------------
 
 
-def landed(spark, rows, by, files=6):
-    """``rows`` written as files in a new shared folder; the folder, and one beside it for results."""
+def landed(spark, rows, by, runs=3, files=2):
+    """``rows`` written as files in a new shared folder, in runs one after the other in the order of ``by``; the folder, and one beside it for results."""
     folder = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartitionByRange(files, by).write.parquet(f"{folder}/in")
+    low, *bounds = rows.approxQuantile(by, [i / runs for i in range(runs)], 0.001)
+    place = sum((F.col(by) >= b).cast("int") for b in bounds)
+    for i in range(runs):
+        rows.where(place == i).repartition(files, by).write.mode("append").parquet(f"{folder}/in")
     return f"{folder}/in", folder
 
 
@@ -415,3 +473,80 @@ def s02_submission_stream(spark, sf_dir):
     people = tables.durable(merged(spark, sf_dir).people())
     stream.take_submissions(stream.arriving(spark, source, spark.read.parquet(source).schema), people, folder, f"{folder}/progress")
     return spark.read.parquet(f"{folder}/attached").select("submission_id", "phone_key", "person_id")
+
+
+# ---- exports of several files ----------------------------------------------------------------------
+
+EXPORT_FILES = 4
+_EXPORTS = {"bridge": (BRIDGE, "contains(email, '@')"), "gigs": (GIGS, "contains(email, '@')"), "contacts": (CONTACTS, r"regexp_matches(phone, '\p{Nd}')")}
+
+
+def written_exports(spark, sf_dir):
+    """Folder by export: files whose cities break over lines, with blank lines and (gigs) rotated records in between."""
+    folder, out = f"{tables.shared_folder(spark)}/exports-{uuid.uuid4().hex}", {}
+    for name, (spec, _) in _EXPORTS.items():
+        rows = view(spark, sf_dir, name).withColumn("k", F.col("line_no") - 2).withColumn("part", (F.col("k") % EXPORT_FILES).cast("int"))
+        csv = lambda *columns: F.to_csv(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(columns)]), {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+        broken = F.when(F.col("k") % 3 == 0, F.replace("city", F.lit(" "), F.lit("\n"))).otherwise(F.col("city"))
+        plain = [F.col(c) for c in spec.columns]
+        lines = [F.struct(F.lit(0).alias("at"), csv(*[broken if c == "city" else F.col(c) for c in spec.columns]).alias("value")), F.struct(F.lit(1).alias("at"), F.when(F.col("k") % 50 == 10, "," * (len(plain) - 1)).alias("value"))]
+        if name == "gigs":
+            lines.append(F.struct(F.lit(2).alias("at"), F.when((F.col("k") % 70 == 20) & F.contains("email", F.lit("@")), csv(plain[-1], *plain[:-1])).alias("value")))
+        body = rows.select("part", "k", F.inline(F.array(*lines))).where("value is not null")
+        head = spark.range(EXPORT_FILES).select(F.col("id").cast("int").alias("part"), F.lit(-1).cast("long").alias("k"), F.lit(0).alias("at"), F.lit(",".join(spec.header)).alias("value"))
+        out[name] = f"{folder}/{name}"
+        body.unionByName(head).repartition("part").sortWithinPartitions("part", "k", "at").select("part", "value").write.partitionBy("part").text(out[name])
+    return out
+
+
+def _export_views():
+    """The views as the exports hold them: numbered through the files, without what isn't staged."""
+    found = []
+    for name, (spec, good) in _EXPORTS.items():
+        rotated = "k % 70 = 20 AND contains(email, '@')" if name == "gigs" else "false"
+        found += [
+            (f"{name}_lines", f"SELECT *, line_no - 2 AS k, (line_no - 2) % {EXPORT_FILES} AS part, 1 + CASE WHEN (line_no - 2) % 3 = 0 THEN length(city) - length(replace(city, ' ', '')) ELSE 0 END AS high FROM {name}_view"),
+            (f"{name}_more", f"SELECT *, CASE WHEN k % 50 = 10 THEN 1 ELSE 0 END AS blank, CASE WHEN {rotated} THEN 1 ELSE 0 END AS turned FROM {name}_lines"),
+            (f"{name}_placed", f"SELECT *, 1 + sum(high) OVER w + sum(blank + turned) OVER w - blank - turned AS file_line FROM {name}_more WINDOW w AS (PARTITION BY part ORDER BY k)"),
+            (f"{name}_files", f"SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT part, 1 + sum(high + blank + turned) AS n FROM {name}_more GROUP BY part)"),
+            (name, f"SELECT CAST(before + file_line AS BIGINT) AS line_no, {', '.join(spec.columns)}, part, CAST(file_line AS BIGINT) AS file_line FROM {name}_placed JOIN {name}_files USING (part) WHERE {good}"),
+        ]
+    return found
+
+
+_PEOPLE = "person_id, full_name, primary_phone, primary_email, city, experience_years, ctc_annual_inr, applied_date, rate_amount, rate_period, status, verified, projects_completed"
+_PLACES = " UNION ALL ".join(f"SELECT '{n}' AS source_file, line_no AS source_row_number, part, file_line FROM {n}" for n in _EXPORTS)
+
+
+@query(
+    f"""SELECT {_PEOPLE}, source_file, part, file_line, source_rows FROM people JOIN (SELECT person_id, source_file, part, file_line FROM links JOIN ({_PLACES}) USING (source_file, source_row_number) WHERE match_method = 'seed') USING (person_id)
+    JOIN (SELECT person_id, count(*) AS source_rows FROM links GROUP BY 1) USING (person_id)""",
+    _export_views(),
+)
+def w01_rebuild(spark, sf_dir):
+    """W1 from files to people, each with the place of the record that it was made of."""
+    built = exports.rebuild(spark, **written_exports(spark, sf_dir))
+    links = built.merged.links()
+    seeds = links.where("match_method = 'seed'").join(built.places(), ["source_file", "source_row_number"]).select("person_id", "source_file", part_of(F.col("file")).alias("part"), "file_line")
+    rows = links.groupBy("person_id").agg(F.count("*").alias("source_rows"))
+    return built.merged.people().join(seeds, "person_id").join(rows, "person_id").select(*[c.strip() for c in _PEOPLE.split(",")], "source_file", "part", "file_line", "source_rows")
+
+
+_ISSUES = " UNION ALL ".join(
+    f"""SELECT '{n}' AS source_file, part, CAST(file_line AS BIGINT) AS row_number, 'column_shift' AS issue_type, CAST(NULL AS BIGINT) AS earlier_line FROM {n}_placed WHERE NOT ({good})
+    UNION ALL SELECT '{n}', part, CAST(file_line + 1 AS BIGINT), 'blank_row', NULL FROM {n}_placed WHERE blank = 1"""
+    for n, (_, good) in _EXPORTS.items()
+)
+
+
+@query(
+    f"""{_ISSUES} UNION ALL SELECT 'gigs', p.part, CAST(p.file_line + p.blank + 1 AS BIGINT), 'column_shift', (SELECT min(g.file_line) FROM gigs g WHERE g.part = p.part AND lower(trim(g.email)) = lower(trim(p.email))) FROM gigs_placed p WHERE p.turned = 1""",
+    _export_views(),
+)
+def w02_rebuild_issues(spark, sf_dir):
+    """What the rebuild set aside, file by file, read back from the written issues; keys repeat within a file only."""
+    built = exports.rebuild(spark, **written_exports(spark, sf_dir))
+    path = f"{tables.shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    built.write_issues(path)
+    earlier = F.regexp_extract("action_taken", r"repeat line (\d+)", 1).try_cast("long")
+    return spark.read.parquet(path).where("phase = 'ingest'").select("source_file", part_of(F.col("file")).alias("part"), "row_number", "issue_type", earlier.alias("earlier_line"))

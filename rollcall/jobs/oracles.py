@@ -30,7 +30,8 @@ def email(x: str) -> str:
 
 
 def title(x: str) -> str:
-    return rf"list_aggregate(list_transform(regexp_extract_all(lower({x}), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')"
+    words = rf"list_aggregate(list_transform(regexp_extract_all(lower({x}), '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || w[2:]), 'string_agg', '')"
+    return f"CASE WHEN {x} IS NOT NULL THEN coalesce({words}, '') END"  # no words make an empty text
 
 
 def known(table: str, x: str, otherwise: str) -> str:
@@ -148,8 +149,9 @@ CTES = [
           UNION ALL SELECT 'contacts', line_no, 'Verified', verified, verified_norm IS NULL FROM c2) WHERE gone AND {strip("raw_value")} <> ''"""),
     ("alike", """SELECT g2.full_name AS name, 'gigs' AS source_a_file, g2.line_no AS source_a_row, 'contacts' AS source_b_file, f.source_b_row, 'unresolved' AS resolution
         FROM g2 JOIN (SELECT name_key, min(line_no) AS source_b_row FROM c2 WHERE orphan AND name_key IS NOT NULL GROUP BY name_key) f USING (name_key) WHERE g2.orphan"""),
-    ("dupes", """SELECT gr.first_line, gr.lines, gr.full_name AS kept_name, gr.primary_email AS kept_email, string_agg('line ' || CAST(b.line_no AS VARCHAR) || ': ' || b.full_name, ' | ' ORDER BY b.line_no) AS raw_value, count(DISTINCT b.full_name) AS names, count(DISTINCT b.email_key) AS emails
-        FROM groups gr JOIN b USING (group_key) WHERE gr.lines > 1 GROUP BY ALL"""),
+    ("dupe_lines", "SELECT gr.first_line, b.line_no, b.full_name, b.email_key, row_number() OVER (PARTITION BY gr.first_line ORDER BY b.line_no) AS i FROM groups gr JOIN b USING (group_key) WHERE gr.lines > 1"),
+    ("dupes", """SELECT first_line, lines, full_name AS kept_name, primary_email AS kept_email, shown || CASE WHEN lines > 10 THEN ' | and ' || (lines - 10) || ' more' ELSE '' END AS raw_value, names, emails
+        FROM groups JOIN (SELECT first_line, string_agg('line ' || CAST(line_no AS VARCHAR) || ': ' || full_name, ' | ' ORDER BY line_no) FILTER (WHERE i <= 10) AS shown, count(DISTINCT full_name) AS names, count(DISTINCT email_key) AS emails FROM dupe_lines GROUP BY 1) USING (first_line)"""),
     ("merge_issues", """SELECT 'bridge' AS source_file, first_line AS row_number, 'duplicate_person_merged' AS issue_type, NULL AS column_name, raw_value, 'flagged' AS severity FROM dupes
         UNION ALL SELECT source_file, line_no, 'city_conflict_across_sources', column_name, city, 'flagged' FROM conflicts
         UNION ALL SELECT source_file, line_no, 'unparsed_value', column_name, raw_value, 'flagged' FROM unparsed
@@ -157,13 +159,25 @@ CTES = [
 ]
 
 SQL: dict[str, str] = {}
+#: Queries whose SQL uses other views of these names than :data:`CTES` has, and views before them.
+INSTEAD: dict[str, list[tuple[str, str]]] = {}
 
 
-def state(name: str, select: str) -> None:
+def state(name: str, select: str, instead: list[tuple[str, str]] | None = None) -> None:
     SQL[name] = select
+    if instead is not None:
+        INSTEAD[name] = instead
+
+
+def steps(instead: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The steps with some views replaced by others, each where the first of that name stood."""
+    names = {name for name, _ in instead}
+    views = {name for name, _ in duckdb_ctes()}
+    base = [(name + "_view" if name in names else name, text) for name, text in CTES if name in views]
+    return [*base, *instead, *[(name, text) for name, text in CTES if name not in views]]
 
 
 def oracle_sql() -> dict[str, str]:
     """Each query's SQL with the views and steps that it may use."""
-    head = "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in CTES)
-    return {name: f"{head}\n{select}" for name, select in SQL.items()}
+    head = lambda ctes: "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in ctes)
+    return {name: f"{head(steps(INSTEAD[name]) if name in INSTEAD else CTES)}\n{select}" for name, select in SQL.items()}

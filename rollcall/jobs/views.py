@@ -14,7 +14,7 @@ TABLES = ("customer", "orders", "part", "lineitem", "events")
 
 def _pick(number: str, *choices: str) -> str:
     whens = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(choices))
-    return f"CASE {number} % {len(choices)} {whens} END"
+    return f"CASE ({number}) % {len(choices)} {whens} END"
 
 
 _TEXT = "CAST({} AS STRING)"
@@ -74,8 +74,8 @@ VIEWS = {
         FROM (SELECT c_custkey AS k, CAST(9000000000 + c_custkey AS STRING) AS t, CAST(9000000000 + c_custkey - 3 AS STRING) AS u, CAST(9000000000 + c_custkey + 3 AS STRING) AS w FROM {customer})""",
     "incoming": f"""
         SELECT k AS row_no, 'Incoming ' || {_text("k % 100")} AS name,
-          CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'bad' WHEN k % 3 = 0 THEN 'USER' || {_text("s * 3")} || '@mail.example.org' ELSE 'gig' || {_text("s * 7 + 3")} || '@other.example' END AS email,
-          CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '123' ELSE '+91 ' || {_text("9000000000 + q")} END AS phone
+          CASE WHEN k % 25 = 24 THEN NULL WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'bad' WHEN k % 3 = 0 THEN 'USER' || {_text("s * 3")} || '@mail.example.org' ELSE 'gig' || {_text("s * 7 + 3")} || '@other.example' END AS email,
+          CASE WHEN k % 25 = 24 THEN NULL WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '123' ELSE '+91 ' || {_text("9000000000 + q")} END AS phone
         FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS q, l_suppkey AS s FROM {{lineitem}})""",
     "submissions": f"""
         SELECT k AS submission_id,

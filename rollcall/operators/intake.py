@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.normalise import phone_key, stripped
-from rollcall.operators.resolve import STEP
+from rollcall.operators.resolve import SHOWN, STEP
 from rollcall.sources.specs import LARGEST_UPLOAD, LONGEST_NAME, MEDIA_EXTENSIONS
 
 #: New people come after all that a merge makes.
@@ -41,16 +41,16 @@ def validated(submissions: DataFrame) -> DataFrame:
 
 @dataclass
 class Intake:
-    """attached: accepted rows with their person; made: the new people; phones: how many people have each phone."""
+    """attached: accepted rows with their person; made: the new people; phones: of each submitted phone that several people have: how many, and the first of them; holders: all of these people."""
 
     attached: DataFrame
     made: DataFrame
     phones: DataFrame
+    holders: DataFrame
 
     def ambiguous(self) -> DataFrame:
         """One issue for each accepted submission whose phone several people have."""
-        several = self.phones.where("holders > 1")
-        return self.attached.join(several, "phone_key").select("submission_id", "phone_key", F.col("typed_phone").alias("raw_value"), "holders", F.array_join(F.transform(F.sort_array("ids"), lambda i: i.cast("string")), "|").alias("ids"))
+        return self.attached.join(self.phones, "phone_key").select("submission_id", "phone_key", F.col("typed_phone").alias("raw_value"), "holders", "ids")
 
     def created(self) -> DataFrame:
         """One issue for each person made."""
@@ -58,19 +58,26 @@ class Intake:
 
 
 def attach(submissions: DataFrame, people: DataFrame, order: str = "created_seq") -> Intake:
-    """Each accepted submission's person: the lowest id with its phone, else one made for the phone."""
+    """Each accepted submission's person: the lowest id with its phone, else one made for the phone.
+
+    A new person's id comes from its first submission's, which no other submission has.
+    """
     accepted = validated(submissions).where("reason is null")
     held = people.where("primary_phone is not null").select(F.col("primary_phone").alias("phone_key"), "person_id")
     lowest = held.groupBy("phone_key").agg(F.min("person_id").alias("known"), F.count("*").alias("holders"))
     matched = accepted.join(lowest.select("phone_key", "known"), "phone_key", "left")
     first = F.min(F.struct(F.col(order).alias("at"), "submission_id", "clean_name", "typed_phone"))
     made = matched.where("known is null").groupBy("phone_key").agg(first.alias("f"))
-    made = made.select((F.lit(NEW_RANK * STEP) + F.col("f.at")).alias("person_id"), F.col("f.clean_name").alias("full_name"), F.col("phone_key").alias("primary_phone"), F.lit("audio_app").alias("source_origin"), F.col("f.typed_phone").alias("raw_value"))
+    made = made.select((F.lit(NEW_RANK * STEP) + F.col("f.submission_id")).alias("person_id"), F.col("f.clean_name").alias("full_name"), F.col("phone_key").alias("primary_phone"), F.lit("audio_app").alias("source_origin"), F.col("f.typed_phone").alias("raw_value"))
     whole = matched.join(made.select(F.col("primary_phone").alias("phone_key"), F.col("person_id").alias("new")), "phone_key", "left")
-    # Only phones that several people have and that were submitted get their ids gathered.
-    several = lowest.where("holders > 1").join(accepted.select("phone_key").distinct(), "phone_key", "left_semi")
-    phones = held.join(several, "phone_key").groupBy("phone_key", "holders").agg(F.collect_list("person_id").alias("ids"))
-    return Intake(whole.withColumn("person_id", F.coalesce("known", "new")).drop("known", "new"), made, phones)
+    # Of the people of one phone the first SHOWN are gathered, cut before the shuffle; all of them are rows of ``holders``.
+    several = lowest.where("holders > 1").join(accepted.select("phone_key").distinct(), "phone_key", "left_semi").select("phone_key", "holders")
+    holders = held.join(several, "phone_key").select("phone_key", "person_id")
+    few = holders.withColumn("i", F.row_number().over(Window.partitionBy("phone_key").orderBy("person_id"))).where(F.col("i") <= SHOWN)
+    ids = few.groupBy("phone_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("person_id")), lambda i: i.cast("string")), "|").alias("ids"))
+    more = F.when(F.col("holders") > SHOWN, F.format_string("|and %d more", F.col("holders") - SHOWN)).otherwise("")
+    phones = several.join(ids, "phone_key").withColumn("ids", F.concat("ids", more))
+    return Intake(whole.withColumn("person_id", F.coalesce("known", "new")).drop("known", "new"), made, phones, holders)
 
 
 def listing(attached: DataFrame, people: DataFrame, measured: DataFrame, newest: int | None = None) -> DataFrame:

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.normalise import stripped
+
+#: The fields of a canonical record, raw beside parsed.
+RECORD = (
+    "person_id", "full_name", "primary_email", "primary_phone", "city", "city_raw", "experience_years", "ctc_raw", "ctc_annual_inr", "ctc_source_unit", "rate_raw", "rate_amount",
+    "rate_period", "status", "verified", "projects_completed", "applied_date", "applied_date_raw", "source_origin",
+)
 
 def source_cells(links: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     """Every staged cell behind each person: file, line, method, column, value; blank cells too."""
@@ -19,9 +26,20 @@ def source_cells(links: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def canonical(people: DataFrame, skills: DataFrame) -> DataFrame:
-    """The record with raw beside parsed, and its skills in order."""
+    """The whole record with raw beside parsed, and its skills in order."""
     listed = skills.groupBy("person_id").agg(F.array_join(F.sort_array(F.collect_list("skill")), " | ").alias("skills"))
-    return people.join(listed, "person_id", "left").select("person_id", "full_name", "primary_phone", "primary_email", "city", "city_raw", "ctc_annual_inr", "ctc_raw", "rate_amount", "rate_raw", "skills")
+    return people.join(listed, "person_id", "left").select(*RECORD, "skills")
+
+
+def find_person(people: DataFrame, name: str | None = None, person_id: int | None = None) -> DataFrame:
+    """person_id, full_name of the people of that name (stripped, without case), or else of the one of that id."""
+    same = F.lower("full_name") == F.lower(stripped(F.lit(name))) if name else F.col("person_id") == person_id
+    return people.where(same).select("person_id", "full_name")
+
+
+def namesakes(people: DataFrame) -> DataFrame:
+    """R03 for every name at once: name, person_id, people: who else answers to the name."""
+    return people.where("full_name is not null").select(F.lower("full_name").alias("name"), "person_id").join(shared_names(people), "name")
 
 
 def shared_names(people: DataFrame) -> DataFrame:

@@ -8,31 +8,63 @@ from pyspark.sql import functions as F
 from rollcall.functions.normalise import email_key, phone_key
 
 
+# The two sentences of the alert.
+SOME_KNOWN = "%d of %d incoming rows already exist in the database."
+NONE_KNOWN = "No duplicates. All %d rows are new people."
+
+
 def key_index(people: DataFrame, column: str, key: str, prefix: str) -> DataFrame:
     """Of each key the person with the lowest id; NULL keys aren't indexed."""
     first = F.min(F.struct("person_id", "full_name", "source_origin"))
     return people.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(key)).agg(first.alias(prefix))
 
 
+def key_indexes(people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The people by phone and by email."""
+    return key_index(people, "primary_phone", "phone_key", "by_phone"), key_index(people, "primary_email", "email_key", "by_email")
+
+
 def looked_up(incoming: DataFrame, people: DataFrame) -> DataFrame:
+    """D01-D03 against :func:`key_indexes` of ``people``, made for this batch."""
+    return looked_up_in(incoming, *key_indexes(people))
+
+
+def with_both_columns(incoming: DataFrame) -> DataFrame:
+    """A batch without either column is an error; one column alone will do."""
+    if not {"phone", "email"} & set(incoming.columns):
+        raise ValueError("a batch needs a column phone or a column email")
+    for name in ("phone", "email"):
+        if name not in incoming.columns:
+            incoming = incoming.withColumn(name, F.lit(None).cast("string"))
+    return incoming
+
+
+def looked_up_in(incoming: DataFrame, by_phone: DataFrame, by_email: DataFrame) -> DataFrame:
     """Incoming rows with status, matched_on, person and a note where no key was usable.
 
+    A row with neither value (both NULL) is rejected; one whose values are no keys is new, with a note.
     A small batch is best broadcast (Spark does, by size) so that people are read once
-    and not shuffled; a large one shuffles both by key.
+    and not shuffled; a large one shuffles both by key.  Rows without a key are dealt out by
+    what they hold, so that they don't meet in one task.
     """
-    keyed = incoming.withColumn("phone_key", phone_key(F.col("phone"))).withColumn("email_key", email_key(F.col("email")))
-    both = keyed.join(key_index(people, "primary_phone", "phone_key", "by_phone"), "phone_key", "left").join(key_index(people, "primary_email", "email_key", "by_email"), "email_key", "left")
+    keyed = with_both_columns(incoming).withColumn("phone_key", phone_key(F.col("phone"))).withColumn("email_key", email_key(F.col("email")))
+    own = F.xxhash64(*[F.col(f.name) for f in keyed.schema if "map<" not in f.dataType.simpleString()])
+    nowhere = F.concat(F.lit(" "), own.cast("string"))  # no key begins with a space
+    both = keyed
+    for index, key in ((by_phone, "phone_key"), (by_email, "email_key")):
+        both = both.join(index.withColumnRenamed(key, "__known"), F.coalesce(F.col(key), nowhere) == F.col("__known"), "left").drop("__known")
     person = F.coalesce("by_phone", "by_email")
     out = both.withColumn("person", person).withColumn("matched_on", F.when(F.col("by_phone").isNotNull(), "phone").when(F.col("by_email").isNotNull(), "email"))
-    note = F.when(F.col("phone_key").isNull() & F.col("email_key").isNull(), "no usable key")
-    return out.withColumn("status", F.when(F.col("person").isNotNull(), "duplicate").otherwise("new")).withColumn("note", note).drop("by_phone", "by_email")
+    nothing = F.col("phone").isNull() & F.col("email").isNull()
+    note = F.when(nothing, "neither phone nor email").when(F.col("phone_key").isNull() & F.col("email_key").isNull(), "no usable key")
+    status = F.when(nothing, "rejected").when(F.col("person").isNotNull(), "duplicate").otherwise("new")
+    return out.withColumn("status", status).withColumn("note", note).drop("by_phone", "by_email")
 
 
 def alert(checked: DataFrame) -> DataFrame:
-    """One row: checked, duplicates, new, message."""
-    out = checked.agg(F.count("*").alias("checked"), F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(F.col("status") == "new").alias("new"))
-    some = F.format_string("%d of %d incoming rows already exist in the database.", "duplicates", "checked")
-    return out.withColumn("alert", F.when(F.col("duplicates") > 0, some).otherwise(F.format_string("No duplicates. All %d rows are new people.", "checked")))
+    """One row: checked (without rejected rows), duplicates, new, rejected, message."""
+    out = checked.agg(F.count_if(F.col("status") != "rejected").alias("checked"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.count_if(F.col("status") == "new").alias("new"))
+    return out.withColumn("alert", F.when(F.col("duplicates") > 0, F.format_string(SOME_KNOWN, "duplicates", "checked")).otherwise(F.format_string(NONE_KNOWN, "checked")))
 
 
 def collisions(checked: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 One shuffle of the bridge by phone makes the people; one by email makes the
 index that the email source joins.  Struct minima and maxima do survivorship, so
-hot keys shrink before the shuffle; only groups that are really merged are
-ever collected.  NULL keys stay out of joins.
+hot keys shrink before the shuffle.  Of a merged group the first few lines are
+shown with the issue; all of them are rows of a table.  NULL keys stay out of joins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import normalise as N
@@ -19,10 +19,12 @@ from rollcall.sources.tables import durable
 #: Ids keep the order of creation: bridge groups by first line, then orphans of gigs and of contacts by line.
 STEP = 1 << 40
 BRIDGE_RANK, GIGS_RANK, CONTACTS_RANK = 1, 2, 3
+#: Lines of a merged group that its issue shows.
+SHOWN = 10
 
 
 def person_id(rank: int, line: Column) -> Column:
-    """An id that orders as people were made, without a global sort."""
+    """An id that orders as people were made, without a global sort; lines of several files are numbered through them first."""
     return F.lit(rank * STEP) + line
 
 
@@ -88,9 +90,9 @@ class Resolved:
         head = lambda phone, email: ["person_id", "full_name", phone.alias("primary_phone"), email.alias("primary_email"), F.col("city_norm").alias("city"), F.col("city").alias("city_raw")]
         return self.gigs.where("orphan").select(*head(none("string"), F.col("email_key"))).unionByName(self.contacts.where("orphan").select(*head(F.col("phone_key"), none("string"))))
 
-    def kept(self) -> "Resolved":
-        """The same with its tables persisted (spilling to disk), for several results from one merge."""
-        return Resolved(*(df.persist() for df in (self.bridge, self.groups, self.index, self.gigs, self.contacts)))
+    def settled(self) -> "Resolved":
+        """The same with groups and attached rows written to the checkpoint folder, for several results from one merge; nothing stays in memory."""
+        return Resolved(self.bridge, durable(self.groups), self.index, durable(self.gigs), durable(self.contacts))
 
     def everyone(self) -> DataFrame:
         """Bridge people and orphans, before anything is folded in."""
@@ -140,12 +142,26 @@ class Resolved:
         firsts = self.contacts.where("orphan and name_key is not null").groupBy("name_key").agg(F.min("line_no").alias("source_b_row"))
         return self.gigs.where("orphan and name_key is not null").join(firsts, "name_key").select(F.col("full_name").alias("name"), F.lit("gigs").alias("source_a_file"), F.col("line_no").alias("source_a_row"), F.lit("contacts").alias("source_b_file"), "source_b_row", F.lit("unresolved").alias("resolution"))
 
+    def merged_members(self) -> DataFrame:
+        """first_line, line_no, full_name, email_key of every line of the bridge groups of more than one."""
+        several = self.groups.where("lines > 1").select("group_key", "first_line")
+        return self.bridge.select("group_key", "line_no", "full_name", "email_key").join(several, "group_key").select("first_line", "line_no", "full_name", "email_key")
+
     def merged_duplicates(self) -> DataFrame:
-        """Bridge groups of more than one line, what they held and what was kept; only these are collected."""
-        several = self.groups.where("lines > 1").select("group_key", "first_line", "lines", F.col("full_name").alias("kept_name"), F.col("primary_email").alias("kept_email"))
-        held = self.bridge.join(several, "group_key")
-        raw = F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.col("full_name").alias("held")))), lambda x: F.format_string("line %d: %s", x["line_no"], x["held"]))
-        return held.groupBy("first_line", "lines", "kept_name", "kept_email").agg(F.array_join(raw, " | ").alias("raw_value"), F.count_distinct("full_name").alias("names"), F.count_distinct("email_key").alias("emails"))
+        """Bridge groups of more than one line: what was kept, how many names and emails they held, and their first lines.
+
+        Of a group only ``SHOWN`` lines are gathered, cut before the shuffle; the others
+        are counted here and listed by :meth:`merged_members`.
+        """
+        members = self.merged_members()
+        first = members.withColumn("i", F.row_number().over(Window.partitionBy("first_line").orderBy("line_no"))).where(F.col("i") <= SHOWN)
+        listed = F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.col("full_name").alias("held")))), lambda x: F.format_string("line %d: %s", x["line_no"], x["held"]))
+        shown = first.groupBy("first_line").agg(F.array_join(listed, " | ").alias("shown"))
+        counts = lambda column, name: members.where(F.col(column).isNotNull()).select("first_line", column).distinct().groupBy("first_line").agg(F.count("*").alias(name))
+        kept = self.groups.where("lines > 1").select("first_line", "lines", F.col("full_name").alias("kept_name"), F.col("primary_email").alias("kept_email"))
+        rows = kept.join(shown, "first_line").join(counts("full_name", "names"), "first_line", "left").join(counts("email_key", "emails"), "first_line", "left")
+        more = F.when(F.col("lines") > SHOWN, F.format_string(" | and %d more", F.col("lines") - SHOWN)).otherwise("")
+        return rows.select("first_line", "lines", "kept_name", "kept_email", F.concat("shown", more).alias("raw_value"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("names", "emails")])
 
     def issues(self) -> DataFrame:
         """All judgments of the merge, one schema."""

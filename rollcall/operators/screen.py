@@ -11,13 +11,15 @@ from rollcall.sources.specs import ExportSpec
 
 
 def screened(lines: DataFrame, spec: ExportSpec) -> DataFrame:
-    """line_no, line, fields, found, verdict, recovered of every line but the header.
+    """File, line_no, line, fields, found, verdict, recovered of every line but the header.
 
     The first rule that fails gives the verdict: blank_row, repeated_header,
     wrong_column_count, column_shift; ``staged`` if none does.  ``recovered`` is the key
     that turning a shifted row left by one brings back, where it has the key's shape.
     """
     n = len(spec.header)
+    if "file" not in lines.columns:
+        lines = lines.withColumn("file", F.lit(spec.name))
     # Columns from a generator are computed once, however often the rules below name them.
     rows = lines.where("line_no > 1").select("*", F.inline(F.array(F.struct(fields(F.col("line"), n).alias("fields"), width(F.col("line")).alias("found")))))
     key = F.col("fields")[spec.key]
@@ -34,21 +36,21 @@ def screened(lines: DataFrame, spec: ExportSpec) -> DataFrame:
 
 def staged(rows: DataFrame, spec: ExportSpec) -> DataFrame:
     """Staged rows as named text columns, not a character changed."""
-    return rows.where("verdict = 'staged'").select("line_no", *[F.col("fields")[i].alias(name) for i, name in enumerate(spec.columns)])
+    return rows.where("verdict = 'staged'").select("file", "line_no", *[F.col("fields")[i].alias(name) for i, name in enumerate(spec.columns)])
 
 
 def shift_duplicates(rows: DataFrame, spec: ExportSpec) -> DataFrame:
-    """Shifted rows whose recovered key a line before them already has, and the first such line."""
-    shifted = rows.where("recovered is not null").select("line_no", "recovered", F.lower(stripped(F.col("recovered"))).alias("k"))
-    keys = rows.where("verdict = 'staged'").select(F.lower(stripped(F.col("fields")[spec.key])).alias("k"), F.col("line_no").alias("at"))
-    firsts = keys.join(shifted.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("at").alias("earlier_line"))
-    return shifted.join(firsts, "k").where("earlier_line < line_no").select("line_no", "recovered", "earlier_line")
+    """Shifted rows whose recovered key a line before them in their file already has, and the first such line."""
+    shifted = rows.where("recovered is not null").select("file", "line_no", "recovered", F.lower(stripped(F.col("recovered"))).alias("k"))
+    keys = rows.where("verdict = 'staged'").select("file", F.lower(stripped(F.col("fields")[spec.key])).alias("k"), F.col("line_no").alias("at"))
+    firsts = keys.join(shifted.select("file", "k").distinct(), ["file", "k"], "left_semi").groupBy("file", "k").agg(F.min("at").alias("earlier_line"))
+    return shifted.join(firsts, ["file", "k"]).where("earlier_line < line_no").select("file", "line_no", "recovered", "earlier_line")
 
 
 def issues(rows: DataFrame, spec: ExportSpec) -> DataFrame:
-    """One issue for each line that isn't staged; raw_value is the line itself."""
-    earlier = shift_duplicates(rows, spec).select("line_no", "earlier_line")
-    bad = rows.where("verdict <> 'staged'").join(earlier, "line_no", "left")
+    """One issue for each line that isn't staged; raw_value is the line itself, row_number its place in the file."""
+    earlier = shift_duplicates(rows, spec).select("file", "line_no", "earlier_line")
+    bad = rows.where("verdict <> 'staged'").join(earlier, ["file", "line_no"], "left")
     shift = F.col("verdict") == "column_shift"
     action = (
         F.when(F.col("verdict") == "wrong_column_count", F.format_string(f"skipped: expected {len(spec.header)} fields, found %d", "found"))
@@ -57,7 +59,7 @@ def issues(rows: DataFrame, spec: ExportSpec) -> DataFrame:
         .otherwise("skipped")
     )
     return bad.select(
-        F.lit(spec.name).alias("source_file"), F.col("line_no").alias("row_number"), F.col("verdict").alias("issue_type"), F.when(shift, spec.key_header).alias("column_name"),
+        "file", F.lit(spec.name).alias("source_file"), F.col("line_no").alias("row_number"), F.col("verdict").alias("issue_type"), F.when(shift, spec.key_header).alias("column_name"),
         F.col("line").alias("raw_value"), action.alias("action_taken"), F.when(shift, "flagged").otherwise("skipped").alias("severity"),
     )
 

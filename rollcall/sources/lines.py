@@ -60,18 +60,38 @@ def width(line: Column) -> Column:
     return F.size(F.split(F.regexp_replace(line, r'"([^"]|"")*"', ""), ",", -1))
 
 
-def header_mismatches(lines: DataFrame, spec: ExportSpec) -> DataFrame:
-    """Of each file whether its first line is the spec's header."""
+def input_files(spark: SparkSession, path: str) -> DataFrame:
+    """file: every file below ``path``, empty ones too (scans leave those out): the names that Spark lists for a scan."""
+    return spark.createDataFrame([(name,) for name in spark.read.text(path).inputFiles()], "file string")
+
+
+def header_mismatches(lines: DataFrame, spec: ExportSpec, files: DataFrame | None = None) -> DataFrame:
+    """Of each file whether its first line is the spec's header; of ``files`` an empty one has no header."""
     first = lines.where("line_no = 1")
     same = (width(F.col("line")) == len(spec.header)) & (fields(F.col("line"), len(spec.header)) == F.array(*map(F.lit, spec.header)))
-    return first.select("file", same.alias("header_ok"))
+    found = first.select("file", same.alias("header_ok"))
+    if files is None:
+        return found
+    bare = lambda file: F.regexp_replace(file, "^([a-z0-9]+):/+", "$1:/")  # one file has one or three slashes, by who names it
+    known = found.select(bare(F.col("file")).alias("at"), "header_ok")
+    return files.join(known, bare(F.col("file")) == F.col("at"), "left").select("file", F.coalesce("header_ok", F.lit(False)).alias("header_ok"))
+
+
+def source_wide(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` of the files of ``lines`` with file_line, and line_no counted on from file to file, in the order of their names.
+
+    What is merged from several files keeps one order, and one number a row; files meet as one row each.
+    """
+    ends = lines.groupBy("file").agg(F.max("line_no").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(ends.select("file", before.alias("before")), "file").withColumn("file_line", F.col("line_no")).withColumn("line_no", F.col("before") + F.col("file_line")).drop("before")
 
 
-def check_headers(lines: DataFrame, spec: ExportSpec) -> None:
-    """I02 as a hard error: no file, an empty one, or one whose header isn't the spec's."""
-    found = header_mismatches(lines, spec).groupBy("header_ok").agg(F.count("*").alias("n"), F.min("file").alias("example")).collect()
+def check_headers(lines: DataFrame, spec: ExportSpec, files: DataFrame | None = None) -> None:
+    """I02 as a hard error: no file, an empty one (among ``files``), or one whose header isn't the spec's."""
+    found = header_mismatches(lines, spec, files).groupBy("header_ok").agg(F.count("*").alias("n"), F.min("file").alias("example")).collect()
     if not found:
         raise ValueError(f"{spec.name}: no lines")
     for r in found:
         if not r.header_ok:
-            raise ValueError(f"{spec.name}: {r.n} files with another header, {r.example} among them")
+            raise ValueError(f"{spec.name}: {r.n} files empty or with another header, {r.example} among them")

@@ -51,6 +51,7 @@ MEDIA_EXTENSIONS = {
     "audio/flac": ".flac",
     "audio/x-flac": ".flac",
 }
+# Words for states and flags, limits of an upload, the lakh, and the bounds of what is plausible, clean, fair and silent.
 STATUSES = ("active", "inactive", "paused")
 YES, NO = ("y", "yes"), ("n", "no")
 LARGEST_UPLOAD = 25 * 1024 * 1024
@@ -75,6 +76,7 @@ class ExportSpec:
         return self.header[self.key]
 
 
+# The headers of the exports, and the shapes of their keys.
 AT_SIGN, A_DIGIT = "@", r"\p{Nd}"
 BRIDGE = ExportSpec(
     "bridge",

@@ -13,8 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where both are one process.
+
+    Elsewhere executors wouldn't see a machine-local folder: without the setting that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return named or tempfile.mkdtemp(prefix="spark-shared-")
 
 

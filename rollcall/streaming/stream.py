@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rollcall.operators import intake, lookup
+from rollcall.sources.tables import durable
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 4) -> DataFrame:
@@ -16,9 +17,10 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_a_batch:
 def check_incoming(incoming: DataFrame, people: DataFrame, sink: str, progress: str) -> None:
     """Look up what has arrived and append the answers; a restart goes on where it stopped.
 
-    A stream-static join: no state is kept between batches.
+    A stream-static join: no state is kept between batches, and people are indexed once, before the first.
     """
-    checked = lookup.looked_up(incoming, people).select("row_no", "name", "phone", "email", "status", "matched_on", F.col("person.person_id").alias("person_id"), "note")
+    indexes = [durable(index) for index in lookup.key_indexes(people)]
+    checked = lookup.looked_up_in(incoming, *indexes).select("row_no", "name", "phone", "email", "status", "matched_on", F.col("person.person_id").alias("person_id"), "note")
     checked.writeStream.format("parquet").option("path", sink).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 

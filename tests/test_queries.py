@@ -7,7 +7,6 @@ import __spark_entry__ as entry
 from rollcall.jobs import registry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ("n09_ctc", "m06_email_index", "m18_people", "m20_merge_summary", "i01_physical_lines", "i13_idempotent_write", "r02_canonical_record", "p02_city_spellings", "d05_collisions", "a05_ambiguous_phone", "a08_listing", "b08_metadata", "s01_incoming_stream", "s02_submission_stream")
 
 
 def rows(names, values):
@@ -15,7 +14,7 @@ def rows(names, values):
     return sorted(tuple("" if v[i] is None else repr(float(v[i])) if isinstance(v[i], float) else str(v[i]) for i in order) for v in values)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_as_sql_says(spark, name):
     con = duckdb.connect()
     for t in ("customer", "orders", "part", "lineitem", "events"):
@@ -27,7 +26,7 @@ def test_as_sql_says(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql()) and len(registry.queries()) == 90
+    assert set(registry.queries()) == set(registry.oracle_sql()) and len(registry.queries()) >= 90
 
 
 def test_entry(spark):
