@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-#: What is no word character.
-BETWEEN = r"[^\p{L}\p{N}]+"
+#: What is no word character and no line end.
+BETWEEN = r"[^\p{L}\p{N}\n]+"
 
 # Notices and paragraphs of public licences, by SPDX identifier.
-TEMPLATES = (
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
@@ -44,8 +44,35 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0-or-later", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
+#: Licences and headers that stand in one block: the notices of these names that begin so, one after the other.
+WHOLE = (
+    ("MIT", (("MIT", "Permission"), ("MIT", "The above"), ("MIT", "THE SOFTWARE"))),
+    ("Apache-2.0", (("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the"), ("Apache-2.0", "Unless"))),
+    ("GPL-3.0-or-later", (("GPL-3.0-or-later", "This program is free"), ("GPL-3.0-or-later", "This program is distributed"))),
+    ("GPL-2.0-or-later", (("GPL-2.0-or-later", "This program is free"), ("GPL-3.0-or-later", "This program is distributed"))),
+    ("LGPL-3.0-or-later", (("LGPL-3.0-or-later", "This library is free"), ("LGPL-3.0-or-later", "This library is distributed"))),
+    ("LGPL-2.1-or-later", (("LGPL-2.1-or-later", "This library is free"), ("LGPL-3.0-or-later", "This library is distributed"))),
+    ("AGPL-3.0-or-later", (("AGPL-3.0-or-later", "This program is free"), ("AGPL-3.0-or-later", "This program is distributed"))),
+    ("BSD-2-Clause", (("BSD-3-Clause", "Redistribution and"), ("BSD-2-Clause", "Redistributions of"), ("BSD-2-Clause", "Redistributions in"), ("BSD-2-Clause", "THIS"))),
+    ("BSD-3-Clause", (("BSD-3-Clause", "Redistribution and"), ("BSD-2-Clause", "Redistributions of"), ("BSD-2-Clause", "Redistributions in"), ("BSD-3-Clause", "Neither"), ("BSD-2-Clause", "THIS"))),
+    ("ISC", (("ISC", "Permission"), ("ISC", "THE"))),
+)
+TEMPLATES = (*NOTICES, *((licence, " ".join(next(t for n, t in NOTICES if n == name and t.startswith(start)) for name, start in parts)) for licence, parts in WHOLE))
+
 
 def word_bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a template (on the driver, for the fixed list only)."""
@@ -71,20 +98,22 @@ def template_array(templates, threshold: float) -> Column:
 def licence_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, unit, number, license, dice: a row for each unit that a template matches.
 
-    Units are the lines of a text, numbered from 1, and its paragraphs (what blank
-    lines part) of more than one line, numbered alike.  A unit has its best template; of equally
+    Units are the lines of a text, numbered from 1, and its paragraphs (what lines
+    without a letter or digit part, such as blank ones and marks of comments) of more
+    than one line, numbered alike.  A unit has its best template; of equally
     good ones the first.  A null or empty text has no match, nor has a unit of fewer
     than two words.  Rows that repeat match each; an empty table gives no rows.
     """
     sizes = [size_bounds(len(word_bigrams(t)), threshold) for _, t in templates]
     least, most = min(a for a, _ in sizes), max(b for _, b in sizes)
-    normal = lambda u: F.trim(F.regexp_replace(F.lower(u), BETWEEN, " "))
     named = lambda kind, array: F.transform(array, lambda u, i: F.struct(F.lit(kind).alias("unit"), (i + 1).cast("long").alias("number"), u.alias("words")))
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.transform(F.split(body, "\n"), normal)
-    paragraphs = F.transform(F.split(body, r"\n[ \t\r]*(?:\n[ \t\r]*)*\n"), lambda p: F.when(F.contains(F.trim(p), F.lit("\n")), normal(p)).otherwise(""))
-    # Fields from a generator are not computed again where they are used.
-    units = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.explode(F.filter(F.concat(named("line", lines), named("paragraph", paragraphs)), lambda u: u["words"] != "")).alias("u"))
+    # The text is normalised once, its line ends kept. Fields from a generator are not computed again where they are used.
+    body = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN, " ")
+    once = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.explode(F.array(F.struct(body.alias("body")))).alias("b"))
+    once = once.select(*[c for c in once.columns if c != "b"], F.col("b.body").alias("body"))
+    lines = F.transform(F.split("body", "\n"), lambda u: F.trim(u))
+    paragraphs = F.transform(F.split("body", "\n(?: ?\n)+"), lambda p: F.when(F.contains(p, F.lit("\n")), F.trim(F.regexp_replace(p, "[ \n]+", " "))).otherwise(""))
+    units = once.select(*[c for c in once.columns if c != "body"], F.explode(F.filter(F.concat(named("line", lines), named("paragraph", paragraphs)), lambda u: u["words"] != "")).alias("u"))
     units = units.select(*[c for c in units.columns if c != "u"], "u.unit", "u.number", "u.words")
     pairs_at_most = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
     units = units.where(pairs_at_most >= least)
@@ -111,8 +140,8 @@ WITH templates AS (SELECT i, license, {words("t")} AS w FROM (VALUES {rows}) AS
 tp AS (SELECT i, license, {pairs("w")} AS pairs FROM templates),
 whole AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, 'line' AS unit, generate_subscripts(parts, 1) AS number, unnest(parts) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM whole)),
-paragraphs AS (SELECT doc_id, 'paragraph' AS unit, generate_subscripts(parts, 1) AS number, unnest(parts) AS body FROM (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*(?:\n[ \t\r]*)*\n') AS parts FROM whole)),
-units AS (SELECT row_number() OVER () AS u, * FROM (SELECT * FROM lines UNION ALL SELECT * FROM paragraphs WHERE contains(trim(body), chr(10)))),
+paragraphs AS (SELECT doc_id, 'paragraph' AS unit, generate_subscripts(parts, 1) AS number, unnest(parts) AS body FROM (SELECT doc_id, string_split_regex(text, '\n(?:[^\p{{L}}\p{{N}}\n]*\n)+') AS parts FROM whole)),
+units AS (SELECT row_number() OVER () AS u, * FROM (SELECT * FROM lines UNION ALL SELECT * FROM paragraphs WHERE contains(body, chr(10)))),
 up AS (SELECT u, doc_id, unit, number, {pairs("w")} AS pairs FROM (SELECT *, {words("body")} AS w FROM units)),
 scored AS (
   SELECT up.u, doc_id, unit, number, tp.i, license, 2.0::DOUBLE * len(list_intersect(up.pairs, tp.pairs)) / (len(up.pairs) + len(tp.pairs)) AS dice

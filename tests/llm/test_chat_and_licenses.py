@@ -63,3 +63,13 @@ def test_size_bounds_lose_nothing():
         low, high = licenses.size_bounds(n, 0.8)
         ok = [m for m in range(1, 400) if 2 * min(m, n) / (m + n) >= 0.8]
         assert ok[0] >= low and ok[-1] <= high
+
+
+def test_whole_notices_and_their_versions(spark):
+    text = {name: t for name, t in licenses.TEMPLATES[len(licenses.NOTICES) :]}
+    lines = lambda t, mark: "\n".join(mark + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
+    marked = lambda name: lines(text[name], " * ")
+    rows = [(i, f"code\n *\n{marked(name)}\n */\nmore code") for i, name in enumerate(text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.licence_matches(docs).where("unit = 'paragraph'").collect()}
+    assert got == dict(enumerate(text))
