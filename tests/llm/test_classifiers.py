@@ -78,3 +78,35 @@ def test_counterfactuals_lower_the_score_of_a_neutral_mention(spark):
     assert abs(plain[0] - plain[1]) > 0.2
     assert abs(fair[0] - fair[1]) < 0.5 * abs(plain[0] - plain[1]) and fair[0] < plain[0]
     assert fair[2] > 0.3
+
+
+def walked(model, row):
+    """The score of one row, node by node."""
+    z = model.base
+    for node in model.roots.tolist():
+        while model.left[node] != node:
+            node = int(model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node])
+        z += model.value[node]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_brute_force(spark):
+    """Every document's score from the fitted model, tree by tree and feature by feature."""
+    docs, truth = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    trees, linear = quality.fit_quality(docs, truth), toxicity.fit_toxicity(docs, truth)
+    for r in quality.quality_scores(docs, truth).collect():
+        assert abs(r.score - walked(trees, quality.statistics([text[r.doc_id]])[0])) < 1e-9
+    for r in toxicity.toxicity_scores(docs, truth).collect():
+        z = linear.bias + sum(float(linear.weights[i]) for f, i in linear.index.items() if f in toxicity.features_of(toxicity.words_of(text[r.doc_id])))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_an_id_on_many_rows_is_one_row_of_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    from rollcall.llm.sampling import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    got = labelled_sample(docs, labels(spark, [(1, 1, 1), (1, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1)]), "quality", F.lit(True), 10, 5).collect()
+    assert sorted((r["__id"], r["__label"]) for r in got) == [(1, 1.0), (2, 0.0), (3, 1.0)]
