@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from rollcall.llm.ann import nearest
 from rollcall.llm.bpe_codec import encode_decode
 from rollcall.llm.chat import RENDERED_SQL, rendered
-from rollcall.llm.common import table
+from rollcall.llm.clustering import cluster_vectors
+from rollcall.llm.common import cut, removed, scratch, table
 from rollcall.llm.inner_products import top_products
 from rollcall.llm.licenses import licence_matches, matches_sql
 from rollcall.llm.mixing import mix_shares
@@ -18,6 +19,7 @@ from rollcall.llm.ngram_join import class_rows
 from rollcall.llm.quality import quality_scores
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.toxicity import toxicity_scores
+from rollcall.llm.web_archives import PAGES_SQL, through_archives
 
 
 def tokenizer_file(name: str) -> str:
@@ -67,13 +69,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are removed when their narrow index is written."""
+    folder = scratch(spark, "archives")
+    told = cut(through_archives(table(spark, sf_dir, "pages"), folder))
+    removed(spark, folder)
+    return told.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_mixing, op3_bpe_codec, op4_ann, op5_quality, op6_chat, op7_ngram_join,
-        op8_inner_products, op9_toxicity, op10_licenses,
+        op8_inner_products, op9_toxicity, op10_licenses, op11_clustering, op12_warc,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": RENDERED_SQL, "op10_licenses": matches_sql()}
+    return {"op6_chat": RENDERED_SQL, "op10_licenses": matches_sql(), "op12_warc": PAGES_SQL}
