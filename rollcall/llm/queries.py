@@ -17,6 +17,7 @@ from rollcall.llm.licenses import licence_matches, matches_sql
 from rollcall.llm.mixing import mix_shares
 from rollcall.llm.ngram_join import class_rows
 from rollcall.llm.quality import quality_scores
+from rollcall.llm.spelling import spelling_forms
 from rollcall.llm.token_counts import token_counts
 from rollcall.llm.toxicity import toxicity_scores
 from rollcall.llm.web_archives import PAGES_SQL, through_archives
@@ -81,10 +82,14 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_mixing, op3_bpe_codec, op4_ann, op5_quality, op6_chat, op7_ngram_join,
-        op8_inner_products, op9_toxicity, op10_licenses, op11_clustering, op12_warc,
+        op8_inner_products, op9_toxicity, op10_licenses, op11_clustering, op12_warc, op13_spelling,
     )
     return {f.__name__: f for f in found}
 
