@@ -6,32 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.normalise import stripped
-from rollcall.sources.lines import fields, width
+from rollcall.sources.lines import cells, first_fields
 from rollcall.sources.specs import ExportSpec
 
 
 def screened(lines: DataFrame, spec: ExportSpec) -> DataFrame:
     """File, line_no, line, fields, found, verdict, recovered of every line but the header.
 
-    The first rule that fails gives the verdict: blank_row, repeated_header,
+    The first rule that fails gives the verdict: unclosed_quote, blank_row, repeated_header,
     wrong_column_count, column_shift; ``staged`` if none does.  ``recovered`` is the key
     that turning a shifted row left by one brings back, where it has the key's shape.
     """
     n = len(spec.header)
     if "file" not in lines.columns:
         lines = lines.withColumn("file", F.lit(spec.name))
+    if "unclosed" not in lines.columns:
+        lines = lines.withColumn("unclosed", F.lit(False))
     # Columns from a generator are computed once, however often the rules below name them.
-    rows = lines.where("line_no > 1").select("*", F.inline(F.array(F.struct(fields(F.col("line"), n).alias("fields"), width(F.col("line")).alias("found")))))
+    rows = lines.where("line_no > 1").select("*", F.inline(F.array(F.struct(cells(F.col("line")).alias("cells")))))
+    rows = rows.withColumns({"fields": first_fields(F.col("cells"), n), "found": F.size("cells")})
     key = F.col("fields")[spec.key]
     turned = F.concat(F.slice("fields", 2, n - 1), F.slice("fields", 1, 1))[spec.key]
     verdict = (
-        F.when(F.regexp_replace("line", r'(?U)[,"\s]', "") == "", "blank_row")
+        F.when(F.col("unclosed"), "unclosed_quote")
+        .when(F.forall("cells", lambda c: stripped(c) == ""), "blank_row")
         .when((F.col("found") == n) & (F.col("fields") == F.array(*map(F.lit, spec.header))), "repeated_header")
         .when(F.col("found") != n, "wrong_column_count")
         .when(~key.rlike(spec.key_pattern), "column_shift")
         .otherwise("staged")
     )
-    return rows.withColumn("verdict", verdict).withColumn("recovered", F.when((F.col("verdict") == "column_shift") & turned.rlike(spec.key_pattern), turned))
+    return rows.withColumn("verdict", verdict).drop("cells", "unclosed").withColumn("recovered", F.when((F.col("verdict") == "column_shift") & turned.rlike(spec.key_pattern), turned))
 
 
 def staged(rows: DataFrame, spec: ExportSpec) -> DataFrame:
@@ -54,13 +58,14 @@ def issues(rows: DataFrame, spec: ExportSpec) -> DataFrame:
     shift = F.col("verdict") == "column_shift"
     action = (
         F.when(F.col("verdict") == "wrong_column_count", F.format_string(f"skipped: expected {len(spec.header)} fields, found %d", "found"))
+        .when(F.col("verdict") == "unclosed_quote", F.lit("skipped: a quote opens a field that doesn't end; reading went on at the next line"))
         .when(shift & F.col("earlier_line").isNotNull(), F.format_string("skipped: turned left by one it would repeat line %d", "earlier_line"))
         .when(shift & F.col("recovered").isNotNull(), "skipped: turned left by one it would be well-formed")
         .otherwise("skipped")
     )
     return bad.select(
         "file", F.lit(spec.name).alias("source_file"), F.col("line_no").alias("row_number"), F.col("verdict").alias("issue_type"), F.when(shift, spec.key_header).alias("column_name"),
-        F.col("line").alias("raw_value"), action.alias("action_taken"), F.when(shift, "flagged").otherwise("skipped").alias("severity"),
+        F.regexp_replace("line", r"[\r\n]+\z", "").alias("raw_value"), action.alias("action_taken"), F.when(shift, "flagged").otherwise("skipped").alias("severity"),
     )
 
 
