@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from rollcall.jobs import exports
 from rollcall.jobs import oracles as O
 from rollcall.jobs.catalog import merged, query
 from rollcall.jobs.views import view
-from rollcall.operators import intake, lineage, lookup, profile, readings, screen
+from rollcall.operators import intake, lineage, lookup, people_index, profile, readings, screen
 from rollcall.sources import lines as L
-from rollcall.sources import tables
+from rollcall.sources import tables, versions
 from rollcall.sources.specs import BRIDGE, CONTACTS, GIGS, MEDIA_EXTENSIONS
 from rollcall.streaming import stream
 
 STEP = O.STEP
-#: Lines in each file that a query writes for itself.
-FILE_LINES = 5000
+#: Lines in each file that a query writes for itself: many files, and files that have several splits.
+FILE_LINES, LONG_FILE = 5000, 4_000_000
 
 O.CTES += [
     ("parsed", r"""SELECT line_no, line, len(f) AS found, list_transform(f, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f
@@ -40,7 +38,7 @@ O.CTES += [
           WHEN original_filename = '' THEN 'file_missing' WHEN extension IS NULL THEN 'type_not_accepted' WHEN byte_size <= 0 THEN 'file_empty' WHEN byte_size > 26214400 THEN 'file_too_large' END AS reason
         FROM (SELECT *, {O.case_of(MEDIA_EXTENSIONS, 'media')} AS extension FROM (SELECT *, trim(name) AS clean_name, trim(phone) AS typed_phone, {O.phone("phone")} AS phone_key, lower(trim(split_part(content_type, ';', 1))) AS media, CASE WHEN capture_mode IN ('record', 'upload') THEN capture_mode ELSE 'upload' END AS mode FROM submissions))"""),
     ("acc", "SELECT v.*, p.person_id AS known FROM val v LEFT JOIN phones p ON p.phone_key = v.phone_key AND p.i = 1 WHERE v.reason IS NULL"),
-    ("made", f"SELECT {4 * STEP} + submission_id AS person_id, clean_name AS full_name, phone_key AS primary_phone, 'audio_app' AS source_origin, typed_phone AS raw_value FROM (SELECT *, row_number() OVER (PARTITION BY phone_key ORDER BY created_seq, submission_id) AS i FROM acc WHERE known IS NULL) WHERE i = 1"),
+    ("made", f"SELECT {4 * STEP} + row_number() OVER (ORDER BY created_seq, submission_id NULLS FIRST, phone_key) AS person_id, clean_name AS full_name, phone_key AS primary_phone, 'audio_app' AS source_origin, typed_phone AS raw_value FROM (SELECT *, row_number() OVER (PARTITION BY phone_key ORDER BY created_seq, submission_id NULLS FIRST) AS i FROM acc WHERE known IS NULL) WHERE i = 1"),
     ("att", "SELECT a.*, coalesce(a.known, m.person_id) AS person_id FROM acc a LEFT JOIN made m ON m.primary_phone = a.phone_key AND a.known IS NULL"),
     ("rd0", r"""SELECT *, CASE WHEN json_valid(probe_json) THEN CAST(probe_json AS JSON) END AS j FROM readings"""),
     ("rd1", r"""SELECT submission_id, byte_size, file_exists, decode_log, loudness_log, levels_log, json_extract_string(j, '$.streams[0].sample_rate') AS rate, json_extract_string(j, '$.streams[0].bit_rate') AS sbit, json_extract_string(j, '$.format.bit_rate') AS cbit,
@@ -63,35 +61,92 @@ O.CTES += [
 # ---- lines and screening --------------------------------------------------------------
 
 
-def written_lines(spark, sf_dir):
-    """The raw lines as text files of ``part``s, each in the order of its lines."""
-    path = f"{tables.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
-    rows = view(spark, sf_dir, "raw_lines").withColumn("part", F.floor((F.col("line_no") - 1) / FILE_LINES))
-    rows.repartition("part").sortWithinPartitions("part", "line_no").select("part", F.col("line").alias("value")).write.partitionBy("part").text(path)
+def written_lines(spark, rows, lines_a_file):
+    """(line_no, at, value) as text files of ``part``s below a new folder, each in the order of its lines."""
+    path = tables.scratch(spark, "lines")
+    rows = rows.withColumn("part", F.floor((F.col("line_no") - 1) / lines_a_file))
+    rows.repartition("part").sortWithinPartitions("part", "line_no", "at").select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
+def read_from_lines(spark, rows, lines_a_file, read):
+    """What ``read`` makes of the files' lines, in at least some dozen splits; the files are removed when it is written."""
+    path, name = written_lines(spark, rows, lines_a_file), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    size = rows.agg(F.sum(F.length("value") + 1)).first()[0] or 0
+    spark.conf.set(name, str(min(max(size // 16, 4096), 128 << 20)))
+    try:
+        return tables.durable(read(L.numbered_lines(spark, path)))
+    finally:
+        spark.conf.set(name, before)
+        tables.removed(spark, path)
+
+
+def raw_lines(spark, sf_dir):
+    return view(spark, sf_dir, "raw_lines").select("line_no", F.lit(0).alias("at"), F.col("line").alias("value"))
+
+
 def part_of(file):
     return F.regexp_extract(file, r"part=(\d+)", 1).cast("long")
 
 
-@query(f"SELECT (line_no - 1) // {FILE_LINES} AS part, (line_no - 1) % {FILE_LINES} + 1 AS line_no, line FROM raw_lines")
+@query(f"SELECT (line_no - 1) // {LONG_FILE} AS part, (line_no - 1) % {LONG_FILE} + 1 AS line_no, line FROM raw_lines")
 def i01_physical_lines(spark, sf_dir):
-    return L.numbered_lines(spark, written_lines(spark, sf_dir)).select(part_of(F.col("file")).alias("part"), "line_no", "line")
+    """Files of several splits."""
+    return read_from_lines(spark, raw_lines(spark, sf_dir), LONG_FILE, lambda lines: lines.select(part_of(F.col("file")).alias("part"), "line_no", "line"))
 
 
 @query(f"SELECT (line_no - 1) // {FILE_LINES} AS part, line = 'Name,Phone Number,City,Verified,Projects Completed' AS header_ok FROM raw_lines WHERE (line_no - 1) % {FILE_LINES} = 0")
 def i02_header(spark, sf_dir):
-    return L.header_mismatches(L.numbered_lines(spark, written_lines(spark, sf_dir)), CONTACTS).select(part_of(F.col("file")).alias("part"), "header_ok")
+    return read_from_lines(spark, raw_lines(spark, sf_dir), FILE_LINES, lambda lines: L.header_mismatches(lines, CONTACTS).select(part_of(F.col("file")).alias("part"), "header_ok"))
 
 
 _FIELDS = ", ".join(f"coalesce(f[{i}], '') AS {name}" for i, name in enumerate(CONTACTS.columns, 1))
 
 
-@query(f"SELECT (line_no - 1) // {FILE_LINES} AS part, (line_no - 1) % {FILE_LINES} + 1 AS line_no, {_FIELDS} FROM parsed")
+@query(f"SELECT (line_no - 1) // {LONG_FILE} AS part, (line_no - 1) % {LONG_FILE} + 1 AS line_no, {_FIELDS} FROM parsed")
 def i03_fields(spark, sf_dir):
-    rows = L.stitched(L.numbered_lines(spark, written_lines(spark, sf_dir))).withColumn("f", L.fields(F.col("line"), 5))
-    return rows.select(part_of(F.col("file")).alias("part"), "line_no", *[F.col("f")[i].alias(name) for i, name in enumerate(CONTACTS.columns)])
+    def read(lines):
+        rows = L.stitched(lines).withColumn("f", F.array(F.struct(L.cells(F.col("line")).alias("f"))))
+        rows = rows.select("file", "line_no", F.inline("f")).withColumn("f", L.first_fields(F.col("f"), 5))
+        return rows.select(part_of(F.col("file")).alias("part"), "line_no", *[F.col("f")[i].alias(name) for i, name in enumerate(CONTACTS.columns)])
+
+    return read_from_lines(spark, raw_lines(spark, sf_dir), LONG_FILE, read)
+
+
+#: Characters that a field may go on for in the planted files.
+_SHORT_FIELD = 2000
+O.CTES += [("quoted_rows", "SELECT *, CAST(sum(high) OVER (PARTITION BY part ORDER BY k) AS BIGINT) AS line_no FROM (SELECT *, k // 4000000 AS part FROM quoted)")]
+
+
+@query("SELECT part, line_no, first, second, unclosed, CASE WHEN unclosed THEN 1 ELSE 2 END AS cells FROM quoted_rows")
+def i15_quoted_records(spark, sf_dir):
+    """Records with inch marks, quotes in the middle, doubled quotes at ends, line breaks, and quotes that never close."""
+
+    def read(lines):
+        rows = L.stitched(lines, field_limit=_SHORT_FIELD).select("file", "line_no", "unclosed", F.inline(F.array(F.struct(L.cells(F.col("line")).alias("c")))))
+        return rows.select(part_of(F.col("file")).alias("part"), "line_no", F.col("c")[0].alias("first"), F.get("c", F.lit(1)).alias("second"), "unclosed", F.size("c").alias("cells"))
+
+    planted = view(spark, sf_dir, "quoted").select((F.col("k") + 1).alias("line_no"), F.lit(0).alias("at"), F.col("text").alias("value"))
+    return read_from_lines(spark, planted, 4_000_000, read)
+
+
+# What ends a line besides LF and CR.
+_ENDS = "[chr(11), chr(12), chr(28), chr(29), chr(30), chr(133), chr(8232), chr(8233), chr(13)]"
+O.CTES += [("ended", f"SELECT k, text, CASE WHEN k % 3 = 0 THEN {_ENDS}[CAST(1 + k // 3 % 9 AS INT)] END AS e FROM (SELECT k, first || ' ' || CAST(k AS VARCHAR) AS text FROM quoted WHERE high = 1)")]
+
+
+@query(
+    """SELECT line_no - (CASE WHEN half = 0 AND e IS NOT NULL THEN 1 ELSE 0 END) AS line_no, CASE WHEN half = 1 THEN 'and ' || text WHEN e IS NULL OR e = chr(13) THEN text ELSE text || e END AS line
+    FROM (SELECT *, CAST(sum(CASE WHEN e IS NULL THEN 1 ELSE 2 END) OVER (ORDER BY k) AS BIGINT) AS line_no FROM ended), (VALUES (0), (1)) v(half) WHERE half = 0 OR e IS NOT NULL"""
+)
+def i16_line_ends(spark, sf_dir):
+    """Lines that end with VT, FF, FS, GS, RS, NEL, LS, PS or CR, all in one file."""
+    ends = F.array(*[F.lit(c) for c in (*L.OTHER_ENDS, "\r")])
+    rows = view(spark, sf_dir, "quoted").where("high = 1").select("k", F.concat("first", F.lit(" "), F.col("k").cast("string")).alias("text"))
+    value = F.when(F.col("k") % 3 == 0, F.concat("text", F.element_at(ends, (F.floor(F.col("k") / 3) % 9 + 1).cast("int")), F.lit("and "), "text")).otherwise(F.col("text"))
+    planted = rows.select((F.col("k") + 1).alias("line_no"), F.lit(0).alias("at"), value.alias("value"))
+    return read_from_lines(spark, planted, 1 << 40, lambda lines: lines.select("line_no", "line"))
 
 
 def screened(spark, sf_dir):
@@ -145,12 +200,14 @@ def i12_issue_counts(spark, sf_dir):
 
 @query("SELECT *, 'ingest' AS phase FROM line_issues UNION ALL SELECT *, 'merge' FROM merge_issues")
 def i13_idempotent_write(spark, sf_dir):
-    path = f"{tables.shared_folder(spark)}/issues-{uuid.uuid4().hex}"
+    path = tables.scratch(spark, "issues")
     ingest, merge = screen.issues(screened(spark, sf_dir), CONTACTS).drop("file"), merged(spark, sf_dir).issues()
     tables.write_phase(ingest, path, "ingest")
     tables.write_phase(merge, path, "merge")
     tables.write_phase(ingest, path, "ingest")  # a rerun replaces its own rows only
-    return spark.read.parquet(path).drop("action_taken")
+    out = tables.durable(spark.read.parquet(path).drop("action_taken"))
+    tables.removed(spark, path)
+    return out
 
 
 O.CTES += [
@@ -321,9 +378,29 @@ def p11_skill_spellings(spark, sf_dir):
 
 # ---- lookup ---------------------------------------------------------------------------------
 
+#: Roots of the indexes that this process has published, by application, folder and age of its tables.
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_root(spark, sf_dir):
+    """Where the people of ``sf_dir`` are published as an index: made once in an application, and again if a table has changed; it lies in the shared folder like a checkpoint."""
+    age = [system.getFileStatus(at).getModificationTime() for system, at in (tables.file_system(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "part"))]
+    key = (spark.sparkContext.applicationId, sf_dir, *age)
+    if key not in _INDEXES or not tables.exists(spark, _INDEXES[key]):
+        root = tables.scratch(spark, "people")
+        everyone = merged(spark, sf_dir).everyone().select("person_id", "full_name", "primary_phone", "primary_email", F.lit("csv_merge").alias("source_origin"))
+        people_index.write_index(tables.durable(everyone), root)
+        _INDEXES[key] = root
+    return _INDEXES[key]
+
+
+def opened_index(spark, sf_dir):
+    return people_index.newest_index(spark, index_root(spark, sf_dir))
+
 
 def checked(spark, sf_dir):
-    return lookup.looked_up(view(spark, sf_dir, "incoming"), merged(spark, sf_dir).people())
+    index = opened_index(spark, sf_dir)
+    return lookup.looked_up_in(view(spark, sf_dir, "incoming"), index.table("by_phone"), index.table("by_email"))
 
 
 @query("SELECT row_no, matched_on, person_id FROM checked")
@@ -364,7 +441,8 @@ def d06_expected_outcome(spark, sf_dir):
 
 
 def taken(spark, sf_dir):
-    return intake.attach(view(spark, sf_dir, "submissions"), merged(spark, sf_dir).people())
+    lowest = opened_index(spark, sf_dir).table("by_phone").select("phone_key", F.col("by_phone.person_id").alias("known"))
+    return intake.attach(view(spark, sf_dir, "submissions"), merged(spark, sf_dir).everyone(), lowest=lowest)
 
 
 @query("SELECT submission_id, reason FROM val")
@@ -412,8 +490,7 @@ def a07_created_issues(spark, sf_dir):
     FROM att a JOIN (SELECT person_id, full_name, source_origin FROM people UNION ALL SELECT person_id, full_name, source_origin FROM made) w USING (person_id) LEFT JOIN rd USING (submission_id)"""
 )
 def a08_listing(spark, sf_dir):
-    people = merged(spark, sf_dir).people()
-    got = intake.attach(view(spark, sf_dir, "submissions"), people)
+    people, got = merged(spark, sf_dir).everyone().withColumn("source_origin", F.lit("csv_merge")), taken(spark, sf_dir)
     columns = ["person_id", "full_name", "source_origin"]
     return intake.listing(got.attached, people.select(*columns).unionByName(got.made.select(*columns)), readings.measured(view(spark, sf_dir, "readings")))
 
@@ -447,32 +524,44 @@ for _name, _columns in {
 
 
 def landed(spark, rows, by, runs=3, files=2):
-    """``rows`` written as files in a new shared folder, in runs one after the other in the order of ``by``; the folder, and one beside it for results."""
-    folder = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    low, *bounds = rows.approxQuantile(by, [i / runs for i in range(runs)], 0.001)
+    """``rows`` written as files in a new shared folder, in runs one after the other in the order of ``by``; the folder, and one around it for results."""
+    folder = tables.scratch(spark, "stream")
+    _, *bounds = rows.approxQuantile(by, [i / runs for i in range(runs)], 0.001)
     place = sum((F.col(by) >= b).cast("int") for b in bounds)
     for i in range(runs):
         rows.where(place == i).repartition(files, by).write.mode("append").parquet(f"{folder}/in")
     return f"{folder}/in", folder
 
 
+def read_back(spark, folder, name, *columns):
+    """A result of a stream, written once more so that its folder can go."""
+    out = tables.durable(spark.read.parquet(f"{folder}/{name}").select(*columns))
+    tables.removed(spark, folder)
+    return out
+
+
 @query("SELECT row_no, name, phone, email, status, matched_on, person_id, note FROM checked")
 def s01_incoming_stream(spark, sf_dir):
     source, folder = landed(spark, view(spark, sf_dir, "incoming"), "row_no")
-    people = tables.durable(merged(spark, sf_dir).people())
     rows = stream.arriving(spark, source, spark.read.parquet(source).schema)
-    stream.check_incoming(rows, people, f"{folder}/out", f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/out")
+    stream.check_incoming(rows, index_root(spark, sf_dir), f"{folder}/out", f"{folder}/progress")
+    return read_back(spark, folder, "out", "row_no", "name", "phone", "email", "status", "matched_on", "person_id", "note")
 
 
-@query("SELECT submission_id, phone_key, person_id FROM att")
+@query("SELECT CASE WHEN created_seq % 97 <> 3 THEN created_seq END AS submission_id, phone_key, person_id FROM att")
 def s02_submission_stream(spark, sf_dir):
-    rows = view(spark, sf_dir, "submissions").withColumn("created_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("created_seq")))
-    again = rows.where("submission_id % 10 = 0")  # sent twice
-    source, folder = landed(spark, rows.unionByName(again), "created_seq")
-    people = tables.durable(merged(spark, sf_dir).people())
-    stream.take_submissions(stream.arriving(spark, source, spark.read.parquet(source).schema), people, folder, f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/attached").select("submission_id", "phone_key", "person_id")
+    """Every tenth submission is sent again, an hour or forty days later; every seventh is dated forty days back; some have no id."""
+    day = 86_400
+    rows = view(spark, sf_dir, "submissions").withColumn("id", F.col("created_seq"))
+    at = F.lit(1_700_000_000) + F.col("created_seq") - F.when(F.col("id") % 7 == 3, 40 * day).otherwise(0)
+    rows = rows.withColumn("submission_id", F.when(F.col("id") % 97 != 3, F.col("id"))).withColumn("created_at", F.timestamp_seconds(at))
+    again = rows.where("id % 10 = 0").withColumn("created_at", F.col("created_at") + F.expr(f"make_dt_interval(0, 0, 0, CASE WHEN id % 20 = 0 THEN 3600 ELSE {40 * day} END)"))
+    top = rows.agg(F.max("created_seq")).first()[0]
+    rows, late = rows.withColumn("arrives", F.col("id")), again.withColumn("arrives", F.col("id") + F.lit(top))  # when the first are long there
+    lost = rows.where("submission_id is null and id % 2 = 0")  # a row without an id, sent again as it was
+    source, folder = landed(spark, rows.unionByName(late.where("submission_id is not null")).unionByName(lost.withColumn("arrives", F.col("id"))).drop("id"), "arrives")
+    stream.take_submissions(stream.arriving(spark, source, spark.read.parquet(source).schema), index_root(spark, sf_dir), folder, f"{folder}/progress")
+    return read_back(spark, folder, "attached", "submission_id", "phone_key", "person_id")
 
 
 # ---- exports of several files ----------------------------------------------------------------------
@@ -482,8 +571,8 @@ _EXPORTS = {"bridge": (BRIDGE, "contains(email, '@')"), "gigs": (GIGS, "contains
 
 
 def written_exports(spark, sf_dir):
-    """Folder by export: files whose cities break over lines, with blank lines and (gigs) rotated records in between."""
-    folder, out = f"{tables.shared_folder(spark)}/exports-{uuid.uuid4().hex}", {}
+    """Folder by export: files whose cities break over lines, with blank lines, short ones with inch marks and (gigs) rotated records in between."""
+    folder, out = tables.scratch(spark, "exports"), {}
     for name, (spec, _) in _EXPORTS.items():
         rows = view(spark, sf_dir, name).withColumn("k", F.col("line_no") - 2).withColumn("part", (F.col("k") % EXPORT_FILES).cast("int"))
         csv = lambda *columns: F.to_csv(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(columns)]), {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
@@ -492,6 +581,7 @@ def written_exports(spark, sf_dir):
         lines = [F.struct(F.lit(0).alias("at"), csv(*[broken if c == "city" else F.col(c) for c in spec.columns]).alias("value")), F.struct(F.lit(1).alias("at"), F.when(F.col("k") % 50 == 10, "," * (len(plain) - 1)).alias("value"))]
         if name == "gigs":
             lines.append(F.struct(F.lit(2).alias("at"), F.when((F.col("k") % 70 == 20) & F.contains("email", F.lit("@")), csv(plain[-1], *plain[:-1])).alias("value")))
+        lines.append(F.struct(F.lit(3).alias("at"), F.when(F.col("k") % 90 == 33, '5" Road,6" x 7" yard').alias("value")))
         body = rows.select("part", "k", F.inline(F.array(*lines))).where("value is not null")
         head = spark.range(EXPORT_FILES).select(F.col("id").cast("int").alias("part"), F.lit(-1).cast("long").alias("k"), F.lit(0).alias("at"), F.lit(",".join(spec.header)).alias("value"))
         out[name] = f"{folder}/{name}"
@@ -506,9 +596,9 @@ def _export_views():
         rotated = "k % 70 = 20 AND contains(email, '@')" if name == "gigs" else "false"
         found += [
             (f"{name}_lines", f"SELECT *, line_no - 2 AS k, (line_no - 2) % {EXPORT_FILES} AS part, 1 + CASE WHEN (line_no - 2) % 3 = 0 THEN length(city) - length(replace(city, ' ', '')) ELSE 0 END AS high FROM {name}_view"),
-            (f"{name}_more", f"SELECT *, CASE WHEN k % 50 = 10 THEN 1 ELSE 0 END AS blank, CASE WHEN {rotated} THEN 1 ELSE 0 END AS turned FROM {name}_lines"),
-            (f"{name}_placed", f"SELECT *, 1 + sum(high) OVER w + sum(blank + turned) OVER w - blank - turned AS file_line FROM {name}_more WINDOW w AS (PARTITION BY part ORDER BY k)"),
-            (f"{name}_files", f"SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT part, 1 + sum(high + blank + turned) AS n FROM {name}_more GROUP BY part)"),
+            (f"{name}_more", f"SELECT *, CASE WHEN k % 50 = 10 THEN 1 ELSE 0 END AS blank, CASE WHEN {rotated} THEN 1 ELSE 0 END AS turned, CASE WHEN k % 90 = 33 THEN 1 ELSE 0 END AS inch FROM {name}_lines"),
+            (f"{name}_placed", f"SELECT *, 1 + sum(high) OVER w + sum(blank + turned + inch) OVER w - blank - turned - inch AS file_line FROM {name}_more WINDOW w AS (PARTITION BY part ORDER BY k)"),
+            (f"{name}_files", f"SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT part, 1 + sum(high + blank + turned + inch) AS n FROM {name}_more GROUP BY part)"),
             (name, f"SELECT CAST(before + file_line AS BIGINT) AS line_no, {', '.join(spec.columns)}, part, CAST(file_line AS BIGINT) AS file_line FROM {name}_placed JOIN {name}_files USING (part) WHERE {good}"),
         ]
     return found
@@ -525,28 +615,66 @@ _PLACES = " UNION ALL ".join(f"SELECT '{n}' AS source_file, line_no AS source_ro
 )
 def w01_rebuild(spark, sf_dir):
     """W1 from files to people, each with the place of the record that it was made of."""
-    built = exports.rebuild(spark, **written_exports(spark, sf_dir))
+    built = rebuilt(spark, sf_dir)
     links = built.merged.links()
     seeds = links.where("match_method = 'seed'").join(built.places(), ["source_file", "source_row_number"]).select("person_id", "source_file", part_of(F.col("file")).alias("part"), "file_line")
     rows = links.groupBy("person_id").agg(F.count("*").alias("source_rows"))
     return built.merged.people().join(seeds, "person_id").join(rows, "person_id").select(*[c.strip() for c in _PEOPLE.split(",")], "source_file", "part", "file_line", "source_rows")
 
 
+def rebuilt(spark, sf_dir):
+    """The rebuild of written exports; all that it holds is written when it comes back, so the files go."""
+    written = written_exports(spark, sf_dir)
+    built = exports.rebuild(spark, **written)
+    for path in written.values():
+        tables.removed(spark, path)
+    return built
+
+
 _ISSUES = " UNION ALL ".join(
     f"""SELECT '{n}' AS source_file, part, CAST(file_line AS BIGINT) AS row_number, 'column_shift' AS issue_type, CAST(NULL AS BIGINT) AS earlier_line FROM {n}_placed WHERE NOT ({good})
-    UNION ALL SELECT '{n}', part, CAST(file_line + 1 AS BIGINT), 'blank_row', NULL FROM {n}_placed WHERE blank = 1"""
+    UNION ALL SELECT '{n}', part, CAST(file_line + 1 AS BIGINT), 'blank_row', NULL FROM {n}_placed WHERE blank = 1
+    UNION ALL SELECT '{n}', part, CAST(file_line + blank + turned + 1 AS BIGINT), 'wrong_column_count', NULL FROM {n}_placed WHERE inch = 1"""
     for n, (_, good) in _EXPORTS.items()
 )
 
 
-@query(
-    f"""{_ISSUES} UNION ALL SELECT 'gigs', p.part, CAST(p.file_line + p.blank + 1 AS BIGINT), 'column_shift', (SELECT min(g.file_line) FROM gigs g WHERE g.part = p.part AND lower(trim(g.email)) = lower(trim(p.email))) FROM gigs_placed p WHERE p.turned = 1""",
-    _export_views(),
-)
+_TURNED = """UNION ALL SELECT 'gigs', p.part, CAST(p.file_line + p.blank + 1 AS BIGINT), 'column_shift', (SELECT min(g.file_line) FROM gigs g WHERE g.part = p.part AND lower(trim(g.email)) = lower(trim(p.email))) FROM gigs_placed p WHERE p.turned = 1"""
+
+
+@query(f"{_ISSUES} {_TURNED}", _export_views())
 def w02_rebuild_issues(spark, sf_dir):
     """What the rebuild set aside, file by file, read back from the written issues; keys repeat within a file only."""
-    built = exports.rebuild(spark, **written_exports(spark, sf_dir))
-    path = f"{tables.shared_folder(spark)}/rebuild-{uuid.uuid4().hex}"
+    built = rebuilt(spark, sf_dir)
+    path = tables.scratch(spark, "rebuild")
     built.write_issues(path)
     earlier = F.regexp_extract("action_taken", r"repeat line (\d+)", 1).try_cast("long")
-    return spark.read.parquet(path).where("phase = 'ingest'").select("source_file", part_of(F.col("file")).alias("part"), "row_number", "issue_type", earlier.alias("earlier_line"))
+    out = tables.durable(spark.read.parquet(path).where("phase = 'ingest'").select("source_file", part_of(F.col("file")).alias("part"), "row_number", "issue_type", earlier.alias("earlier_line")))
+    tables.removed(spark, path)
+    return out
+
+
+_SUMS = {"people": "person_id", "links": "source_row_number", "skills": "person_id", "candidates": "source_b_row", "issues_merge": "row_number", "staged_bridge": "line_no", "staged_gigs": "line_no", "staged_contacts": "line_no"}
+_HELD = {"people": "people", "links": "links", "skills": "skill_rows", "candidates": "alike", "issues_merge": "merge_issues", "staged_bridge": "bridge", "staged_gigs": "gigs", "staged_contacts": "contacts"}
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(sum({column} % 1000003) AS BIGINT) AS ids FROM {_HELD[name]}" for name, column in _SUMS.items()) + f" UNION ALL SELECT 'issues_ingest', count(*), CAST(sum(row_number % 1000003) AS BIGINT) FROM ({_ISSUES} {_TURNED})",
+    _export_views(),
+)
+def w03_published(spark, sf_dir):
+    """All tables of the rebuild as readers of the newest version have them, after a second run and one that was killed between two tables."""
+    built, root = rebuilt(spark, sf_dir), tables.scratch(spark, "published")
+    built.publish(root)
+    built.publish_merge(root)  # a merge alone: ingestion's tables stay
+    try:
+        versions.publish(spark, root, {"people": versions.as_parquet(built.merged.people().limit(0)), "links": lambda path: 1 / 0})
+    except ZeroDivisionError:
+        pass
+    out = None
+    for name, column in (*_SUMS.items(), ("issues_ingest", "row_number")):
+        one = versions.published(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(F.col(column) % 1000003).alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    out = tables.durable(out)
+    tables.removed(spark, root)
+    return out

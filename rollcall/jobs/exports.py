@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollcall.operators import screen
 from rollcall.operators.resolve import Resolved, resolve
 from rollcall.sources import lines as L
-from rollcall.sources import tables
+from rollcall.sources import tables, versions
 from rollcall.sources.specs import BRIDGE, CONTACTS, GIGS, ExportSpec
 
 
@@ -34,7 +34,8 @@ def read_export(spark: SparkSession, path: str, spec: ExportSpec) -> Export:
     lines = L.numbered_lines(spark, path)
     L.check_headers(lines, spec, L.input_files(spark, path))
     rows = tables.durable(screen.screened(L.stitched(lines), spec))
-    return Export(spec, rows, L.source_wide(screen.staged(rows, spec), lines))
+    ends = tables.durable(lines.groupBy("file").agg(F.max("line_no").alias("line_no")))  # a row a file
+    return Export(spec, rows, L.source_wide(screen.staged(rows, spec), ends))
 
 
 @dataclass
@@ -52,16 +53,37 @@ class Rebuilt:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def write_issues(self, path: str) -> None:
-        """The issues of both phases; a rerun replaces its own rows only."""
-        ingest = None
+    def ingest_issues(self) -> DataFrame:
+        out = None
         for export in self.exports.values():
             one = export.issues()
-            ingest = one if ingest is None else ingest.unionByName(one)
-        tables.write_phase(ingest, path, "ingest")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def write_issues(self, path: str) -> None:
+        """The issues of both phases; a rerun replaces its own rows only."""
+        tables.write_phase(self.ingest_issues(), path, "ingest")
         tables.write_phase(self.merged.issues(), path, "merge")
 
 
+    def _merge_tables(self) -> dict[str, DataFrame]:
+        m = self.merged
+        return {"people": m.people(), "links": m.links(), "skills": m.skills(), "candidates": m.lookalikes(), "issues_merge": m.issues()}
+
+    def _ingest_tables(self) -> dict[str, DataFrame]:
+        return {"issues_ingest": self.ingest_issues()} | {f"staged_{name}": e.staged for name, e in self.exports.items()}
+
+    def publish(self, root: str) -> int:
+        """W1, the whole write: people, links, skills, candidates, staged rows and issues of both phases, published together as the next version of ``root``."""
+        found = self._merge_tables() | self._ingest_tables()
+        return versions.publish(self.merged.bridge.sparkSession, root, {name: versions.as_parquet(df) for name, df in found.items()})
+
+    def publish_merge(self, root: str) -> int:
+        """What a merge owns, published anew; ingestion's tables stay those of the version before."""
+        writers = {name: versions.as_parquet(df) for name, df in self._merge_tables().items()}
+        return versions.publish(self.merged.bridge.sparkSession, root, writers, carry=self._ingest_tables())
+
+
 def rebuild(spark: SparkSession, bridge: str, gigs: str, contacts: str) -> Rebuilt:
     """The whole rebuild from three folders of export files."""
     exports = {spec.name: read_export(spark, path, spec) for spec, path in ((BRIDGE, bridge), (GIGS, gigs), (CONTACTS, contacts))}

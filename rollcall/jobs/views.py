@@ -72,13 +72,20 @@ VIEWS = {
         SELECT k + 2, CASE k % 50 WHEN 10 THEN ',,, ,' WHEN 20 THEN 'Name,Phone Number,City,Verified,Projects Completed' WHEN 30 THEN 'Short,' || t WHEN 40 THEN 'Long,' || t || ',"a, b",Yes,3,extra'
             WHEN 45 THEN '3,Name,' || u || ',Pune,Yes' WHEN 46 THEN '4,Nobody,' || w || ',Pune,No' WHEN 47 THEN '5,Nobody,none,Pune,No' ELSE 'Person ' || CAST(k AS STRING) || ',' || t || ',"Noida, ""UP"" east",Yes,' || CAST(k % 7 AS STRING) END
         FROM (SELECT c_custkey AS k, CAST(9000000000 + c_custkey AS STRING) AS t, CAST(9000000000 + c_custkey - 3 AS STRING) AS u, CAST(9000000000 + c_custkey + 3 AS STRING) AS w FROM {customer})""",
+    "quoted": f'''
+        SELECT k, t AS text, a AS first, b AS second, h AS high, k % 1000 = 500 AND k + 300 < top AS unclosed FROM (
+          SELECT k, top, CASE s WHEN -1 THEN '"Stray ' || n || ',x' WHEN 0 THEN '5" Road ' || n || ',a' WHEN 1 THEN 'b,6" x 7" yard ' || n WHEN 2 THEN '"c ""' || n || '""",d' WHEN 3 THEN 'e,"one ' || n || '{{lf}}two"'
+              WHEN 4 THEN '"f"tail"x",' || n WHEN 5 THEN 'g"",""' || n WHEN 6 THEN '"h{{lf}}' || n || '","i"' WHEN 7 THEN '"j, ' || n || '",l' WHEN 8 THEN ',' ELSE 'm ' || n || ',n' END AS t,
+            CASE s WHEN -1 THEN 'Stray ' || n || ',x' WHEN 0 THEN '5" Road ' || n WHEN 1 THEN 'b' WHEN 2 THEN 'c "' || n || '"' WHEN 3 THEN 'e' WHEN 4 THEN 'ftail"x"' WHEN 5 THEN 'g""' WHEN 6 THEN 'h{{lf}}' || n WHEN 7 THEN 'j, ' || n WHEN 8 THEN '' ELSE 'm ' || n END AS a,
+            CASE s WHEN -1 THEN NULL WHEN 0 THEN 'a' WHEN 1 THEN '6" x 7" yard ' || n WHEN 2 THEN 'd' WHEN 3 THEN 'one ' || n || '{{lf}}two' WHEN 4 THEN n WHEN 5 THEN n WHEN 6 THEN 'i' WHEN 7 THEN 'l' WHEN 8 THEN '' ELSE 'n' END AS b, CASE WHEN s IN (3, 6) THEN 2 ELSE 1 END AS h
+          FROM (SELECT o_orderkey AS k, {_text("o_orderkey")} AS n, top, CASE WHEN o_orderkey % 1000 = 500 AND o_orderkey + 300 < top THEN -1 WHEN o_orderkey % 1000 BETWEEN 501 AND 800 THEN 9 ELSE o_orderkey % 10 END AS s FROM {{orders}}, (SELECT max(o_orderkey) AS top FROM {{orders}})))''',
     "incoming": f"""
         SELECT k AS row_no, 'Incoming ' || {_text("k % 100")} AS name,
           CASE WHEN k % 25 = 24 THEN NULL WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'bad' WHEN k % 3 = 0 THEN 'USER' || {_text("s * 3")} || '@mail.example.org' ELSE 'gig' || {_text("s * 7 + 3")} || '@other.example' END AS email,
           CASE WHEN k % 25 = 24 THEN NULL WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '123' ELSE '+91 ' || {_text("9000000000 + q")} END AS phone
         FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey AS q, l_suppkey AS s FROM {{lineitem}})""",
     "submissions": f"""
-        SELECT k AS submission_id,
+        SELECT CASE WHEN k % 53 = 11 THEN k - 1 WHEN k % 61 = 7 THEN NULL ELSE k END AS submission_id,
           CASE WHEN k % 31 = 5 THEN '  ' WHEN k % 37 = 6 THEN repeat('x', 201) ELSE ' Speaker ' || {_text("u")} || ' ' END AS name,
           CASE WHEN k % 29 = 4 THEN '' WHEN k % 23 = 3 THEN '123' ELSE {_pick("k", "0", "+91-", "")} || {_text("9000000000 + u * 11 + k - k % 4")} END AS phone,
           {_pick("k", "record", "upload", "fax")} AS capture_mode,
@@ -102,8 +109,8 @@ VIEWS = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(VIEWS[name].format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
+    return spark.sql(VIEWS[name].format(lf="\n", **{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
 
 
 def duckdb_ctes() -> list[tuple[str, str]]:
-    return [(name, text.format(**{t: t for t in TABLES})) for name, text in VIEWS.items()]
+    return [(name, text.format(lf="\n", **{t: t for t in TABLES})) for name, text in VIEWS.items()]

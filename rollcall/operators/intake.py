@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.normalise import phone_key, stripped
-from rollcall.operators.resolve import SHOWN, STEP
+from rollcall.operators.resolve import SHOWN, STEP, dense_ids
 from rollcall.sources.specs import LARGEST_UPLOAD, LONGEST_NAME, MEDIA_EXTENSIONS
 
 #: New people come after all that a merge makes.
@@ -57,27 +57,43 @@ class Intake:
         return self.made.select("person_id", F.col("primary_phone").alias("phone_key"), "raw_value", F.lit("person_created_from_audio_submission").alias("issue_type"))
 
 
-def attach(submissions: DataFrame, people: DataFrame, order: str = "created_seq") -> Intake:
+def lowest_holders(people: DataFrame) -> DataFrame:
+    """phone_key, known: the lowest id of the people with that phone."""
+    return people.where("primary_phone is not null").groupBy(F.col("primary_phone").alias("phone_key")).agg(F.min("person_id").alias("known"))
+
+
+def attach_known(accepted: DataFrame, lowest: DataFrame, order: str = "created_seq", start: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Accepted submissions with their person, and the people made for phones that nobody in ``lowest`` has.
+
+    New people are numbered on from ``start`` in the order of their first submissions (then
+    of the phones), so ids are distinct and never null whatever the submissions' own ids are, and
+    the same each time.
+    """
+    matched = accepted.join(lowest, "phone_key", "left")
+    first = F.min(F.struct(F.col(order).alias("at"), "submission_id", "clean_name", "typed_phone"))
+    made = matched.where("known is null").groupBy("phone_key").agg(first.alias("f")).select("phone_key", "f.*")
+    made = dense_ids(made, "at", "submission_id", "phone_key", name="number", start=start)
+    made = made.select((F.lit(NEW_RANK * STEP) + F.col("number")).alias("person_id"), F.col("clean_name").alias("full_name"), F.col("phone_key").alias("primary_phone"), F.lit("audio_app").alias("source_origin"), F.col("typed_phone").alias("raw_value"))
+    whole = matched.join(made.select(F.col("primary_phone").alias("phone_key"), F.col("person_id").alias("new")), "phone_key", "left")
+    return whole.withColumn("person_id", F.coalesce("known", "new")).drop("known", "new"), made
+
+
+def attach(submissions: DataFrame, people: DataFrame, order: str = "created_seq", lowest: DataFrame | None = None) -> Intake:
     """Each accepted submission's person: the lowest id with its phone, else one made for the phone.
 
-    A new person's id comes from its first submission's, which no other submission has.
+    ``lowest`` (see :func:`lowest_holders`) spares the people's shuffle where an index has it.
     """
     accepted = validated(submissions).where("reason is null")
     held = people.where("primary_phone is not null").select(F.col("primary_phone").alias("phone_key"), "person_id")
-    lowest = held.groupBy("phone_key").agg(F.min("person_id").alias("known"), F.count("*").alias("holders"))
-    matched = accepted.join(lowest.select("phone_key", "known"), "phone_key", "left")
-    first = F.min(F.struct(F.col(order).alias("at"), "submission_id", "clean_name", "typed_phone"))
-    made = matched.where("known is null").groupBy("phone_key").agg(first.alias("f"))
-    made = made.select((F.lit(NEW_RANK * STEP) + F.col("f.submission_id")).alias("person_id"), F.col("f.clean_name").alias("full_name"), F.col("phone_key").alias("primary_phone"), F.lit("audio_app").alias("source_origin"), F.col("f.typed_phone").alias("raw_value"))
-    whole = matched.join(made.select(F.col("primary_phone").alias("phone_key"), F.col("person_id").alias("new")), "phone_key", "left")
+    attached, made = attach_known(accepted, lowest_holders(people) if lowest is None else lowest, order)
     # Of the people of one phone the first SHOWN are gathered, cut before the shuffle; all of them are rows of ``holders``.
-    several = lowest.where("holders > 1").join(accepted.select("phone_key").distinct(), "phone_key", "left_semi").select("phone_key", "holders")
+    several = held.groupBy("phone_key").agg(F.count("*").alias("holders")).where("holders > 1").join(accepted.select("phone_key").distinct(), "phone_key", "left_semi")
     holders = held.join(several, "phone_key").select("phone_key", "person_id")
     few = holders.withColumn("i", F.row_number().over(Window.partitionBy("phone_key").orderBy("person_id"))).where(F.col("i") <= SHOWN)
     ids = few.groupBy("phone_key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("person_id")), lambda i: i.cast("string")), "|").alias("ids"))
     more = F.when(F.col("holders") > SHOWN, F.format_string("|and %d more", F.col("holders") - SHOWN)).otherwise("")
     phones = several.join(ids, "phone_key").withColumn("ids", F.concat("ids", more))
-    return Intake(whole.withColumn("person_id", F.coalesce("known", "new")).drop("known", "new"), made, phones, holders)
+    return Intake(attached, made, phones, holders)
 
 
 def listing(attached: DataFrame, people: DataFrame, measured: DataFrame, newest: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ shown with the issue; all of them are rows of a table.  NULL keys stay out of jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,8 @@ class Resolved:
     index: DataFrame
     gigs: DataFrame
     contacts: DataFrame
+    #: Normalised gigs and contacts, not yet attached.
+    unattached: tuple[DataFrame, DataFrame]
 
     def fold_gigs(self) -> DataFrame:
         """Of each person the last line's fields, even where they are NULL."""
@@ -91,8 +94,8 @@ class Resolved:
         return self.gigs.where("orphan").select(*head(none("string"), F.col("email_key"))).unionByName(self.contacts.where("orphan").select(*head(F.col("phone_key"), none("string"))))
 
     def settled(self) -> "Resolved":
-        """The same with groups and attached rows written to the checkpoint folder, for several results from one merge; nothing stays in memory."""
-        return Resolved(self.bridge, durable(self.groups), self.index, durable(self.gigs), durable(self.contacts))
+        """The same with each step written to the checkpoint folder and the next one made from it: sources are read and normalised once, however many results follow."""
+        return _merge(durable(self.bridge), *self.unattached, keep=durable)
 
     def everyone(self) -> DataFrame:
         """Bridge people and orphans, before anything is folded in."""
@@ -184,23 +187,28 @@ class Resolved:
 
 def resolve(bridge: DataFrame, gigs: DataFrame, contacts: DataFrame) -> Resolved:
     """Merge three staged sources (all text, with ``line_no``) into people."""
-    b = read_bridge(bridge)
-    groups = bridge_groups(b)
+    return _merge(read_bridge(bridge), read_gigs(gigs), read_contacts(contacts))
+
+
+def _merge(b: DataFrame, gigs: DataFrame, contacts: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Resolved:
+    groups = keep(bridge_groups(b))
     index = email_index(b, groups)
     phones = groups.where("phone_key is not null").select("phone_key", "person_id")
 
     def owned(rows: DataFrame, rank: int) -> DataFrame:
         return rows.withColumn("orphan", F.col("person_id").isNull()).withColumn("person_id", F.coalesce("person_id", person_id(rank, F.col("line_no"))))
 
-    return Resolved(b, groups, index, owned(attach(read_gigs(gigs), index, "email_key"), GIGS_RANK), owned(attach(read_contacts(contacts), phones, "phone_key"), CONTACTS_RANK))
+    attached = (owned(attach(gigs, index, "email_key"), GIGS_RANK), owned(attach(contacts, phones, "phone_key"), CONTACTS_RANK))
+    return Resolved(b, groups, index, *map(keep, attached), (gigs, contacts))
 
 
-def dense_ids(people: DataFrame, id_column: str = "person_id", name: str = "dense_id") -> DataFrame:
-    """Ids 1, 2, ... in the order of ``id_column``: range partitions, their counts (one row each) and running sums."""
-    ranged = people.repartitionByRange(id_column).sortWithinPartitions(id_column).select("*", F.monotonically_increasing_id().alias("__m"))
+def dense_ids(people: DataFrame, *order: str, name: str = "dense_id", start: int = 0) -> DataFrame:
+    """Ids start + 1, start + 2, ... in the order of the columns (person_id): range partitions, their counts (one row each) and running sums."""
+    order = order or ("person_id",)
+    ranged = people.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__m"))
     ranged = durable(ranged).withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()
-    start, offsets = 0, []
+    offsets = []
     for r in sorted(counts, key=lambda r: r["__p"]):
         offsets.append((r["__p"], start))
         start += r.n

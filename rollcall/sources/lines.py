@@ -94,11 +94,11 @@ def _states_after(rows: DataFrame, window, a: str, b: str) -> DataFrame:
     return out.withColumns({f"after{i}": F.coalesce("since", F.lit(i)).bitwiseXOR(F.col("swaps")).cast("int") for i in (0, 1)}).drop("swaps", "since")
 
 
-def spans(lines: DataFrame) -> DataFrame:
+def spans(lines: DataFrame, field_limit: int = FIELD_LIMIT, record_limit: int = RECORD_LIMIT) -> DataFrame:
     """File, line_no, start, unclosed, long of each line that shares its record with others or leaves a quote open.
 
     Narrow rows only: places, lengths and maps, by split; from split to split one row each.  Lines that keep
-    a field open for more than ``FIELD_LIMIT`` characters (a strict reader breaks off there) belong
+    a field open for more than ``field_limit`` characters (a strict reader breaks off there) belong
     to no field: they are read from outside, and what was open before them is ``unclosed``.
     The state that lines leave behind then no longer depends on where splits are.
     """
@@ -118,7 +118,7 @@ def spans(lines: DataFrame) -> DataFrame:
     total = F.sum(full).over(Window.partitionBy("file"))
     splits = splits.withColumns({"left": F.coalesce(left, F.lit(0)) + F.col("sum") - full, "right": F.coalesce(right, total) - F.col("sum")})
     reach = F.col("run_size") + F.when(F.col("run") == 0, F.col("left")).otherwise(0) + F.when(F.col("run") == F.col("runs"), F.col("right")).otherwise(0)
-    rows = told.join(splits.select("file", "block", "runs", "left", "right"), ["file", "block"]).withColumn("endless", F.col("still") & (reach > FIELD_LIMIT))
+    rows = told.join(splits.select("file", "block", "runs", "left", "right"), ["file", "block"]).withColumn("endless", F.col("still") & (reach > field_limit))
     rows = rows.withColumns({c: F.when(F.col("endless"), 0).otherwise(F.col(c)) for c in ("a", "b")}).drop("runs", "left", "right", "run", "run_size", "still")
     rows = _states_after(rows, own, "a", "b").withColumns({f"before{i}": F.lag(f"after{i}", 1, i).over(own) for i in (0, 1)})
     rows = durable(rows.withColumn("then_endless", F.lead("endless").over(own)).drop("a", "b"))
@@ -131,17 +131,17 @@ def spans(lines: DataFrame) -> DataFrame:
     marked = marked.select("file", "block", "line_no", "size", "inside", "open", "then_endless", F.max(begins).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("start"))
     starts = marked.groupBy("file", "block").agg(F.max("start").alias("s")).select("file", "block", F.max("s").over(ahead).alias("carried"))
     marked = marked.where("inside = 1 or open = 1").join(starts, ["file", "block"]).withColumn("start", F.coalesce("start", "carried"))
-    records = marked.groupBy("file", "start").agg((F.sum("size") > RECORD_LIMIT).alias("long"), F.max(F.struct("line_no", ((F.col("open") == 1) & F.col("then_endless")).alias("u"))).alias("end"))
+    records = marked.groupBy("file", "start").agg((F.sum("size") > record_limit).alias("long"), F.max(F.struct("line_no", ((F.col("open") == 1) & F.col("then_endless")).alias("u"))).alias("end"))
     return durable(marked.select("file", "line_no", "start").join(records.select("file", "start", "long", F.col("end.u").alias("unclosed")), ["file", "start"]))
 
 
-def stitched(lines: DataFrame) -> DataFrame:
+def stitched(lines: DataFrame, field_limit: int = FIELD_LIMIT, record_limit: int = RECORD_LIMIT) -> DataFrame:
     """I03, multi-line records: file, line_no (the record's last line), line (the whole span), unclosed.
 
     Records are those of a standard reader: a quote opens a field only at its
-    beginning.  A field that stays open at the end of a file ends there.  One that would go on for more than ``FIELD_LIMIT``
+    beginning.  A field that stays open at the end of a file ends there.  One that would go on for more than ``field_limit``
     characters ends its record where it began, as ``unclosed``, and the next line is
-    read on its own; records of more than ``RECORD_LIMIT`` characters are left as their
+    read on its own; records of more than ``record_limit`` characters are left as their
     lines, each ``unclosed``.  So only bounded spans are gathered; other lines are not shuffled
     but where the spans are too many to be sent to them.
     """
@@ -149,7 +149,7 @@ def stitched(lines: DataFrame) -> DataFrame:
         lines = lines.withColumn("eol", F.lit("\n"))
     if "block" not in lines.columns:
         lines = lines.withColumn("block", F.lit(0).cast("long"))
-    found = spans(lines)
+    found = spans(lines, field_limit, record_limit)
     alone = lines.join(found.where("not long"), ["file", "line_no"], "left_anti").select("file", "line_no", "line")
     alone = alone.join(found.where("long").select("file", "line_no", F.lit(True).alias("unclosed")), ["file", "line_no"], "left").withColumn("unclosed", F.coalesce("unclosed", F.lit(False)))
     rows = lines.select("file", "line_no", F.concat("line", "eol").alias("line")).join(found.where("not long"), ["file", "line_no"])

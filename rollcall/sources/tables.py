@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; who takes one removes it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path``, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = file_system(spark, path)
+    return system.exists(at)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, if it is there, on whatever file system it is."""
+    system, at = file_system(spark, folder)
+    system.delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so that it can't come out differently twice."""
     spark = df.sparkSession
