@@ -44,10 +44,10 @@ O.CTES += [
     ("rd1", r"""SELECT submission_id, byte_size, file_exists, decode_log, loudness_log, levels_log, json_extract_string(j, '$.streams[0].sample_rate') AS rate, json_extract_string(j, '$.streams[0].bit_rate') AS sbit, json_extract_string(j, '$.format.bit_rate') AS cbit,
           json_extract_string(j, '$.format.duration') AS dur, coalesce(file_exists AND json_extract(j, '$.streams[0]') IS NOT NULL, false) AS usable, substr(levels_log, instr(levels_log, 'Overall') + 7) AS overall, instr(levels_log, 'Overall') > 0 AS has_overall FROM rd0"""),
     ("rd2", rf"""SELECT submission_id, file_exists, usable, CASE WHEN file_exists THEN byte_size ELSE 0 END AS byte_size, sbit, cbit, CASE WHEN usable THEN {O.whole("rate")} END AS sample_rate_hz, CASE WHEN usable THEN {O.decimal("dur")} END AS declared_seconds,
-          CASE WHEN usable THEN CAST(regexp_extract(stamp, 'time=(\d+):(\d\d):(\d\d\.\d+)', 1) AS DOUBLE) * 3600 + CAST(regexp_extract(stamp, 'time=(\d+):(\d\d):(\d\d\.\d+)', 2) AS DOUBLE) * 60 + CAST(regexp_extract(stamp, 'time=(\d+):(\d\d):(\d\d\.\d+)', 3) AS DOUBLE) END AS decoded_seconds,
-          CASE WHEN usable THEN try_cast(loud AS DOUBLE) END AS loudness_lufs, CASE WHEN usable AND has_overall THEN try_cast(nullif(regexp_extract(overall, 'RMS level dB:\s*(-?[\d.]+|-?inf)', 1), '') AS DOUBLE) END AS rms_level_db,
-          CASE WHEN usable AND has_overall THEN try_cast(nullif(regexp_extract(overall, 'RMS through dB:\s*(-?[\d.]+|-?inf)', 1), '') AS DOUBLE) END AS rms_trough_db
-        FROM (SELECT *, list_last(regexp_extract_all(decode_log, 'time=(\d+):(\d\d):(\d\d\.\d+)')) AS stamp, list_last(regexp_extract_all(loudness_log, 'I:\s+(-?[\d.]+|-?inf)\s+LUFS', 1)) AS loud FROM rd1)"""),
+          CASE WHEN usable THEN list_last(list_filter(list_transform(string_split(decode_log, 'time=')[2:], lambda p: try_cast(split_part(split_part(p, ' ', 1), ':', 1) AS DOUBLE) * 3600 + try_cast(split_part(split_part(p, ' ', 1), ':', 2) AS DOUBLE) * 60 + try_cast(split_part(split_part(p, ' ', 1), ':', 3) AS DOUBLE)), lambda s: s IS NOT NULL)) END AS decoded_seconds,
+          CASE WHEN usable THEN try_cast(list_last(list_filter(list_transform(string_split(loudness_log, 'I:')[2:], lambda p: string_split_regex(trim(p), ' +')), lambda w: starts_with(w[2], 'LUFS')))[1] AS DOUBLE) END AS loudness_lufs,
+          CASE WHEN usable AND has_overall AND contains(overall, 'RMS level dB:') THEN try_cast(split_part(trim(split_part(overall, 'RMS level dB:', 2)), ' ', 1) AS DOUBLE) END AS rms_level_db,
+          CASE WHEN usable AND has_overall AND contains(overall, 'RMS through dB:') THEN try_cast(split_part(trim(split_part(overall, 'RMS through dB:', 2)), ' ', 1) AS DOUBLE) END AS rms_trough_db FROM rd1"""),
     ("rd3", rf"""SELECT *, CASE WHEN NOT usable THEN NULL WHEN sbit IS NOT NULL THEN CAST(floor({O.decimal("sbit")}) AS BIGINT) WHEN cbit IS NOT NULL THEN CAST(floor({O.decimal("cbit")}) AS BIGINT) WHEN duration_seconds > 0 THEN CAST(floor(byte_size * 8 / duration_seconds) AS BIGINT) END AS bitrate_bps,
           usable AND sbit IS NULL AND cbit IS NULL AND coalesce(duration_seconds > 0, false) AS bitrate_is_derived,
           CASE WHEN rms_level_db IS NOT NULL AND rms_trough_db IS NOT NULL AND rms_level_db <> '-inf'::DOUBLE THEN rms_level_db - CASE WHEN rms_trough_db = '-inf'::DOUBLE THEN -120.0::DOUBLE ELSE rms_trough_db END END AS noise_snr_db

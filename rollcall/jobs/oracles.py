@@ -25,8 +25,13 @@ def phone(x: str) -> str:
     return f"CASE WHEN length({digits}) >= 10 THEN right({digits}, 10) END"
 
 
+def fold(x: str) -> str:
+    """Case folding of the letters that the views hold."""
+    return f"lower(replace(replace(replace({x}, 'ß', 'ss'), 'ẞ', 'ss'), 'ſ', 's'))"
+
+
 def email(x: str) -> str:
-    return f"nullif(lower({strip(x)}), '')"
+    return f"nullif({fold(strip(x))}, '')"
 
 
 def title(x: str) -> str:
@@ -76,16 +81,19 @@ def ctc_unit(x: str) -> str:
     return f"CASE WHEN ({ctc_amount(x)}) IS NOT NULL THEN CASE WHEN contains({x}, '.') THEN 'lpa' ELSE 'absolute' END END"
 
 
-_RATE = r"(?i)^(\d+(?:\.\d+)?)\s*(k?)\s*/\s*(hr|month)$"
+def _rate(x: str) -> str:
+    """(digits, thousands, per) of a rate that reads as one, else NULL."""
+    side = lambda i: strip(f"split_part({x}, '/', {i})")
+    digits = strip(f"CASE WHEN lower(right({side(1)}, 1)) = 'k' THEN left({side(1)}, -1) ELSE {side(1)} END")
+    return f"CASE WHEN len(string_split({x}, '/')) = 2 AND lower({side(2)}) IN ('hr', 'month') AND regexp_full_match({digits}, '[0-9]+([.][0-9]+)?') THEN {{'n': CAST({digits} AS DOUBLE), 'k': lower(right({side(1)}, 1)) = 'k', 'per': lower({side(2)})}} END"
 
 
 def rate_amount(x: str) -> str:
-    part = lambda i: f"regexp_extract({strip(x)}, '{_RATE}', {i})"
-    return f"CASE WHEN regexp_matches({strip(x)}, '{_RATE}') THEN CAST({part(1)} AS DOUBLE) * CASE WHEN lower({part(2)}) = 'k' THEN 1000 ELSE 1 END END"
+    return f"({_rate(x)}).n * CASE WHEN ({_rate(x)}).k THEN 1000 ELSE 1 END"
 
 
 def rate_period(x: str) -> str:
-    return f"CASE WHEN regexp_matches({strip(x)}, '{_RATE}') THEN CASE WHEN lower(regexp_extract({strip(x)}, '{_RATE}', 3)) = 'hr' THEN 'hourly' ELSE 'monthly' END END"
+    return f"CASE ({_rate(x)}).per WHEN 'hr' THEN 'hourly' WHEN 'month' THEN 'monthly' END"
 
 
 def _dates(x: str) -> list[tuple[str, str, str | None]]:
@@ -109,7 +117,7 @@ def date_other(x: str) -> str:
 
 
 def name_key(x: str) -> str:
-    return f"CASE WHEN {x} <> '' THEN lower({strip(x)}) END"
+    return f"CASE WHEN {x} <> '' THEN {fold(strip(x))} END"
 
 
 CTES = [

@@ -51,7 +51,7 @@ VIEWS = {
         FROM (SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS n, CASE WHEN c_custkey % 20 = 19 THEN c_custkey - 1 ELSE c_custkey END AS p FROM {{customer}})""",
     "gigs": f"""
         SELECT k + 2 AS line_no,
-          CASE WHEN k % 97 = 5 THEN '' WHEN k % 7 = 3 THEN 'gig' || {_text("k % 400")} || '@other.example' WHEN k % 3 = 0 THEN ' USER' || {_text("p")} || '@mail.example.org' ELSE 'user' || {_text("p")} || '@mail.example.org ' END AS email,
+          CASE WHEN k % 97 = 5 THEN '' WHEN k % 7 = 3 THEN {_pick("k", "gig", "gig", "Straße", "STRASSE", "ſtrasse")} || {_text("k % 400")} || '@other.example' WHEN k % 3 = 0 THEN ' USER' || {_text("p")} || '@mail.example.org' ELSE 'user' || {_text("p")} || '@mail.example.org ' END AS email,
           CASE WHEN k % 53 = 1 THEN '' WHEN k % 7 = 3 THEN {_pick("k", "LOOKALIKE ", "Lookalike ")} || {_text("k % 50")} ELSE {_FIRST("p")} || ' ' || {_LAST("p")} END AS full_name,
           CASE WHEN k % 19 = 4 THEN 'per day' WHEN k % 29 = 6 THEN '' WHEN k % 2 = 0 THEN {_text("300 + k % 1000")} || '/hr' ELSE {_text("15 + k % 30")} || 'K / month' END AS rate,
           {_CITY("k")} AS city,

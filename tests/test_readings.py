@@ -55,3 +55,10 @@ def test_lookup(spark):
     a = lookup.alert(got).collect()[0]
     assert (a.checked, a.duplicates, a.new, a.alert) == (4, 2, 2, "2 of 4 incoming rows already exist in the database.")
     assert lookup.alert(got.where(F.lit(False))).collect()[0].alert == "No duplicates. All 0 rows are new people."
+
+
+def test_odd_tokens_of_the_tools(spark):
+    r = measured(spark, '{"streams":[{}]}', levels="Overall\nRMS level dB:-7.25 x\nRMS through dB:\tnone RMS through dB: -1", loud="I: -9.0 LUFS I: -3 LU I: x", decode="time=00:01:02.5 y time=N/A time=1:2 time=")
+    assert (r.decoded_seconds, r.loudness_lufs, r.rms_level_db, r.rms_trough_db) == (62.5, -9.0, -7.25, None)
+    r = measured(spark, '{"streams":[{}]}', levels="RMS level dB: -1 Overall", loud="I: x LUFS", decode="no stamp")
+    assert (r.decoded_seconds, r.loudness_lufs, r.rms_level_db) == (None, None, None)
