@@ -45,6 +45,8 @@ ROUNDS = (15, 30, 60, HASHES)
 BUCKET_ROWS, WIDE_ROWS, PIVOTS = 512, 4096, 8
 #: Members of a group that one chunk holds, about, and bytes of n-grams.
 CHUNK_ROWS, CHUNK_BYTES = 768, 6 << 20
+#: Steps of a distance, and how many a ring around a pivot is wide.
+STEPS, RING, RING_ID = 1000, 10, 1 << 20
 #: Rows of the group table (under 64 bytes each) up to which it is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 500_000
 #: From this many members on, intersections of a group are counted together.
@@ -280,8 +282,8 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
     group = numbered(table, 3)
     side = table.column("side").to_numpy()
     signatures = matrix(table.column("signature"), HASHES, np.uint8)
-    size = table.column("n").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+    size, x, reach = table.column("n").to_numpy(), table.column("x").to_numpy(), steps(threshold)
+    sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
     together = len(sets) > TOGETHER and group[-1] == 0
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for d in range(1, len(sets)):
@@ -290,6 +292,7 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
         if not len(i):
             break
         i = i[(side[i] < 0) | (side[i] != side[i + d])]
+        i = i[(x[i] < 0) | ((x[i] + x[i + d] > reach) & (np.abs(x[i] - x[i + d]) <= reach + 1))]
         i = i[np.minimum(size[i], size[i + d]) >= threshold * np.maximum(size[i], size[i + d]) - 1e-9]
         i = i[plausible(i, i + d, signatures, needed)]
         found.append((i, i + d))
@@ -298,8 +301,8 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
     a, b = a[reached], b[reached]
     counts = np.bincount(np.concatenate([a, b]), minlength=len(sets))
     forest = Forest(len(sets))
-    for x, y in zip(a.tolist(), b.tolist()):
-        forest.unite(x, y)
+    for one, other in zip(a.tolist(), b.tolist()):
+        forest.unite(one, other)
     have = np.flatnonzero(counts)
     keys = table.column("key")
     roots, others = forest.edges()
@@ -313,12 +316,70 @@ def links_in(table: pa.Table, needed: tuple[int, ...], threshold: float) -> pa.R
 # ---- the join ----------------------------------------------------------------------------
 
 
-def in_chunks(members: DataFrame, unit: str, chunks) -> DataFrame:
-    """``members`` with lo, hi and side: each goes to all pairs of chunks that hold its own."""
-    own = F.pmod(F.xxhash64("key", F.lit(77)), chunks).cast("int")
-    out = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
-    out = out.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    return out.withColumn("side", F.when(F.col("lo") == F.col("hi"), -1).otherwise(F.col("own"))).drop("own", "other")
+def steps(threshold: float) -> int:
+    """The largest distance of linked sets, in steps."""
+    return STEPS - round(threshold * STEPS)
+
+
+def distances(batches):
+    """group, key, n, and the distance (in steps, rounded up) of each member to each pivot of its group; rows with a side are pivots."""
+    for table in groups_of(batches, 3):
+        side, size = table.column("side").to_numpy(), table.column("n").to_numpy()
+        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        members = np.flatnonzero(side < 0)
+        away = np.full((len(members), PIVOTS), STEPS, np.int32)
+        for p in np.flatnonzero(side >= 0).tolist():
+            both = common_grams(sets, members, np.full(len(members), p))
+            union = size[members] + size[p] - both
+            away[:, side[p]] = -(-STEPS * (union - both) // union)
+        rows = pa.array(members)
+        column = lambda name: table.column(name).take(rows).combine_chunks()  # noqa: B023, E731
+        offsets = pa.array(np.arange(len(members) + 1) * PIVOTS, pa.int32())
+        yield pa.RecordBatch.from_arrays([column("group").cast(pa.binary()), column("key").cast(pa.binary()), column("n"), pa.ListArray.from_arrays(offsets, pa.array(away.ravel()))], names=["group", "key", "n", "away"])
+
+
+@dataclass
+class Rings:
+    """links: key, links (those that need no comparison); edges: a, b, joining what they join; members: the rows that must meet, dealt out."""
+
+    links: DataFrame
+    edges: DataFrame
+    members: DataFrame
+
+
+def around_pivots(large: DataFrame, threshold: float) -> Rings:
+    """Groups of several chunks (group, chunks, key, n, signature, grams): what one pivot of each settles, and who must still meet."""
+    reach = steps(threshold)
+    chunk = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("long")
+    payload = ["key", "n", "grams"]
+    slots = large.groupBy("group", "chunks", F.pmod(F.xxhash64("key", F.lit(78)), F.lit(PIVOTS)).cast("long").alias("side")).agg(F.min(F.struct(*payload)).alias("p"))
+    slots = cut(slots)
+    pivots = slots.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    own = chunk(F.col("chunks"), 77)
+    rows = large.select("group", own.alias("lo"), own.alias("hi"), F.lit(-1).cast("long").alias("side"), *payload)
+    rows = rows.unionByName(pivots.select("group", "lo", F.col("lo").alias("hi"), "side", "p.*"))
+    measured = cut(dealt(rows, "group").mapInArrow(tidy(distances), "group binary, key binary, n long, away array<int>"))
+    near = F.array(*[F.sum((F.get("away", F.lit(i)) <= reach // 2).cast("long")) for i in range(PIVOTS)])
+    best = measured.groupBy("group").agg(near.alias("near")).select("group", (F.array_position("near", F.array_max("near")) - 1).alias("side"))
+    best = cut(best.join(slots.select("group", "side", F.col("p.key").alias("pivot")), ["group", "side"]))
+    placed = measured.join(best, "group").select("group", "key", "n", "pivot", F.element_at("away", F.col("side").cast("int") + 1).alias("x"))
+    placed = cut(placed.withColumn("ring", F.floor(F.col("x") / RING).cast("long")))
+    # Settled links: a histogram of at most reach + 1 rows a group.
+    counts = placed.where(F.col("x") <= reach).groupBy("group", "x").agg(F.count("*").alias("m")).groupBy("group").agg(F.collect_list(F.struct("x", "m")).alias("held"))
+    among = F.aggregate("held", F.lit(0).cast("long"), lambda so_far, h: so_far + F.when(h["x"] <= reach - F.col("x"), h["m"]).otherwise(0))
+    links = placed.where(F.col("x") <= reach).join(counts, "group").select("key", (among - (2 * F.col("x") <= reach).cast("long")).alias("links")).where("links > 0")
+    edges = placed.where((F.col("x") <= reach) & (F.col("key") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    # Rings: two of them meet unless all their pairs are near enough, or all too far.
+    size = F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") * 8 / CHUNK_BYTES))
+    rings = placed.groupBy("group", "ring").agg(size.alias("chunks")).groupBy("group").agg(F.collect_list(F.struct("ring", "chunks")).alias("rings"))
+    meets = lambda r: (RING * (r["ring"] + F.col("ring")) + 2 * (RING - 1) > reach) & (RING * F.abs(r["ring"] - F.col("ring")) - (RING - 1) <= reach + 1)
+    ids = F.flatten(F.transform(F.filter("rings", meets), lambda r: F.transform(F.sequence(F.lit(0).cast("long"), r["chunks"] - 1), lambda j: r["ring"] * RING_ID + j)))
+    own_chunks = F.filter("rings", lambda r: r["ring"] == F.col("ring"))[0]["chunks"]
+    meeting = placed.join(rings, "group").withColumn("own", F.col("ring") * RING_ID + chunk(own_chunks, 80)).withColumn("others", ids).where(F.size("others") > 0)
+    whole = meeting.select("group", "key", "x", "own", "others").join(large.drop("chunks"), ["group", "key"]).withColumn("other", F.explode("others"))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
+    members = whole.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "x", "key", "n", "signature", "grams")
+    return Rings(links, edges, members)
 
 
 def dealt(df: DataFrame, unit: str) -> DataFrame:
@@ -436,10 +497,19 @@ def class_rows(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select("doc_id", key_of("text").alias("key"))
     near = candidates(docs.select(key_of("text").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("__text")), **options)
     needed, threshold = near.needed, near.threshold
-    in_groups = in_chunks(near.with_grams(), "group", F.col("chunks")).drop("chunks")
+    whole = cut(near.with_grams())
+    zero = F.lit(0).cast("long")
+    in_groups = whole.where("chunks = 1").select("group", zero.alias("lo"), zero.alias("hi"), F.lit(-1).cast("long").alias("side"), F.lit(-1).alias("x"), "key", "n", "signature", "grams")
+    large = whole.where("chunks > 1")
+    settled = around_pivots(large, threshold) if large.limit(1).count() else None
+    if settled:
+        in_groups = in_groups.unionByName(settled.members)
     found = cut(dealt(in_groups, "group").mapInArrow(tidy(lambda batches: verified(batches, needed, threshold)), "a binary, b binary, links long"))
-    links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
+    links, edges = found.where("b is null").select(F.col("a").alias("key"), "links"), found.where("b is not null").select("a", "b")
+    if settled:
+        links, edges = links.unionByName(settled.links), edges.unionByName(settled.edges)
+    links = links.groupBy("key").agg(F.sum("links").alias("links"))
+    labels = components(edges).withColumnRenamed("node", "key")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     classes = classes.join(links, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))

@@ -80,6 +80,32 @@ def test_large_groups_in_chunks(spark, monkeypatch):
     assert [r.doc_id for r in J.keep_one(docs).collect()] == [0]
 
 
+def copies(spark, n, edits, size=400):
+    """n texts with so many words of one changed."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(n):
+        own = [f"w{k}" for k in range(size)]
+        for k in rng.integers(0, size, edits(i)):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own), "en", "s", 1, 0.0, 0))
+    return spark.createDataFrame(rows, no_docs(spark).schema)
+
+
+def test_pairs_of_a_tight_group_are_counted_without_meeting(spark, monkeypatch):
+    for name, rows in (("CHUNK_ROWS", 16), ("PIVOTS", 3)):
+        monkeypatch.setattr(J, name, rows)
+    met = []
+    around = J.around_pivots
+    monkeypatch.setattr(J, "around_pivots", lambda *a: met.append(around(*a)) or met[-1])
+    got = check(copies(spark, 120, lambda i: 1 + i % 2))
+    assert {n for *_, n in got} == {119} and met.pop().members.count() == 0
+    got = check(copies(spark, 120, lambda i: 1 + i % 2 if i % 10 else 14))  # some are further away, from each other too
+    assert len({n for *_, n in got}) > 1 and 0 < met.pop().members.count() < 120 * 8
+    got = check(copies(spark, 60, lambda i: i % 25))
+    assert met.pop().members.count() > 0 and len({n for *_, n in got}) > 10
+
+
 def test_a_large_bucket_of_several_groups(spark, monkeypatch):
     """One shared passage puts texts into the same buckets; they make chains and groups of their own."""
     for name, rows in (("CHUNK_ROWS", 6), ("BUCKET_ROWS", 5), ("WIDE_ROWS", 8), ("PIVOTS", 1)):
