@@ -89,7 +89,7 @@ def with_statistics(rows: DataFrame, kept: str) -> DataFrame:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, remainder: int = 0, train_rows: int = TRAIN_ROWS, seed: int = 5) -> FlatTrees:
     """Trees from at most ``train_rows`` labelled rows that aren't held out, one an id; their statistics alone reach the driver."""
     sample = labelled_sample(docs, labels, label, ~held_out("doc_id", modulus, remainder), train_rows, seed)
-    rows = with_statistics(sample, "__id long, __label double").orderBy("__id", "__label", "__x").toArrow()
+    rows = with_statistics(sample, "__id string, __label double").orderBy("__id", "__label", "__x").toArrow()
     x = np.array(rows.column("__x").to_pylist(), float).reshape(rows.num_rows, len(STATISTICS))
     return fit_trees(x, (rows.column("__label").to_numpy() > 0.5).astype(float))
 
@@ -98,7 +98,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     """``keep``, held_out, score and predicted (1 if score >= ``threshold``) of every row.
 
     A null text scores as an empty one, which scores as what it is: a document
-    without words.  Rows with a null id aren't held out.  Without labels (or with one
+    without words.  Rows with a null id aren't held out; ids may be of any type.  A label
+    counts as 1 if it is more than 0.5; null and NaN ones don't count.  Without labels (or with one
     label alone) every row has the same score, the smoothed share of label 1.
     Repeated rows score alike; an empty table gives no rows.
     """

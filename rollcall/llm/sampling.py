@@ -40,15 +40,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     """``__id``, ``__text`` and ``__label`` of at most ``bound`` labelled documents that may be learnt from, one row an id.
 
     The ids are those with the smallest hashes, so the sample doesn't depend on
-    order or partitions.  Labels that are null, or of null ids, are left out; an
+    order or partitions.  Ids count by their text, whatever their type.  Labels that are null or NaN, or of null ids, are left out; an
     id labelled more than once has the larger label; of documents that repeat an
-    id the text with the least digest counts, once.  The ids (16 bytes each,
+    id the text with the least digest counts, once.  The ids (short texts,
     ``bound`` at most) are broadcast to the scan of the documents.  The sample is
     written once, so that several uses read the documents once.
     """
     chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("double").alias("__label"))
-        .where(F.col("__id").isNotNull() & F.col("__label").isNotNull())
+        labels.select(F.col("doc_id").cast("string").alias("__id"), F.col(label).cast("double").alias("__label"))
+        .where(F.col("__id").isNotNull() & F.col("__label").isNotNull() & ~F.isnan("__label"))
         .groupBy("__id")
         .agg(F.max("__label").alias("__label"))
         .withColumnRenamed("__id", "doc_id")
@@ -57,7 +57,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
         .orderBy(F.xxhash64(F.col("__id"), F.lit(seed)), "__id")
         .limit(bound)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("__id"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     sampled = rows.join(F.broadcast(chosen), "__id")
     one = sampled.groupBy("__id").agg(F.min_by("__text", F.md5("__text")).alias("__text"), F.first("__label").alias("__label"))
     return cut(one.select("__id", "__text", "__label"))

@@ -175,7 +175,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modul
             other = [blank.found(swap_terms(w)) if not SWAP.keys().isdisjoint(w) else None for w in words]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(have, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["__id", "__label", "have", "other"])
 
-    rows = sample.mapInArrow(tidy(run), "__id long, __label double, have array<int>, other array<int>").orderBy("__id", "__label", "have").toArrow()
+    rows = sample.mapInArrow(tidy(run), "__id string, __label double, have array<int>, other array<int>").orderBy("__id", "__label", "have").toArrow()
     x = np.zeros((rows.num_rows, len(index)), np.float32)
     for i, have in enumerate(rows.column("have").to_pylist()):
         x[i, have] = 1
@@ -192,7 +192,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] =
     """``keep``, held_out, score and predicted (1 if score >= ``threshold``) of every row's whole text.
 
     A null text scores as an empty one: the model's bias.  Rows with a null id
-    aren't held out.  Without labels of both kinds every row has the same score.
+    aren't held out; ids may be of any type.  A label counts as 1 if it is more than 0.5; null and NaN ones don't
+    count.  Without labels of both kinds every row has the same score.
     Repeated rows score alike; an empty table gives no rows.
     """
     modest_batches(docs.sparkSession)

@@ -108,8 +108,11 @@ def _order(ascending: bool) -> Column:
 
 
 def best_classes(found: DataFrame, k: int, ascending: bool) -> DataFrame:
-    """FOUND rows: each query's k best classes, each once; of equal ones those with the smaller ids."""
-    one = found.groupBy(*QUERY, "class").agg(F.first("times").alias("times"), F.first("score").alias("score"), F.first("ids").alias("ids"))
+    """FOUND rows: each query's k best classes, each once; of equal ones those with the smaller ids.
+
+    A class is known by its hash and its least id, so that two vectors of one hash are two classes.
+    """
+    one = found.groupBy(*QUERY, "class", F.element_at("ids", 1).alias("least")).agg(F.first("times").alias("times"), F.first("score").alias("score"), F.first("ids").alias("ids"))
     order = Window.partitionBy(*QUERY).orderBy(_order(ascending), F.element_at("ids", 1), "class")
     return one.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).select(*QUERY, "times", "class", "score", "ids")
 

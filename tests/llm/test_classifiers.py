@@ -2,10 +2,16 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from helpers import labels, no_docs, odd_docs
 
+from pyspark.sql import functions as F
+
 from rollcall.llm import boosted_trees, quality, toxicity
 from rollcall.llm.common import table
+from rollcall.llm.quality import STATISTICS, quality_scores, statistics
+from rollcall.llm.sampling import labelled_sample
+from rollcall.llm.toxicity import toxicity_scores
 
 
 def test_trees_learn_an_interaction():
@@ -109,4 +115,20 @@ def test_an_id_on_many_rows_is_one_row_of_the_sample(spark):
 
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None)], "doc_id long, text string")
     got = labelled_sample(docs, labels(spark, [(1, 1, 1), (1, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1)]), "quality", F.lit(True), 10, 5).collect()
-    assert sorted((r["__id"], r["__label"]) for r in got) == [(1, 1.0), (2, 0.0), (3, 1.0)]
+    assert sorted((r["__id"], r["__label"]) for r in got) == [("1", 1.0), ("2", 0.0), ("3", 1.0)]
+
+
+def test_ids_of_any_type_and_labels_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([(f"doc-{i}", "bad words here !!!! ####" if i % 2 else "A plain and quiet sentence about gardens.") for i in range(80)], "doc_id string, text string")
+    truth = spark.createDataFrame([(f"doc-{i}", float("nan") if i > 60 else float(1 - i % 2), float(i % 2)) for i in range(70)], "doc_id string, quality double, toxic double")
+    assert labelled_sample(docs, truth, "quality", F.lit(True), 100, 1).count() == 61
+    for operator, good in ((quality_scores, 0), (toxicity_scores, 1)):
+        got = {r.doc_id: r for r in operator(docs, truth).collect()}
+        assert len(got) == 80 and all(got[f"doc-{i}"].predicted == (i % 2 == good) for i in range(80))
+
+
+def test_statistics_by_hand():
+    row = dict(zip(STATISTICS, statistics(["Ab b b!\n\n", ""])[0]))
+    want = {"log_bytes": np.log(10), "log_words": np.log(4), "log_lines": np.log(4), "upper": 1 / 9, "lower": 3 / 9, "digit": 0, "stops": 0, "shouts": 1 / 9, "space": 2 / 9, "line": 2 / 9, "wide": 0, "top_byte": 3 / 9, "word_bytes": 5 / 3, "shouts_a_word": 1 / 3, "distinct_words": 1, "top_word": 1 / 3, "repeats": 0, "distinct_lines": 2 / 3, "longest_word": 2}
+    assert {k: row[k] for k in want} == pytest.approx(want)
+    assert not statistics(["", "x"])[0].any() and statistics(["é"])[0][STATISTICS.index("wide")] == 1
