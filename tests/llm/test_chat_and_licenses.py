@@ -66,10 +66,35 @@ def test_size_bounds_lose_nothing():
 
 
 def test_whole_notices_and_their_versions(spark):
-    text = {name: t for name, t in licenses.TEMPLATES[len(licenses.NOTICES) :]}
+    text = {name: t for name, t in licenses.TEMPLATES[len(licenses.NOTICES) + len(licenses.NAMED) :]}
     lines = lambda t, mark: "\n".join(mark + " ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9))
     marked = lambda name: lines(text[name], " * ")
     rows = [(i, f"code\n *\n{marked(name)}\n */\nmore code") for i, name in enumerate(text)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.license for r in licenses.licence_matches(docs).where("unit = 'paragraph'").collect()}
     assert got == dict(enumerate(text))
+
+
+def test_sentences_identifiers_and_openings(spark):
+    texts = ["Some words first. Released under the MIT License. More of them follow here", "// SPDX-License-Identifier: BSD-3-Clause", "# spdx-license-identifier: CC-BY-SA-4.0", " " * 30 + "Apache License\n" + " " * 20 + "Version 2.0, January 2004\n" + " " * 18 + "http://www.apache.org/licenses/\n\nTERMS", "Nothing here is licensed. Permission was not asked! The software is old"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.unit, r.number, r.license) for r in licenses.licence_matches(docs).collect())
+    assert got == [(0, "sentence", 2, "MIT"), (1, "line", 1, "BSD-3-Clause"), (2, "line", 1, "CC-BY-SA-4.0"), (3, "paragraph", 1, "Apache-2.0")]
+
+
+def test_every_identifier_matches_itself_alone(spark):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.NAMED)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.licence_matches(docs).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(licenses.NAMED)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
+def test_tell_tale_words_lose_nothing(threshold):
+    """Of each template fewer bigrams are without such a word than any match shares."""
+    words = set(licenses.tell_tale_words(licenses.TEMPLATES, threshold))
+    assert words and (threshold != 0.8 or len(words) < 60)
+    for _, text in licenses.TEMPLATES:
+        pairs = licenses.word_bigrams(text)
+        without = [p for p in pairs if words.isdisjoint(p.split())]
+        for size in range(1, 3 * len(pairs)):  # a unit whose shared bigrams are all without one
+            assert 2 * min(len(without), size) < threshold * (size + len(pairs))
