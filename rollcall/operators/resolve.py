@@ -60,9 +60,9 @@ def email_index(b: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Rows with the person that holds their key, or NULL; NULL keys are not shuffled by key."""
-    joined = rows.where(F.col(key).isNotNull()).join(index, key, "left")
-    return joined.unionByName(rows.where(F.col(key).isNull()).withColumn("person_id", F.lit(None).cast("long")))
+    """Rows with the person that holds their key, or NULL; rows without a key are dealt out by line, not to one task."""
+    own = F.coalesce(F.col(key), F.concat(F.lit(" "), F.col("line_no").cast("string")))  # no key begins with a space
+    return rows.withColumn("__own", own).join(index.withColumnRenamed(key, "__held"), F.col("__own") == F.col("__held"), "left").drop("__own", "__held")
 
 
 @dataclass
