@@ -460,9 +460,15 @@ def a03_capture_mode(spark, sf_dir):
     return intake.validated(view(spark, sf_dir, "submissions")).select("submission_id", "mode")
 
 
+def attached_and_made(spark, sf_dir):
+    """The same without what tells of several holders of a phone: the people themselves aren't read."""
+    lowest = opened_index(spark, sf_dir).table("by_phone").select("phone_key", F.col("by_phone.person_id").alias("known"))
+    return intake.attach_known(intake.validated(view(spark, sf_dir, "submissions")).where("reason is null"), lowest)
+
+
 @query("SELECT submission_id, phone_key, person_id FROM att")
 def a04_attach(spark, sf_dir):
-    return taken(spark, sf_dir).attached.select("submission_id", "phone_key", "person_id")
+    return attached_and_made(spark, sf_dir)[0].select("submission_id", "phone_key", "person_id")
 
 
 @query("SELECT a.submission_id, a.phone_key, a.typed_phone AS raw_value, p.holders, p.ids FROM att a JOIN (SELECT phone_key, count(*) AS holders, string_agg(CAST(person_id AS VARCHAR), '|' ORDER BY person_id) FILTER (WHERE i <= 10) || CASE WHEN count(*) > 10 THEN '|and ' || (count(*) - 10) || ' more' ELSE '' END AS ids FROM phones GROUP BY 1 HAVING count(*) > 1) p USING (phone_key)")
@@ -477,7 +483,7 @@ def a09_phone_holders(spark, sf_dir):
 
 @query("SELECT * FROM made")
 def a06_new_people(spark, sf_dir):
-    return taken(spark, sf_dir).made
+    return attached_and_made(spark, sf_dir)[1]
 
 
 @query("SELECT person_id, primary_phone AS phone_key, raw_value, 'person_created_from_audio_submission' AS issue_type FROM made")
@@ -490,9 +496,9 @@ def a07_created_issues(spark, sf_dir):
     FROM att a JOIN (SELECT person_id, full_name, source_origin FROM people UNION ALL SELECT person_id, full_name, source_origin FROM made) w USING (person_id) LEFT JOIN rd USING (submission_id)"""
 )
 def a08_listing(spark, sf_dir):
-    people, got = merged(spark, sf_dir).everyone().withColumn("source_origin", F.lit("csv_merge")), taken(spark, sf_dir)
+    people, (attached, made) = merged(spark, sf_dir).everyone().withColumn("source_origin", F.lit("csv_merge")), attached_and_made(spark, sf_dir)
     columns = ["person_id", "full_name", "source_origin"]
-    return intake.listing(got.attached, people.select(*columns).unionByName(got.made.select(*columns)), readings.measured(view(spark, sf_dir, "readings")))
+    return intake.listing(attached, people.select(*columns).unionByName(made.select(*columns)), readings.measured(view(spark, sf_dir, "readings")))
 
 
 # ---- readings ------------------------------------------------------------------------------------

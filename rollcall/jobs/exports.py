@@ -29,13 +29,12 @@ class Export:
 def read_export(spark: SparkSession, path: str, spec: ExportSpec) -> Export:
     """The files below ``path``; an empty file, or one with another header, is an error.
 
-    The screened records are written once: every result reads them from there.
+    The numbered lines and the screened records are written once: every result reads them from there.
     """
-    lines = L.numbered_lines(spark, path)
+    lines = tables.durable(L.numbered_lines(spark, path))
     L.check_headers(lines, spec, L.input_files(spark, path))
     rows = tables.durable(screen.screened(L.stitched(lines), spec))
-    ends = tables.durable(lines.groupBy("file").agg(F.max("line_no").alias("line_no")))  # a row a file
-    return Export(spec, rows, L.source_wide(screen.staged(rows, spec), ends))
+    return Export(spec, rows, L.source_wide(screen.staged(rows, spec), lines))
 
 
 @dataclass

@@ -203,9 +203,12 @@ def _merge(b: DataFrame, gigs: DataFrame, contacts: DataFrame, keep: Callable[[D
 
 
 def dense_ids(people: DataFrame, *order: str, name: str = "dense_id", start: int = 0) -> DataFrame:
-    """Ids start + 1, start + 2, ... in the order of the columns (person_id): range partitions, their counts (one row each) and running sums."""
+    """Ids start + 1, start + 2, ... in the order of the columns (person_id): range partitions, their counts (one row each) and running sums.
+
+    The rows are written first, as finding the ranges reads them once more.
+    """
     order = order or ("person_id",)
-    ranged = people.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__m"))
+    ranged = durable(people).repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__m"))
     ranged = durable(ranged).withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()
     offsets = []

@@ -160,6 +160,10 @@ def stitched(lines: DataFrame, field_limit: int = FIELD_LIMIT, record_limit: int
     return alone.unionByName(joined.select("file", "line_no", "line", "unclosed"))
 
 
+#: A field whose quotes, if any, enclose it and are doubled inside; the length up to which records of such fields are cut by a pattern (longer ones could make it deep).
+_PLAIN, _SHORT = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)', 2000
+
+
 def cells(line: Column) -> Column:
     """All fields of a record, verbatim; quotes that enclose a field go, doubled ones in it become one."""
 
@@ -170,14 +174,18 @@ def cells(line: Column) -> Column:
         parts = F.concat(F.array(F.concat(now, parts[0])), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
         return F.struct(_after_piece(state, piece).alias("state"), F.concat(so_far["done"], F.slice(parts, 1, F.size(parts) - 1)).alias("done"), F.element_at(parts, -1).alias("now"))
 
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(f"({_PLAIN}),"), F.lit(1))
+    inner = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    plain = F.transform(found, lambda x: F.when(F.startswith(x, F.lit('"')), inner(x)).otherwise(x))
     start = F.struct(F.lit(FROM_OUTSIDE).alias("state"), F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
     quoted = F.aggregate(F.split(line, '"', -1), start, step, lambda x: F.concat(x["done"], F.array(x["now"])))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
+    regular = (F.length(line) <= _SHORT) & line.rlike(rf"\A{_PLAIN}(?:,{_PLAIN})*+\z")
+    return F.when(~F.contains(line, F.lit('"')), F.split(line, ",", -1)).when(regular, plain).otherwise(quoted)
 
 
 def fields(line: Column, n: int) -> Column:
     """The first n fields of a record as verbatim text; what is missing is ''."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(cells(line), i), F.lit("")))
+    return F.transform(F.array(cells(line)), lambda found: first_fields(found, n))[0]
 
 
 def first_fields(found: Column, n: int) -> Column:
@@ -198,7 +206,7 @@ def input_files(spark: SparkSession, path: str) -> DataFrame:
 def header_mismatches(lines: DataFrame, spec: ExportSpec, files: DataFrame | None = None) -> DataFrame:
     """Of each file whether its first line is the spec's header; of ``files`` an empty one has no header."""
     first = lines.where("line_no = 1")
-    same = (width(F.col("line")) == len(spec.header)) & (fields(F.col("line"), len(spec.header)) == F.array(*map(F.lit, spec.header)))
+    same = cells(F.col("line")) == F.array(*map(F.lit, spec.header))
     found = first.select("file", same.alias("header_ok"))
     if files is None:
         return found
