@@ -225,8 +225,10 @@ def spelling_forms(docs: DataFrame, every: int = 199, shortest: int = 6, least:
     ``<doc_id>:<run>`` (a null id is empty), a letter went.  Near words differ by one inserted,
     deleted or replaced code point; a word's form is its near word of the largest n
     (ties: the first in code points) if that is at least ``times`` the word's n, and root follows the forms to the
-    last.  Null and empty texts have no words; rows that repeat an id count each; an empty table gives no rows.
+    last.  ``shortest`` is 2 at least (a word of one letter has no halves).  Null and empty texts have no words; rows that repeat an id count each; an empty table gives no rows.
     """
+    if shortest < 2:
+        raise ValueError("words of one letter have no halves")
     words = cut(counted_words(docs, every, shortest, least, doc_id, text))
     near = cut(near_words(words))
     known = words.join(near, "word", "left")

@@ -234,6 +234,12 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def as_long(text: str | None) -> int | None:
+    """A whole number within the range of long; else None."""
+    number = int(text) if text and re.fullmatch(r"-?\d{1,19}", text, re.ASCII) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
 ARC_INDEX = "path string, offset long, id string, uri string, date string, page_id long, payload_digest string, payload_bytes long"
 
 
@@ -250,8 +256,7 @@ def arc_index(files: DataFrame, order_field: str = PAGE_ID) -> DataFrame:
             rows = []
             for r in own.arc_records(data):
                 if r.block.startswith(b"HTTP/"):
-                    body, number = r.body(), r.http(order_field)
-                    number = int(number) if number and re.fullmatch(r"-?\d{1,18}", number, re.ASCII) else None
+                    body, number = r.body(), own.as_long(r.http(order_field))
                     rows.append((path, r.offset, own.record_id(own.short_name(path), r.offset), r.fields["URL"], r.fields["Archive-date"], number, own.digest(body), len(body)))
             yield as_batch(rows, ARC_INDEX)
 
@@ -325,8 +330,7 @@ def warc_index(files: DataFrame, order_field: str = PAGE_ID) -> DataFrame:
             for r in own.warc_records(data):
                 f, kind = r.fields, r.fields.get("warc-type")
                 if kind in ("response", "revisit", "resource"):
-                    number, body = r.http(order_field), r.body()
-                    number = int(number) if number and re.fullmatch(r"-?\d{1,18}", number, re.ASCII) else None
+                    number, body = own.as_long(r.http(order_field)), r.body()
                     told = f.get("warc-payload-digest", "").removeprefix("sha1:")
                     rows.append((kind, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-date"), number, told if kind == "revisit" else own.digest(body), None if kind == "revisit" else len(body)))
             yield as_batch(rows, WARC_INDEX)

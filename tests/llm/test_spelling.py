@@ -60,6 +60,8 @@ def test_odd_texts(spark):
     assert check(odd_docs(spark).repartition(3))
     assert check(no_docs(spark)) == []
     check(odd_docs(spark), every=3, shortest=4, least=1, times=1 + 1)
+    with pytest.raises(ValueError):
+        spelling_forms(no_docs(spark), shortest=1)
 
 
 @pytest.mark.parametrize("shard,wide,held", [(20_000, 48, 200_000), (7, 2, 5), (7, 10_000, 200_000), (50, 0, 200_000)])

@@ -45,6 +45,7 @@ def odd_pages(spark):
     rows = [(1, "http://a.example/x y\nz", "same", "x", "p"), (9, None, "same", None, None), (2, "http://b.example/", "same", None, None), (2, "http://b.example/", "same", None, None), (None, "no scheme", "same", None, None)]
     rows += [(3, "http://c.example", None, None, None), (4, "http://c.example", "", None, None), (5, "filedesc://x", LONG, None, None), (6, "ftp://d", "HTTP/1.1 200 OK\r\n\r\nnot a head", None, None)]
     rows += [(7, "http://e", "http://f.example/ 0.0.0.0 20000101000000 text/html 5\nabcde\n", None, None), (8, "http://e", "\n\nlone\rcr\x00nul", None, None), (-10, "", "a", None, None), (None, None, None, None, None), (None, None, "alone", None, None)]
+    rows += [((1 << 63) - 1, "http://g", "far", None, None), (-(1 << 63), "http://g", "far", None, None), (10**18, "http://g", "far", None, None)]
     return spark.createDataFrame(rows, P).repartition(3)
 
 
@@ -72,7 +73,7 @@ def test_archives_say_what_they_should(spark, tmp_path):
             assert r.fields["warc-date"] == "2000-01-01T00:00:00Z" and r.fields["warc-record-id"] not in blocks
             blocks[r.fields["warc-record-id"]] = r
     kinds = [r.fields["warc-type"] for r in blocks.values()]
-    assert kinds.count("warcinfo") == sum(1 for a in arc if a) and len(kinds) == 14 + kinds.count("warcinfo")
+    assert kinds.count("warcinfo") == sum(1 for a in arc if a) and len(kinds) == 17 + kinds.count("warcinfo")
     for r in blocks.values():
         if r.fields["warc-type"] == "revisit":
             first = blocks[r.fields["warc-refers-to"]]
