@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,6 @@ class Rebuilt:
         tables.write_phase(self.ingest_issues(), path, "ingest")
         tables.write_phase(self.merged.issues(), path, "merge")
 
-
     def _merge_tables(self) -> dict[str, DataFrame]:
         m = self.merged
         return {"people": m.people(), "links": m.links(), "skills": m.skills(), "candidates": m.lookalikes(), "issues_merge": m.issues()}
@@ -85,5 +85,6 @@ class Rebuilt:
 
 def rebuild(spark: SparkSession, bridge: str, gigs: str, contacts: str) -> Rebuilt:
     """The whole rebuild from three folders of export files."""
-    exports = {spec.name: read_export(spark, path, spec) for spec, path in ((BRIDGE, bridge), (GIGS, gigs), (CONTACTS, contacts))}
-    return Rebuilt(exports, resolve(*(e.staged for e in exports.values())).settled())
+    files = ((BRIDGE, bridge), (GIGS, gigs), (CONTACTS, contacts))
+    found = tables.side_by_side(spark, [partial(read_export, spark, path, spec) for spec, path in files])
+    return Rebuilt({e.spec.name: e for e in found}, resolve(*(e.staged for e in found)).settled())

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import normalise as N
-from rollcall.sources.tables import durable
+from rollcall.sources.tables import durable, side_by_side
 
 #: Ids keep the order of creation: bridge groups by first line, then orphans of gigs and of contacts by line.
 STEP = 1 << 40
@@ -190,8 +191,9 @@ def resolve(bridge: DataFrame, gigs: DataFrame, contacts: DataFrame) -> Resolved
     return _merge(read_bridge(bridge), read_gigs(gigs), read_contacts(contacts))
 
 
-def _merge(b: DataFrame, gigs: DataFrame, contacts: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Resolved:
-    groups = keep(bridge_groups(b))
+def _merge(b: DataFrame, gigs: DataFrame, contacts: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Resolved:
+    """``keep``, if given, writes each step before the next one is made from it."""
+    groups = keep(bridge_groups(b)) if keep else bridge_groups(b)
     index = email_index(b, groups)
     phones = groups.where("phone_key is not null").select("phone_key", "person_id")
 
@@ -199,7 +201,8 @@ def _merge(b: DataFrame, gigs: DataFrame, contacts: DataFrame, keep: Callable[[D
         return rows.withColumn("orphan", F.col("person_id").isNull()).withColumn("person_id", F.coalesce("person_id", person_id(rank, F.col("line_no"))))
 
     attached = (owned(attach(gigs, index, "email_key"), GIGS_RANK), owned(attach(contacts, phones, "phone_key"), CONTACTS_RANK))
-    return Resolved(b, groups, index, *map(keep, attached), (gigs, contacts))
+    kept = side_by_side(b.sparkSession, [partial(keep, rows) for rows in attached]) if keep else attached
+    return Resolved(b, groups, index, *kept, (gigs, contacts))
 
 
 def dense_ids(people: DataFrame, *order: str, name: str = "dense_id", start: int = 0) -> DataFrame:

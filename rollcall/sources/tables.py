@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +50,33 @@ def removed(spark: SparkSession, folder: str) -> None:
     system.delete(at, True)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, so that it can't come out differently twice."""
-    spark = df.sparkSession
+def _checkpoints(spark: SparkSession) -> None:
+    """Name the checkpoint folder, if none is named yet."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, so that it can't come out differently twice."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+#: Jobs that are handed to Spark side by side.
+SIDE_BY_SIDE = 4
+
+
+def side_by_side(spark: SparkSession, jobs: Iterable[Callable[[], Any]]) -> list[Any]:
+    """What each of ``jobs`` returns, in their order; they don't depend on each other, so Spark plans and runs several at once.
+
+    All are ended when this returns; the first error, if any, is raised then.
+    """
+    _checkpoints(spark)
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [one.result() for one in running]
+
+
 def write_phase(issues: DataFrame, path: str, phase: str) -> None:
     """Replace what this phase owns and nothing else; running it again changes nothing."""
     issues.withColumn("phase", F.lit(phase)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("phase").parquet(path)

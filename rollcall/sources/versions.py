@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.sources.tables import file_system, removed
+from rollcall.sources.tables import file_system, removed, side_by_side
 
 #: A table's writer: given the folder, it writes the table there.
 Writer = Callable[[str], None]
@@ -48,9 +49,8 @@ def publish(spark: SparkSession, root: str, writers: dict[str, Writer], carry: I
     version = last + 1
     folder = f"v{version:010d}-{uuid.uuid4().hex}"
     tables = {name: before[name].removeprefix(f"{root}/") for name in carry if name in before}
-    for name, write in writers.items():
-        write(f"{root}/{folder}/{name}")
-        tables[name] = f"{folder}/{name}"
+    side_by_side(spark, [partial(write, f"{root}/{folder}/{name}") for name, write in writers.items()])
+    tables |= {name: f"{folder}/{name}" for name in writers}
     system, aside = file_system(spark, f"{root}/manifests/.{folder}")
     out = system.create(aside)
     out.write(bytearray(json.dumps(tables, indent=1).encode()))
