@@ -1,6 +1,7 @@
 """People by phone and by email, written once and looked up many times.
 
-Both tables are bucketed by their key, a file a bucket, and published by version.
+Both tables are bucketed by their key, a file a bucket, and published by version; the number of
+buckets grows with the people, so that what a bucket's task holds doesn't.
 A large batch is joined bucket by bucket, so people are never shuffled; a small one reads only the files of the buckets
 that its keys fall into.
 """
@@ -17,20 +18,30 @@ from rollcall.operators.lookup import key_index
 from rollcall.sources import versions
 from rollcall.sources.tables import file_system
 
-BUCKETS = 64
+#: Buckets at least, and the people from which on there are more, twice as many each time.
+BUCKETS, BUCKET_PEOPLE = 64, 1 << 15
 PERSON = "struct<person_id:bigint,full_name:string,source_origin:string>"
 KEYS = {"by_phone": ("primary_phone", "phone_key"), "by_email": ("primary_email", "email_key")}
 
 
-def write_index(people: DataFrame, root: str, buckets: int = BUCKETS) -> int:
-    """Publish the people (person_id, full_name, primary_phone, primary_email, source_origin) as a new version of the index."""
+def buckets_for(people: int) -> int:
+    """A power of two with at most ``BUCKET_PEOPLE`` people a bucket, on average."""
+    return max(BUCKETS, 1 << (max(people - 1, 0) // BUCKET_PEOPLE).bit_length())
+
+
+def write_index(people: DataFrame, root: str, buckets: int | None = None) -> int:
+    """Publish the people (person_id, full_name, primary_phone, primary_email, source_origin) as a new version of the index.
+
+    Tables bear the number of their buckets in their name; without ``buckets`` the people are counted for it.
+    """
+    buckets = buckets or buckets_for(people.count())
 
     def bucketed(name: str) -> versions.Writer:
         column, key = KEYS[name]
         rows = key_index(people, column, key, name).repartition(buckets, key)
         return lambda path: _table(rows.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path))
 
-    return versions.publish(people.sparkSession, root, {name: bucketed(name) for name in KEYS})
+    return versions.publish(people.sparkSession, root, {f"{name}-{buckets}": bucketed(name) for name in KEYS})
 
 
 def _table(writer) -> None:
@@ -75,9 +86,12 @@ def bucket_of(file: str) -> int | None:
     return int(part) if name.startswith("part-") and part.isdigit() else None
 
 
-def newest_index(spark: SparkSession, root: str, buckets: int = BUCKETS) -> PeopleIndex:
-    """The newest whole version."""
-    version, folders = versions.newest(spark, root)
+def newest_index(spark: SparkSession, root: str, buckets: int | None = None) -> PeopleIndex:
+    """The newest whole version; ``buckets``, if given, is the number that it must have."""
+    version, tables = versions.newest(spark, root)
     if not version:
         raise ValueError(f"{root}: no index has been published")
-    return PeopleIndex(spark, version, folders, buckets)
+    found = {name: int(number) for name, _, number in (table.rpartition("-") for table in tables)}
+    if buckets and set(found.values()) != {buckets}:
+        raise ValueError(f"{root}: version {version} has {found}, not {buckets} buckets")
+    return PeopleIndex(spark, version, {name: tables[f"{name}-{number}"] for name, number in found.items()}, found["by_phone"])

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from rollcall.functions.normalise import email_key, phone_key
 from rollcall.operators import intake, lookup
-from rollcall.operators.people_index import BUCKETS, newest_index
+from rollcall.operators.people_index import newest_index
 from rollcall.sources.tables import exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,7 +36,7 @@ def _write(df: DataFrame, number: int, path: str, *by: str) -> None:
     df.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
 
 
-def check_incoming(incoming: DataFrame, index_root: str, sink: str, progress: str, buckets: int = BUCKETS) -> None:
+def check_incoming(incoming: DataFrame, index_root: str, sink: str, progress: str, buckets: int | None = None) -> None:
     """Look up what has arrived, each batch in the newest people, and leave the answers in ``sink``; a restart goes on where it stopped."""
     spark = incoming.sparkSession
 
@@ -75,7 +75,7 @@ def made_bucket(phone: str):
     return F.pmod(F.hash(phone), F.lit(MADE_BUCKETS)).cast("int")
 
 
-def take_submissions(submissions: DataFrame, index_root: str, folder: str, progress: str, buckets: int = BUCKETS) -> None:
+def take_submissions(submissions: DataFrame, index_root: str, folder: str, progress: str, buckets: int | None = None) -> None:
     """Attach submissions as they arrive; each lands once and for good.
 
     A batch looks its phones up in the index and among the people that earlier batches made, reading

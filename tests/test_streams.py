@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.operators import lookup, people_index
 from rollcall.sources import tables, versions
@@ -83,6 +84,37 @@ def test_looking_up_does_not_shuffle_people(spark, tmp_path):
         people_index.newest_index(spark, f"{tmp_path}/none")
 
 
+def test_a_key_of_very_many_rows_is_not_one_task(spark, tmp_path):
+    """A placeholder that nobody has, one that a person has, and few rows of other keys."""
+    people_index.write_index(people(spark, *[(i, str(9000000000 + i), f"m{i}@x") for i in range(200)]), str(tmp_path), buckets=16)
+    index = people_index.newest_index(spark, str(tmp_path))
+    email = "CASE WHEN id % 20 = 0 THEN concat('M', id % 400, '@X') ELSE 'bad' END AS email"
+    incoming = spark.range(300_000).selectExpr("id AS row_no", "'n' AS name", email, "CASE WHEN id % 10 = 3 THEN NULL WHEN id % 10 = 7 THEN '9000000150' WHEN id % 2 = 0 THEN '+91 9000000007' ELSE cast(9000000000 + id AS string) END AS phone")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = lookup.looked_up_in(incoming, index.table("by_phone"), index.table("by_email")).selectExpr("row_no", "matched_on", "person.person_id AS person_id", "spark_partition_id() AS task")
+        got.write.parquet(f"{tmp_path}/got")
+        phones = lookup.looked_up_in(incoming.drop("email"), index.table("by_phone"), index.table("by_email")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    got = spark.read.parquet(f"{tmp_path}/got")
+    assert got.count() == 300_000 and max(r["count"] for r in got.groupBy("task").count().collect()) < 40_000
+    assert sum(r["count"] for r in phones) == 300_000 and max(r["count"] for r in phones) < 40_000
+    known = spark.range(300_000).selectExpr("id AS row_no", "CASE WHEN id % 2 = 0 OR id % 10 = 7 OR (id < 200 AND id % 10 <> 3) THEN 'phone' END AS matched_on", "CASE WHEN id % 10 = 3 THEN NULL WHEN id % 10 = 7 THEN 150 WHEN id % 2 = 0 THEN 7 WHEN id < 200 THEN id END AS person_id")
+    assert got.drop("task").exceptAll(known).count() == 0
+
+
+def test_buckets_grow_with_the_people(spark, tmp_path):
+    assert [people_index.buckets_for(n) for n in (0, 1 << 21, (1 << 21) + 1, 20_000_000)] == [64, 64, 128, 1024]
+    people_index.write_index(people(spark, (1, "9000000001", "a@x")), str(tmp_path))
+    assert people_index.newest_index(spark, str(tmp_path)).buckets == 64
+    with pytest.raises(ValueError):
+        people_index.newest_index(spark, str(tmp_path), 16)
+
+
 def test_versions_are_whole_or_not_there(spark, tmp_path):
     root = str(tmp_path)
     write = lambda n: versions.as_parquet(spark.range(n))
