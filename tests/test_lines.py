@@ -1,9 +1,11 @@
 import csv
 import io
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from rollcall.jobs import catalog_more, registry
 from rollcall.operators import screen
 from rollcall.sources import lines as L
 from rollcall.sources.specs import CONTACTS
@@ -55,3 +57,21 @@ def test_verdicts(spark):
     assert screen.staged(got, CONTACTS).count() == 2
     total = {r.source_file: (r["read"], r.loaded, r.skipped) for r in screen.load_summary(got, "contacts").collect()}
     assert total == {"contacts": (10, 2, 8), "TOTAL": (10, 2, 8)}
+
+
+def test_lines_of_a_long_text_are_written_by_several_tasks(spark, monkeypatch):
+    """No file, and so no task, holds more lines than its bound; numbers go on through more files than names in one digit tell apart."""
+    written = []
+    monkeypatch.setattr(catalog_more, "LONG_FILE", 40)
+    monkeypatch.setattr(catalog_more, "written_lines", lambda s, rows, n, write=catalog_more.written_lines: written.append(write(s, rows, n)) or written[-1])
+    removed = catalog_more.tables.removed
+    monkeypatch.setattr(catalog_more.tables, "removed", lambda s, path: None)
+    folder = "/root/testdata/sf0.001"
+    got = registry.queries()["i16_line_ends"](spark, folder).collect()
+    found = spark.read.option("lineSep", "\n").text(written[0]).selectExpr("input_file_name() AS f").groupBy("f").count().collect()
+    removed(spark, written[0])
+    assert len(found) > 11 and max(r["count"] for r in found) <= 40
+    con = duckdb.connect()
+    for t in ("customer", "orders", "part", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    assert sorted((r.line_no, r.line) for r in got) == sorted(con.execute(registry.oracle_sql()["i16_line_ends"]).fetchall())
