@@ -40,7 +40,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     # Every piece counts a line feed; the last of a file may lack it (a mark of three bytes may be gone already).
     bare = (F.first("size").over(files) - F.sum("bytes").over(files)).isin(-1, 2)
     splits = splits.select("file", "block", "low", before.alias("before"), F.sum("n").over(files).alias("lines"), bare.alias("bare"))
-    placed = rows.drop("size").join(splits, ["file", "block"]).withColumn("line_no", F.col("before") + F.col("m") - F.col("low") + 1)
+    placed = rows.drop("size").join(F.broadcast(splits), ["file", "block"]).withColumn("line_no", F.col("before") + F.col("m") - F.col("low") + 1)
     ends = F.col("bare") & (F.col("line_no") == F.col("lines"))
     placed = placed.where(~(ends & (F.col("at") > 0) & (F.col("piece") == "")))
     clean = F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
@@ -71,9 +71,24 @@ def _after_piece(state: Column, piece: Column) -> Column:
     return F.when(state.isin(QUOTED, STILL) | (piece == ""), state).when(F.endswith(piece, F.lit(",")), START).otherwise(BARE)
 
 
+#: Text of a quoted field up to its closing quote; a whole field: quoted, with what may follow the quote, or bare; the length up to which lines are told by patterns (longer ones could make them deep).
+_CLOSED = r'[^"]*+(?:""[^"]*+)*+'
+_WHOLE, _SHORT = rf'(?:"{_CLOSED}"[^,]*+|[^",][^,]*+|)', 2000
+
+
 def line_map(line: Column) -> Column:
-    """(a, b, still): whether a reader that comes to the line outside (a) or inside (b) a quoted field leaves it inside, and whether it is still the same field."""
+    """(a, b, still): whether a reader that comes to the line outside (a) or inside (b) a quoted field leaves it inside, and whether it is still the same field.
+
+    From outside a line of whole fields is left outside, from inside one that closes the field and goes on with
+    whole ones: short lines are told by these patterns, others piece by piece.
+    """
+    still = line.rlike(rf"\A{_CLOSED}\z")
+    open_after = lambda begin: (~line.rlike(rf"\A{begin}(?:,{_WHOLE})*+\z"))
+    told = F.struct(open_after(_WHOLE).cast("int").alias("a"), (still | open_after(f'{_CLOSED}"[^,]*+')).cast("int").alias("b"), still.alias("still"))
+    return F.when(F.length(line) <= _SHORT, told).otherwise(_line_map_by_pieces(line))
+
 
+def _line_map_by_pieces(line: Column) -> Column:
     def step(states: Column, piece: Column) -> Column:
         return F.struct(*[_after_piece(_after_quote(states[n]), piece).alias(n) for n in ("a", "b")])
 
@@ -160,8 +175,8 @@ def stitched(lines: DataFrame, field_limit: int = FIELD_LIMIT, record_limit: int
     return alone.unionByName(joined.select("file", "line_no", "line", "unclosed"))
 
 
-#: A field whose quotes, if any, enclose it and are doubled inside; the length up to which records of such fields are cut by a pattern (longer ones could make it deep).
-_PLAIN, _SHORT = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)', 2000
+#: A field whose quotes, if any, enclose it and are doubled inside; short records of such fields are cut by a pattern.
+_PLAIN = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 
 
 def cells(line: Column) -> Column:
@@ -218,11 +233,12 @@ def header_mismatches(lines: DataFrame, spec: ExportSpec, files: DataFrame | Non
 def source_wide(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """``rows`` of the files of ``lines`` with file_line, and line_no counted on from file to file, in the order of their names.
 
-    What is merged from several files keeps one order, and one number a row; files meet as one row each.
+    What is merged from several files keeps one order, and one number a row; files meet as one row each, and
+    are broadcast: few files don't make few tasks.
     """
     ends = lines.groupBy("file").agg(F.max("line_no").alias("lines"))
     before = F.coalesce(F.sum("lines").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(ends.select("file", before.alias("before")), "file").withColumn("file_line", F.col("line_no")).withColumn("line_no", F.col("before") + F.col("file_line")).drop("before")
+    return rows.join(F.broadcast(ends.select("file", before.alias("before"))), "file").withColumn("file_line", F.col("line_no")).withColumn("line_no", F.col("before") + F.col("file_line")).drop("before")
 
 
 def check_headers(lines: DataFrame, spec: ExportSpec, files: DataFrame | None = None) -> None:

@@ -75,3 +75,20 @@ def test_lines_of_a_long_text_are_written_by_several_tasks(spark, monkeypatch):
     for t in ("customer", "orders", "part", "lineitem", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert sorted((r.line_no, r.line) for r in got) == sorted(con.execute(registry.oracle_sql()["i16_line_ends"]).fetchall())
+
+
+def test_few_files_do_not_make_few_tasks(spark, tmp_path):
+    """Lines and records stay in the tasks that read them, though all are of one file."""
+    (tmp_path / "one.txt").write_text("".join(f"line {i}\n" for i in range(4000)))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        lines = L.numbered_lines(spark, str(tmp_path)).select("file", "line_no", "line")
+        tasks = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        read, wide = tasks(lines), tasks(L.source_wide(lines, lines))
+        assert "SortMergeJoin" not in L.source_wide(lines, lines)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(read) == sum(wide) == 4000 and len(read) == len(wide) > 4 and max(wide) < 1500

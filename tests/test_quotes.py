@@ -2,6 +2,7 @@
 
 import csv
 import io
+import itertools
 
 import pytest
 from hypothesis import given, settings
@@ -115,3 +116,16 @@ def test_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("")
     assert ours(spark, tmp_path, 10) == {}
     assert io.StringIO("") and L.stitched(L.numbered_lines(spark, str(tmp_path))).columns == ["file", "line_no", "line", "unclosed"]
+
+
+def test_patterns_tell_what_pieces_tell(spark):
+    """Every line of up to seven letters of a quote, a comma and a letter, and the ends of lines that may be in one."""
+    texts = ["".join(t) for n in range(8) for t in itertools.product('",x', repeat=n)] + ['"\x0b",\u2028"', "x\x85\"", '"\r"', '\n"', '",\n', "x" * 1999 + '"', '"' + "x," * 1500]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string")
+    got = lines.select("line", L.line_map(F.col("line")).alias("by_pattern"), L._line_map_by_pieces(F.col("line")).alias("by_pieces")).collect()
+    assert len(got) == len(texts) and [r.line for r in got if r.by_pattern != r.by_pieces] == []
+
+
+def test_lines_with_quotes_are_told_without_pieces(spark):
+    plan = spark.range(1).select(F.concat(F.lit('"a","'), F.col("id").cast("string"), F.lit('"')).alias("line")).select(F.length("line").alias("n"), L.line_map(F.col("line")).alias("m"))
+    assert plan.first().m.asDict() == {"a": 0, "b": 0, "still": False} and "RLIKE" in plan._jdf.queryExecution().optimizedPlan().toString().upper()
