@@ -94,7 +94,8 @@ def take_submissions(submissions: DataFrame, index_root: str, folder: str, progr
         if exists(spark, f"{folder}/counts"):  # a row a batch
             start = spark.read.schema("upto long, batch long").parquet(f"{folder}/counts").where(F.col("batch") < number).agg(F.max("upto")).first()[0] or 0
         attached, made = intake.attach_known(accepted, lowest, start=start)
-        _write(made.drop("raw_value").withColumn("bucket", made_bucket("primary_phone")), number, f"{folder}/made", "bucket")
+        made_by_bucket = made.drop("raw_value").withColumn("bucket", made_bucket("primary_phone")).repartition(MADE_BUCKETS, "bucket")  # a file a bucket
+        _write(made_by_bucket, number, f"{folder}/made", "bucket")
         _write(attached.select("submission_id", "phone_key", "person_id"), number, f"{folder}/attached")
         _write(made.agg((F.count("*") + start).alias("upto")), number, f"{folder}/counts")
         for df in (accepted, phones):

@@ -44,6 +44,13 @@ def test_each_submission_lands_once_for_good(spark, tmp_path):
     assert run(spark, tmp_path, [submitted(6, "9000000009", 8)], 2) == second
 
 
+def test_a_batch_writes_a_file_a_bucket_of_the_people_it_makes(spark, tmp_path):
+    people_index.write_index(people(spark, (1, "9000000001", None)), f"{tmp_path}/people")
+    run(spark, tmp_path, [submitted(i, str(9100000000 + i), i) for i in range(2000)], 0)
+    files = list((tmp_path / "out" / "made").rglob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/out/made").count() == 2000 and len(files) == len({f.parent for f in files}) == 64
+
+
 def test_a_batch_finds_the_newest_people(spark, tmp_path):
     schema, root = "row_no long, name string, email string, phone string", f"{tmp_path}/people"
 
