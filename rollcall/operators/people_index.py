@@ -2,12 +2,13 @@
 
 Both tables are bucketed by their key, a file a bucket, and published by version; the number of
 buckets grows with the people, so that what a bucket's task holds doesn't.
-A large batch is joined bucket by bucket, so people are never shuffled; a small one reads only the files of the buckets
-that its keys fall into.
+A large batch is joined bucket by bucket, so people are never shuffled and the tasks are as many as the buckets, whatever
+the session's number is; a small one reads only the files of the buckets that its keys fall into.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -62,16 +63,32 @@ class PeopleIndex:
     buckets: int
 
     def table(self, name: str) -> DataFrame:
-        """by_phone or by_email, as a table that joins on its key need not shuffle."""
+        """by_phone or by_email, as a table that joins on its key need not shuffle; the same one each time."""
         _, key = KEYS[name]
-        own = _new_name()
-        self.spark.sql(f"CREATE TABLE {own} ({key} STRING, {name} {PERSON}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.folders[name]}'")
+        own = f"rollcall_index_{hashlib.sha256(self.folders[name].encode()).hexdigest()[:32]}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {own} ({key} STRING, {name} {PERSON}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.folders[name]}'")
         return self.spark.table(own)
 
     def near(self, name: str, keys: DataFrame) -> DataFrame:
-        """The rows of the buckets that the column of ``keys`` falls into; at most ``buckets`` numbers come to the driver."""
+        """The rows of the buckets that the column of ``keys`` falls into; all, as :meth:`table`, if these are more than half."""
+        return self._of(name, self._hit((name,), keys)[name])
+
+    def nearby(self, keys: DataFrame) -> list[DataFrame]:
+        """:meth:`near` of both tables; ``keys`` is read once and may hold a key many times."""
+        hit = self._hit(tuple(KEYS), keys)
+        return [self._of(name, hit[name]) for name in KEYS]
+
+    def _hit(self, names: tuple[str, ...], keys: DataFrame) -> dict[str, set[int]]:
+        """The buckets that the keys of each table fall into; at most ``buckets`` numbers a table come to the driver."""
+        bucket = lambda key: F.when(F.col(key).isNotNull(), F.pmod(F.hash(key), F.lit(self.buckets)))
+        of = [F.struct(F.lit(name).alias("name"), bucket(KEYS[name][1]).alias("b")) for name in names]
+        found = keys.select(F.inline(F.array(*of))).where("b is not null").distinct().collect()
+        return {name: {r.b for r in found if r.name == name} for name in names}
+
+    def _of(self, name: str, hit: set[int]) -> DataFrame:
+        if 2 * len(hit) > self.buckets:
+            return self.table(name)
         _, key = KEYS[name]
-        hit = {r.b for r in keys.where(F.col(key).isNotNull()).select(F.pmod(F.hash(key), F.lit(self.buckets)).alias("b")).distinct().collect()}
         system, at = file_system(self.spark, self.folders[name])
         files = [s.getPath().toString() for s in system.listStatus(at)]
         wanted = [f for f in files if (b := bucket_of(f)) is not None and b in hit]

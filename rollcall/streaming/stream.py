@@ -1,7 +1,8 @@
 """The lookup and the intake over rows that arrive, with a batch's results left in a folder.
 
 People are known by a published index (:mod:`rollcall.operators.people_index`): each
-micro-batch takes its newest version and reads the buckets that the batch's keys fall into.  Every
+micro-batch takes its newest version and reads the buckets that the batch's keys fall into; a large
+one meets all of them bucket by bucket.  Every
 batch writes partitions of its own number, so one that runs again replaces what it wrote.
 """
 
@@ -42,11 +43,9 @@ def check_incoming(incoming: DataFrame, index_root: str, sink: str, progress: st
 
     def batch(rows: DataFrame, number: int) -> None:
         index = newest_index(spark, index_root, buckets)
-        keys = lookup.with_both_columns(rows).select(phone_key(F.col("phone")).alias("phone_key"), email_key(F.col("email")).alias("email_key")).distinct().persist()
-        near = [index.near(name, keys) for name in ("by_phone", "by_email")]
-        checked = lookup.looked_up_in(rows, *near).select("row_no", "name", "phone", "email", "status", "matched_on", F.col("person.person_id").alias("person_id"), "note")
+        keys = lookup.with_both_columns(rows).select(phone_key(F.col("phone")).alias("phone_key"), email_key(F.col("email")).alias("email_key"))
+        checked = lookup.looked_up_in(rows, *index.nearby(keys)).select("row_no", "name", "phone", "email", "status", "matched_on", F.col("person.person_id").alias("person_id"), "note")
         _write(checked.withColumn("index_version", F.lit(index.version)), number, sink)
-        keys.unpersist()
 
     _run(incoming, batch, progress)
 

@@ -114,6 +114,30 @@ def test_a_key_of_very_many_rows_is_not_one_task(spark, tmp_path):
     assert got.drop("task").exceptAll(known).count() == 0
 
 
+def test_a_large_batch_is_dealt_out_by_the_buckets(spark, tmp_path):
+    """Its tasks are as many as the index has buckets, not as the session has partitions, and people aren't shuffled."""
+    rows = [(i, str(9000000000 + i), f"m{i}@x") for i in range(2000)]
+    people_index.write_index(people(spark, *rows), f"{tmp_path}/people", buckets=32)
+    email = "CASE WHEN id % 7 = 0 THEN '' WHEN id % 2 = 0 THEN concat('M', id % 4000, '@X ') ELSE concat('n', id, '@x') END AS email"
+    phone = "CASE WHEN id % 7 = 0 THEN '12' WHEN id % 5 = 0 THEN cast(9100000000 + id AS string) ELSE cast(9000000000 + id % 2000 AS string) END AS phone"
+    spark.range(20_000).selectExpr("id AS row_no", "'n' AS name", email, phone).coalesce(1).write.parquet(f"{tmp_path}/in")
+    incoming = spark.read.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stream.check_incoming(stream.arriving(spark, f"{tmp_path}/in", incoming.schema), f"{tmp_path}/people", f"{tmp_path}/out", f"{tmp_path}/progress")
+        want = lookup.looked_up(incoming, people(spark, *rows)).selectExpr("row_no", "status", "matched_on", "person.person_id AS person_id", "note").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    most = max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect())
+    assert most < 20_000 / 32 * 1.5
+    assert sorted(map(str, got.select("row_no", "status", "matched_on", "person_id", "note").collect())) == sorted(map(str, want))
+    index = people_index.newest_index(spark, f"{tmp_path}/people")
+    before = len(spark.catalog.listTables())
+    assert [t.count() for t in index.nearby(spark.createDataFrame([(r[1], None) for r in rows], "phone_key string, email_key string"))] == [2000, 0]
+    assert len(spark.catalog.listTables()) == before  # each batch finds the table that is there
+
+
 def test_buckets_grow_with_the_people(spark, tmp_path):
     assert [people_index.buckets_for(n) for n in (0, 1 << 21, (1 << 21) + 1, 20_000_000)] == [64, 64, 128, 1024]
     people_index.write_index(people(spark, (1, "9000000001", "a@x")), str(tmp_path))
